@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.llm.bytesops import ragged
+from harfmill.llm.bytesops import ragged, string_bytes, trim
 from harfmill.llm.shared import Workspace
 from harfmill.llm.units import encoder, with_end
 
@@ -39,7 +39,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             piece = batch.slice(lo, 2000)
-            ids, size = with_end(*code.encode(piece.column("text").fill_null("").to_pylist()), end)
+            ids, size = with_end(*code.encode(*string_bytes(piece.column("text"))), end)
             edge = np.concatenate([[0], np.cumsum(size)])
             offsets = pa.array(edge * 4, pa.int32()) if edge[-1] < 2**29 else None
             raw = ids.astype("<u4")
@@ -53,6 +53,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
                 ["doc_id", "part", "before", "n", "ids"],
             )
             before += int(edge[-1])
+    trim()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
@@ -81,6 +82,7 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int, keep_ids: bool) -> Iter
             columns.append(pa.array([bytes(p) for p in parts], pa.binary()))
             names.append("ids")
         yield pa.RecordBatch.from_arrays(columns, names)
+    trim()
 
 
 def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = 1024, keep_ids: bool = False) -> DataFrame:

@@ -17,11 +17,16 @@ from pyspark.sql import functions as F
 #: Sort key that stands for a null id: after every other id.
 NULL_ID = 2**63 - 1
 _OWN_ROOT: list[str] = []
+#: Batches for Python are bounded by bytes, as texts differ in length; set where the session says nothing.
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on every executor, once per context."""
     context = spark.sparkContext
+    for name, value in _ARROW.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     source = Path(__file__).resolve().parents[1]
     if getattr(context, "_harfmill_shipped", False) or not source.is_dir():
         return

@@ -1,40 +1,84 @@
-"""Tokenizing whole texts with the tokenizers library, each distinct word once.
-
-Both byte-level and word-end vocabularies of /opt/tokenizers split a text
-before they merge anything, and always split at a space between two signs that
-are no white space.  So a text's ids are the ids of its parts between such
-spaces, one after the other (the space belongs to the part after it), and a
-part's ids can be remembered.  Prose repeats its words, so most parts are
-looked up.  `tests/llm/test_tokens.py` holds the result against the library's
-own encoding of whole texts.
+"""Tokenizing whole texts with the tokenizers library, each distinct unit once.
+
+Both vocabularies of /opt/tokenizers that are used here split a text into
+pre-tokens before they merge anything, by patterns that never join certain
+neighbours.  So a text can be cut at such places, and its ids are those of the
+units between them.  A unit starts
+
+* at the last white-space sign before another sign (the space of " word"), and
+  at the first sign of a run of white space;
+* after a white-space sign that is no space;
+* between a Latin-script letter and an ASCII sign that is no letter, no
+  apostrophe and no white space (either way round).
+
+Texts with white space beyond ASCII are left to the library whole.  Units are
+told apart by two independent 64-bit hashes of their bytes, computed for all
+units of a batch with numpy; only units never seen before reach the library,
+Latin-script words many to a call.  `tests/llm` holds the ids against the
+library's own encoding of whole texts, also of random ones.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from itertools import chain
 
 import numpy as np
 
-from harfmill.llm.bytesops import ragged
-
-_BESIDE_SPACE = re.compile(r" \s|\s ")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_WORD = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
-
-
-def parts_of(text: str) -> list[str]:
-    """The parts of a text between spaces that stand between two other signs."""
-    if text[:1].isspace() or text[-1:].isspace() or _BESIDE_SPACE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, mix, ragged
+
+_L, _S, _P, _A, _H = 1, 2, 3, 4, 5
+_CLASS = np.full(256, _P, np.uint8)
+_CLASS[ord("A") : ord("Z") + 1] = _CLASS[ord("a") : ord("z") + 1] = _L
+_CLASS[[9, 10, 11, 12, 13, 32]] = _S
+_CLASS[ord("'")] = _A
+_CLASS[128:] = _H
+
+
+def _wide_space(data: np.ndarray) -> np.ndarray:
+    """Places of white space beyond ASCII, and of signs that some patterns count as such."""
+    if len(data) < 2:
+        return np.flatnonzero((data >= 28) & (data <= 31))
+    a, b = data[:-1], data[1:]
+    hit = (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (data[:-1] >= 28) & (a <= 31)
+    at = np.flatnonzero((a == 0xE1) | (a == 0xE2) | (a == 0xE3))
+    at = at[at + 2 < len(data)]
+    x, y, z = data[at], data[at + 1], data[at + 2]
+    wide = (x == 0xE1) & ((y == 0x9A) & (z == 0x80) | (y == 0xA0) & (z == 0x8E)) | (x == 0xE3) & (y == 0x80) & (z == 0x80)
+    wide |= (x == 0xE2) & ((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF)) | (y == 0x81) & (z == 0x9F))
+    return np.concatenate([np.flatnonzero(hit), at[wide], np.flatnonzero((data[-1:] >= 28) & (data[-1:] <= 31)) + len(data) - 1])
+
+
+def unit_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where units start, and which units are a space and Latin letters only."""
+    kind = _CLASS[data]
+    two = np.flatnonzero(data[:-1] == 0xC3)
+    two = two[(data[two + 1] != 0x97) & (data[two + 1] != 0xB7)]
+    kind[two] = kind[two + 1] = _L
+    first = np.zeros(len(data), bool)
+    left, right = kind[:-1], kind[1:]
+    first[1:] = (left == _L) & (right == _P) | (left == _P) & (right == _L)
+    space = kind == _S
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off[:-1][np.diff(off) > 0]] = True
+    begin = space.copy()
+    begin[1:] &= ~space[:-1] | edge[1:-1]
+    last = space.copy()  # before another sign of the same text
+    last[:-1] &= ~space[1:] & ~edge[1:-1]
+    last[-1:] = False
+    first |= begin | last
+    first[1:] |= last[:-1] & (data[:-1] != 32)
+    first |= edge[:-1]
+    start = np.flatnonzero(first)
+    other = np.cumsum((kind != _L).astype(np.int32))
+    end = np.append(start[1:], len(data))
+    return start, (data[start] == 32) & (other[end - 1] - other[start] == 0) & (end - start > 1)
 
 
 class Encoder:
-    """Ids of texts as numpy arrays; remembers up to `limit` distinct parts."""
+    """Ids of texts as numpy arrays; remembers up to `limit` distinct units."""
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 2_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -44,100 +88,102 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.keys, self.index = np.empty(0, U64), np.empty(0, np.int64)
+        self.check = np.empty(0, U64)
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
-        self.start, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
-        self.count = 0
-        self.words: dict[str, list[int]] = {}
-
-    def _learn(self, strings: list[str]) -> None:
-        """Add the ids of new parts.
-
-        A part that is a Latin-script word, maybe with marks after it, is two
-        pre-tokens; words are remembered too, and new ones go to the library
-        in lines of many, told apart by the pre-token number of each id.
-        """
-        words, pieces, plain, whole = self.words, [], [], []
-        for s in strings:
-            m = _WORD.fullmatch(s)
-            if m is None:
-                pieces.append(s)
-                if s not in words:
-                    words[s] = ()
-                    whole.append(s)
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _library(self, strings: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def _ids_of(self, strings: list[str], plain: np.ndarray) -> list[list[int]]:
+        """The ids of new units; plain ones go to the library in lines of many, told apart by each id's pre-token number."""
+        out: list[list[int]] = [[]] * len(strings)
+        rest = np.flatnonzero(~plain).tolist()
+        places = np.flatnonzero(plain).tolist()
+        lines = [places[k : k + 128] for k in range(0, len(places), 128)]
+        for line, e in zip(lines, self.library.encode_batch(["".join([strings[k] for k in line]) for line in lines], add_special_tokens=False), strict=True):
+            ids, number = e.ids, np.asarray([-1 if w is None else w for w in e.word_ids])
+            edge = np.searchsorted(number, np.arange(len(line) + 1))
+            if len(ids) and number[-1] == len(line) - 1 and (np.diff(edge) > 0).all() and edge[-1] == len(ids):
+                for k, a, b in zip(line, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    out[k] = ids[a:b]
             else:
-                pieces.append(m.groups())
-                if m[1] not in words:
-                    words[m[1]] = ()
-                    (plain if m[1][0] == " " else whole).append(m[1])
-                if m[2] and m[2] not in words:
-                    words[m[2]] = ()
-                    whole.append(m[2])
-        for lo in range(0, len(plain), 256):
-            some = plain[lo : lo + 256]
-            e = self.library.encode("".join(some), add_special_tokens=False)
-            number = np.asarray(e.word_ids)
-            edge = np.searchsorted(number, np.arange(len(some) + 1)).tolist()
-            if number[-1] == len(some) - 1 and edge[-1] == len(e.ids):
-                ids = e.ids
-                for w, a, b in zip(some, edge[:-1], edge[1:], strict=True):
-                    words[w] = ids[a:b]
-            else:
-                whole += some
-        for s, e in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            words[s] = e.ids
-        ids = [words[p] if isinstance(p, str) else words[p[0]] + words[p[1]] if p[1] else words[p[0]] for p in pieces]
+                rest += line
+        for k, ids in zip(rest, self._library([strings[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _learn(self, keys: np.ndarray, check: np.ndarray, strings: list[str], plain: np.ndarray) -> None:
+        ids = self._ids_of(strings, plain)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, n = int(size.sum()), len(ids)
+        total = int(size.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while self.count + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        self.start[self.count : self.count + n] = self.used + np.cumsum(size) - size
-        self.size[self.count : self.count + n] = size
+        place = len(self.start) + np.arange(len(ids))
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.check = np.concatenate([self.check, check])
         self.used += total
-        self.count += n
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, concatenated, and each text's number of ids."""
-        if self.count > self.limit:
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.index = np.insert(self.keys, where, keys), np.insert(self.index, where, place)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (UTF-8 bytes and row offsets), concatenated, and each text's number of ids."""
+        parts = [self._encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in doc_chunks(off, 2 * CHUNK)]
+        if not parts:
+            return np.empty(0, np.int32), np.zeros(len(off) - 1, np.int64)
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(off) - 1
+        if not len(data):
+            return np.empty(0, np.int32), np.zeros(n, np.int64)
+        if len(self.start) > self.limit:
             self._forget()
-        head, tail = self.known
-        places, counts, new = [], np.zeros(len(texts), np.int64), []
-        fresh = self.count
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            parts = parts_of(text)
-            first = parts[0]
-            at = head.get(first)
-            if at is None:
-                at = head[first] = fresh
-                new.append(first)
-                fresh += 1
-            found = list(map(tail.get, parts[1:]))
-            if None in found:
-                for j, x in enumerate(found):
-                    if x is None:
-                        part = parts[j + 1]
-                        x = tail.get(part)
-                        if x is None:
-                            x = tail[part] = fresh
-                            new.append(" " + part)
-                            fresh += 1
-                        found[j] = x
-            places.append(at)
-            places += found
-            counts[k] = len(parts)
-        if new:
-            self._learn(new)
-        place = np.asarray(places, np.int64)
+        start, plain = unit_starts(data, off)
+        end = np.append(start[1:], len(data))
+        key, check = (mix(p.span(p.prefix(data), start, end) + (end - start).astype(U64)) for p in POLY)
+        order = np.argsort(key)
+        s, c = key[order], check[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
+        if (~new[1:] & (c[1:] != c[:-1])).any():
+            return self._whole(data, off)
+        head = order[new]
+        distinct, seen = key[head], np.zeros(len(head), bool)
+        at = np.searchsorted(self.keys, distinct)
+        inside = at < len(self.keys)
+        seen[inside] = self.keys[at[inside]] == distinct[inside]
+        if (self.check[self.index[at[seen]]] != check[head[seen]]).any():
+            return self._whole(data, off)
+        fresh = head[~seen]
+        if len(fresh):
+            raw = data.tobytes()
+            strings = [raw[a:b].decode() for a, b in zip(start[fresh].tolist(), end[fresh].tolist(), strict=True)]
+            self._learn(key[fresh], check[fresh], strings, plain[fresh])
+            at = np.searchsorted(self.keys, distinct)
+        place = np.empty(len(key), np.int64)
+        place[order] = np.repeat(self.index[at], np.diff(np.append(np.flatnonzero(new), len(s))))
         size = self.size[place]
         ids = self.flat[ragged(self.start[place], size)]
-        edge = np.concatenate([[0], np.cumsum(size)])
-        last = np.cumsum(counts)
-        return ids, edge[last] - edge[last - counts]
+        edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, off)]
+        counts = np.diff(edge)
+        odd = np.unique(np.searchsorted(off, _wide_space(data), "right") - 1)
+        if len(odd):
+            pieces = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            for k, x in zip(odd.tolist(), self._library([data[off[k] : off[k + 1]].tobytes().decode() for k in odd.tolist()]), strict=True):
+                pieces[k] = np.asarray(x, np.int32)
+                counts[k] = len(x)
+            ids = np.concatenate(pieces)
+        return ids, counts
+
+    def _whole(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By the library alone: where two different units share a hash."""
+        ids = self._library([data[a:b].tobytes().decode() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
 
 
 _ENCODERS: dict[str, Encoder] = {}

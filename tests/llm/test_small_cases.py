@@ -9,10 +9,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from harfmill.llm import chains, html_density, icws, impact_topk, mixcoder, packing, pfp_dedup, piece_fst, quality, sphere_dedup, token_store
+from harfmill.llm.bytesops import string_bytes
 from harfmill.llm.components import components
 from harfmill.llm.queries import vocabulary
 from harfmill.llm.shared import Workspace
@@ -141,14 +143,14 @@ def test_encoder_equals_library(name):
     texts = [prose(80, k) for k in range(30)] + [
         "", " ", "a", " a", "a ", "a  b", "a \n b", "don't we'll  it's 'S", "x y z", "é o ́x", "tab\tb c", "line\nbreak here", "½ ² a1 1a 12 3", "<|endoftext|> a <|startoftext|>", "%%% &&& !!", "日本 語 😀 x", "Ñ É ß ς Σ", "a b c", "x\x1cy z", "word,. word.. ,word", "ÀÖ ×÷ ßa",
     ]
-    ids, size = code.encode(texts)
+    ids, size = code.encode(*string_bytes(pa.array(texts)))
     edge = np.concatenate([[0], np.cumsum(size)])
     for k, t in enumerate(texts):
         assert ids[edge[k] : edge[k + 1]].tolist() == code.library.encode(t, add_special_tokens=False).ids, repr(t)
     r = random.Random(3)
-    signs = "ab é́ \n\t.,'1²日 ½  sS"
+    signs = "ab é\u0301 \n\t.,'1²日 ½  sS×—’\u3000\u2003\xa0Çß\x1c\r!"
     many = ["".join(r.choice(signs) for _ in range(r.randint(0, 25))) for _ in range(2000)]
-    ids, size = code.encode(many)
+    ids, size = code.encode(*string_bytes(pa.array(many)))
     edge = np.concatenate([[0], np.cumsum(size)])
     for k, t in enumerate(many):
         assert ids[edge[k] : edge[k + 1]].tolist() == code.library.encode(t, add_special_tokens=False).ids, repr(t)
