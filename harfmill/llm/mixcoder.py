@@ -44,50 +44,49 @@ def order0(ids: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """The predictions of all lanes, and what they have learnt."""
+    """The predictions of all lanes, and what they have learnt.
+
+    A slot holds an id and above it the confidence state; state 0 is an empty slot, which predicts nothing.
+    """
 
     def __init__(self, lanes: int, freq: np.ndarray) -> None:
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.last = np.zeros((2, lanes), np.int64)
-        self.id = [np.full(lanes * s, _EMPTY, np.uint16) for s in (_SLOTS1, _SLOTS2)]
-        self.sure = [np.zeros(lanes * s, np.uint8) for s in (_SLOTS1, _SLOTS2)]
-        start = np.minimum(30000 + 2500 * np.arange(_STATES), 62000).astype(np.int64)
-        start[0] = 0  # an empty slot predicts nothing
+        lane = np.arange(lanes, dtype=np.int64)
+        self.base1, self.base2, self.states = lane * _SLOTS1, lane * _SLOTS2, lane * _STATES
+        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.slot = [np.full(lanes * s, _EMPTY, np.uint32) for s in (_SLOTS1, _SLOTS2)]
+        start = np.minimum(30000 + 2500 * np.arange(_STATES), 62000).astype(np.int32)
+        start[0] = 0
         self.hold = [np.tile(start, lanes) for _ in range(2)]
-        self.freq = freq
-        self.low = np.concatenate([[0], np.cumsum(freq)])
-
-    def predict(self, lanes: int) -> None:
-        """Predicted ids and widths of their intervals, for the first lanes."""
-        lane, (one, two) = self.lane[:lanes], self.last[:, :lanes]
-        slot1 = lane * _SLOTS1 + ((one * 40503) & 0xFFFF) // (0x10000 // _SLOTS1)
-        slot2 = lane * _SLOTS2 + (((one * 2654435761 + two * 2246822519) >> 9) & (_SLOTS2 - 1))
-        self.slots = slot1, slot2
-        self.guess = tuple(t.take(s).astype(np.int64) for t, s in zip(self.id, self.slots, strict=True))
-        self.state = tuple(t.take(s) for t, s in zip(self.sure, self.slots, strict=True))
-        self.cell = tuple(lane * _STATES + s for s in self.state)
-        p1, p2 = (h.take(c) for h, c in zip(self.hold, self.cell, strict=True))
-        same = self.guess[0] == self.guess[1]
+        self.low = np.concatenate([[0], np.cumsum(freq)]).astype(U64)
+
+    def predict(self, k: int) -> None:
+        """Predicted ids and widths of their intervals, for the first k lanes."""
+        one, two = self.one[:k], self.two[:k]
+        at1 = ((one * 40503) >> 6 & (_SLOTS1 - 1)) + self.base1[:k]
+        at2 = ((one * 2654435761 + two * 2246822519) >> 9 & (_SLOTS2 - 1)) + self.base2[:k]
+        held1, held2 = self.slot[0].take(at1, mode="clip"), self.slot[1].take(at2, mode="clip")
+        self.at = at1, at2
+        self.guess1, self.guess2 = held1 & 0xFFFF, held2 & 0xFFFF
+        self.state1, self.state2 = held1 >> 16, held2 >> 16
+        self.cell1, self.cell2 = self.states[:k] + self.state1, self.states[:k] + self.state2
+        self.p1, self.p2 = self.hold[0].take(self.cell1, mode="clip"), self.hold[1].take(self.cell2, mode="clip")
+        p1, p2 = self.p1.view(np.uint32), self.p2.view(np.uint32)
         rest = (65536 - p2) * p1 >> 16
-        w2 = np.where(same, p2 + rest, p2) * 240
-        w1 = np.where(same, 0, rest) * 240
-        self.w2, self.w12 = w2.view(U64), (w1 + w2).view(U64)
-        self.w0 = U64(1 << _BITS) - self.w12
-
-    def learn(self, ids: np.ndarray, lanes: int) -> None:
-        for k in (0, 1):
-            hit = self.guess[k] == ids
-            hold, cell = self.hold[k], self.cell[k]
-            p = hold.take(cell)
-            p += ((hit * 62000) - p) >> 4
+        same = self.guess1 == self.guess2
+        self.w2 = (p2 + rest * same) * 240
+        self.w12 = (p2 + rest) * 240
+        self.w0 = (1 << _BITS) - self.w12
+
+    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, k: int) -> None:
+        """ids as uint32; one and two: where orders 1 and 2 were right."""
+        for n, (hit, p, cell, state) in enumerate(((one, self.p1, self.cell1, self.state1), (two, self.p2, self.cell2, self.state2))):
+            p += (hit * np.int32(62000) - p) >> 4
             np.maximum(p, 64, out=p)  # no prediction's interval may vanish
-            p[self.state[k] == 0] = 0
-            hold[cell] = p
-            slot = self.slots[k]
-            self.id[k][slot] = ids
-            self.sure[k][slot] = np.where(hit, np.minimum(self.state[k] + 1, _STATES - 1), 1)
-        self.last[1, :lanes] = self.last[0, :lanes]
-        self.last[0, :lanes] = ids
+            p *= state > 0
+            self.hold[n][cell] = p
+            self.slot[n][self.at[n]] = ids | (np.minimum(state * hit + 1, _STATES - 1) << 16)
+        self.two[:k] = self.one[:k]
+        self.one[:k] = ids
 
 
 def _groups(lanes: int) -> list[tuple[int, int]]:
@@ -106,7 +105,7 @@ def encode(ids: np.ndarray, freq: np.ndarray) -> tuple[list[bytes], list[int]]:
     for lo, hi in _groups(lanes) if lanes else []:
         part = ids[lo * BLOCK : hi * BLOCK]
         n, tail = hi - lo, len(part) - (hi - lo - 1) * BLOCK
-        grid = np.zeros(n * BLOCK, np.int64)
+        grid = np.zeros(n * BLOCK, np.uint32)
         grid[: len(part)] = part
         blocks += _encode_lanes(np.ascontiguousarray(grid.reshape(n, BLOCK).T), n, tail, freq)
     sums = [zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(ids), BLOCK)]
@@ -122,7 +121,6 @@ def _encode_lanes(grid: np.ndarray, n: int, tail: int, freq: np.ndarray) -> list
     used = np.zeros(n, np.int64)
     top, mask, edge = U64(32), U64(0xFFFFFFFF), U64(1 << 32)
     shift, shift0 = U64(_BITS), U64(_BITS0)
-    freq_u, low_u = freq.astype(U64), model.low.astype(U64)
 
     def emit(at: np.ndarray) -> None:
         x = low[at]
@@ -131,23 +129,27 @@ def _encode_lanes(grid: np.ndarray, n: int, tail: int, freq: np.ndarray) -> list
         span[at] <<= U64(16)
         used[at] += 1
 
+    low0 = model.low
     for t in range(steps):
         k = n if t < tail else n - 1
         x = grid[t, :k]
         model.predict(k)
-        base = low_u.take(x) * model.w0 >> shift0
-        high = (low_u.take(x) + freq_u.take(x)) * model.w0 >> shift0
-        one, two = model.guess[0] == x, model.guess[1] == x
-        begin = np.where(two, U64(0), np.where(one, model.w2, model.w12 + base))
-        width = np.where(two, model.w2, np.where(one, model.w12 - model.w2, high - base))
+        one, two = model.guess1 == x, model.guess2 == x
+        w2, w12, w0 = model.w2, model.w12, model.w0
+        begin, width = w2 * ~two, np.where(two, w2, w12 - w2)
+        at = np.flatnonzero(~(one | two))
+        y, w = x[at], w0[at].astype(U64)
+        base = low0.take(y, mode="clip") * w >> shift0
+        begin[at] = w12[at] + base
+        width[at] = (low0.take(y + 1, mode="clip") * w >> shift0) - base
         unit = span[:k] >> shift
         low[:k] += unit * begin
-        span[:k] = unit * width
+        np.multiply(unit, width, out=span[:k])
         at = np.flatnonzero(span[:k] < edge)
         while len(at):
             emit(at)
             at = at[span[at] < edge]
-        model.learn(x, k)
+        model.learn(x, one, two, k)
     for _ in range(3):
         emit(np.arange(n))
     out = digits.reshape(room, n)[: int(used.max())]
@@ -180,31 +182,31 @@ def _decode_lanes(blocks: list[bytes], tail: int, freq: np.ndarray) -> np.ndarra
     span = np.full(n, 1 << 48, U64)
     steps = BLOCK if n > 1 else tail
     grid = np.zeros((steps, n), np.uint16)
-    find = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
+    find = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
     edge, shift, shift0 = U64(1 << 32), U64(_BITS), U64(_BITS0)
-    freq_u, low_u = freq.astype(U64), model.low.astype(U64)
-    last = U64((1 << _BITS) - 1)
+    low0, last = model.low, U64((1 << _BITS) - 1)
     end = len(flat) - 1
     for t in range(steps):
         k = n if t < tail else n - 1
         model.predict(k)
+        w2, w12 = model.w2, model.w12
         unit = span[:k] >> shift
         value = np.minimum(code[:k] // unit, last)
-        two, over = value < model.w2, value >= model.w12
-        x = np.where(two, model.guess[1], model.guess[0])
-        begin = np.where(two, U64(0), model.w2)
-        width = np.where(two, model.w2, model.w12 - model.w2)
-        at = np.flatnonzero(over)
+        two = value < w2
+        x = np.where(two, model.guess2, model.guess1)
+        begin, width = w2 * ~two, np.where(two, w2, w12 - w2)
+        at = np.flatnonzero(value >= w12)
         if len(at):
-            w0, w12 = model.w0[at], model.w12[at]
-            y = (((value[at] - w12 + U64(1)) << shift0) - U64(1)) // w0
-            z = find.take(y.astype(np.int64)).astype(np.int64)
-            base = low_u.take(z) * w0 >> shift0
+            w = model.w0[at].astype(U64)
+            over = w12[at]
+            y = ((value[at] - over + U64(1) << shift0) - U64(1)) // w
+            z = find.take(y.astype(np.int64), mode="clip")
+            base = low0.take(z, mode="clip") * w >> shift0
             x[at] = z
-            begin[at] = w12 + base
-            width[at] = ((low_u.take(z) + freq_u.take(z)) * w0 >> shift0) - base
+            begin[at] = over + base
+            width[at] = (low0.take(z + 1, mode="clip") * w >> shift0) - base
         code[:k] -= unit * begin
-        span[:k] = unit * width
+        np.multiply(unit, width, out=span[:k])
         at = np.flatnonzero(span[:k] < edge)
         while len(at):
             code[at] = code[at] << U64(16) | flat[np.minimum(place[at], end)]
@@ -212,5 +214,5 @@ def _decode_lanes(blocks: list[bytes], tail: int, freq: np.ndarray) -> np.ndarra
             place[at] += 1
             at = at[span[at] < edge]
         grid[t, :k] = x
-        model.learn(x, k)
+        model.learn(x, model.guess1 == x, model.guess2 == x, k)
     return grid.T.reshape(-1)[: (n - 1) * BLOCK + tail] if n > 1 else grid[:tail, 0]

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harfmill.llm import mixcoder
-from harfmill.llm.bytesops import expand, squeeze
+from harfmill.llm.bytesops import expand, squeeze, string_bytes, trim
 from harfmill.llm.shared import NULL_ID, Workspace
 from harfmill.llm.units import encoder, with_end
 
@@ -68,7 +68,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
     for batch in batches:
         for lo in range(0, batch.num_rows, 2000):
             piece = batch.slice(lo, 2000)
-            i, n = with_end(*code.encode(piece.column("text").fill_null("").to_pylist()), end)
+            i, n = with_end(*code.encode(*string_bytes(piece.column("text"))), end)
             docs.append(piece.column("doc_id").fill_null(NULL_ID).to_numpy())
             sizes.append(n)
             ids.append(i.astype(np.uint16))
@@ -80,6 +80,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end: int)
         name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.hmtoken"
         with files.open_output_stream(f"{base}/{name}") as out:
             out.write(pack_shard(doc, size, flat))
+        trim()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "name": [name], "documents": pa.array([len(doc)], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64())})
 
 
@@ -101,6 +102,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, keep_ids: bool) -> Ite
             if keep_ids:
                 columns["ids"] = pa.array([bytes(p) for p in parts], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+    trim()
 
 
 class TokenFiles:
