@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, letter_runs, lower, mix, string_bytes
+from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, letter_runs, lower, mix, string_bytes, trim
 from harfmill.llm.shared import ship
 
 BITS = 18
@@ -65,6 +65,7 @@ def _feature_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             row, which = pair >> BITS, pair & ((1 << BITS) - 1)
             np.add.at(counts, (fold[row], label[row], which), 1)
     at = np.flatnonzero(counts)
+    trim()
     yield pa.RecordBatch.from_pydict({"cell": pa.array(at, pa.int64()), "n": pa.array(counts.ravel()[at], pa.int64())})
 
 
@@ -176,6 +177,7 @@ class ToxicityModel:
                     out.append([slot[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])
                 columns = {"y": batch.column("y"), "fold": batch.column("fold"), "h": batch.column("h"), "n": pa.array(n, pa.int64())}
                 yield pa.RecordBatch.from_pydict(columns | {f"s{k}": pa.array(o, pa.binary()) for k, o in enumerate(out)})
+            trim()
 
         schema = "y int, fold int, h long, n long, " + ", ".join(f"s{k} binary" for k in range(len(sets)))
         rows = joined.mapInArrow(hits, schema).orderBy("h").limit(fit_rows).toArrow()  # bounded by fit_rows
@@ -227,6 +229,7 @@ class ToxicityModel:
             for b in batches:
                 p = model.probabilities(b.column(b.num_columns - 1))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, k].copy()) for k in range(len(names))]], [*b.schema.names[:-1], *names])
+            trim()
 
         schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields] + [f"`{n}` double" for n in names])
         return marked.mapInArrow(run, schema)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, expand, lower, mix, ragged, squeeze, string_bytes, words
+from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, expand, lower, mix, ragged, squeeze, string_bytes, trim, words
 from harfmill.llm.components import components
 from harfmill.llm.shared import TextBatches, Workspace, release
 
@@ -322,11 +322,17 @@ def _verify(table: pa.Table, threshold: float) -> pa.Table:
     return pa.table({"a": pa.array(a[keep], pa.int64()), "b": pa.array(b[keep], pa.int64())})
 
 
+def _trimmed(f, *args) -> pa.Table:
+    out = f(*args)
+    trim()
+    return out
+
+
 class NearDuplicates:
     """Classes of near-duplicate documents; `classes` has row, class_row and what the store carries."""
 
     def __init__(
-        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 12 << 20, block: int = 128, carry: tuple[str, ...] = ()
+        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 8 << 20, block: int = 128, carry: tuple[str, ...] = ()
     ) -> None:
         spark = documents.sparkSession
         self.space = space = Workspace(spark, "icws")
@@ -335,12 +341,12 @@ class NearDuplicates:
         self.total, self.buckets = max(store.rows, 1), min(2 * store.count, 65000)
         buckets, total = self.buckets, self.total
         self.texts = store.frame.select("batch", "row", "text")
-        sent = self.texts.groupBy("batch").applyInArrow(lambda t: _count(t, buckets), MESSAGE)
+        sent = self.texts.groupBy("batch").applyInArrow(lambda t: _trimmed(_count, t, buckets), MESSAGE)
         self.df = space.save(sent.groupBy("bucket").applyInArrow(_add_up, MESSAGE), "df")
         del sent
         release(spark)
         signed = self.texts.groupBy("batch").cogroup(self.df.groupBy("batch")).applyInArrow(
-            lambda t, m: _sign(t, m, buckets, total, bands, rows), "row long, same long, same2 long, bands array<long>"
+            lambda t, m: _trimmed(_sign, t, m, buckets, total, bands, rows), "row long, same long, same2 long, bands array<long>"
         )
         signed = space.save(signed, "signed")
         worded = signed.where(F.size("bands") > 0)
@@ -370,8 +376,8 @@ class NearDuplicates:
             some = F.broadcast(asked.select("batch").distinct())
             said, texts = said.join(some, "batch", "left_semi"), texts.join(some, "batch", "left_semi")
         messages = said.unionByName(asked)
-        sent = texts.groupBy("batch").cogroup(messages.groupBy("batch")).applyInArrow(lambda t, m: _vectors(t, m, buckets, total), _VECTORS)
-        return self.space.save(sent.groupBy("g1", "g2").applyInArrow(lambda t: _verify(t, threshold), "a long, b long"), name)
+        sent = texts.groupBy("batch").cogroup(messages.groupBy("batch")).applyInArrow(lambda t, m: _trimmed(_vectors, t, m, buckets, total), _VECTORS)
+        return self.space.save(sent.groupBy("g1", "g2").applyInArrow(lambda t: _trimmed(_verify, t, threshold), "a long, b long"), name)
 
     def _first_links(self) -> DataFrame:
         """Each member of a band bucket against the bucket's smallest."""

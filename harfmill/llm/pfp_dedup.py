@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.llm.bytesops import POLY, U64, dense_rank, doc_chunks, expand, mix, ragged, squeeze, string_bytes
+from harfmill.llm.bytesops import POLY, U64, dense_rank, doc_chunks, expand, mix, ragged, squeeze, string_bytes, trim
 from harfmill.llm.shared import NULL_ID, TextBatches, Workspace, release
 
 GRAM = 16
@@ -355,25 +355,25 @@ def _results(table: pa.Table, messages: pa.Table, length: int, buckets: int, tex
     return pa.table(columns)
 
 
-def remove_repeats(documents: DataFrame, length: int = 50, batch_bytes: int = 12 << 20, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 50, batch_bytes: int = 8 << 20, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """Per document: row, doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the bytes that stay.
 
     With `texts` also the text that stays (a character goes only whole) and the
     carried columns, prefixed by `c_`.  Messages between batches and buckets are
     blocks of numbers; nothing is collected.  `batch_bytes` bounds what one
-    Python worker holds: about 25 times that at the peak.
+    Python worker holds: about 15 times that at the peak.
     """
     spark = documents.sparkSession
     space = Workspace(spark, "pfp")
     store = TextBatches(space, documents, batch_bytes, carry)
-    batches, buckets = store.frame, min(4 * store.count, 65000)
+    batches, buckets = store.frame, min(6 * store.count, 65000)
     slim = batches.select("batch", "row", "doc_id", "text")
-    sent = slim.groupBy("batch").applyInArrow(lambda t: _triggers(t, length, buckets), MESSAGE)
+    sent = slim.groupBy("batch").applyInArrow(lambda t: _trimmed(_triggers, t, length, buckets), MESSAGE)
     shared = space.save(sent.groupBy("bucket").applyInArrow(_answer_triggers, MESSAGE), "shared")
     del sent
     release(spark)
-    sent = slim.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, m: _phrases(t, m, length, buckets), MESSAGE)
-    known = space.save(sent.groupBy("bucket").applyInArrow(lambda t: _answer_phrases(t, length), MESSAGE), "known")
+    sent = slim.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, m: _trimmed(_phrases, t, m, length, buckets), MESSAGE)
+    known = space.save(sent.groupBy("bucket").applyInArrow(lambda t: _trimmed(_answer_phrases, t, length), MESSAGE), "known")
     del sent
     release(spark)
     schema = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -381,12 +381,18 @@ def remove_repeats(documents: DataFrame, length: int = 50, batch_bytes: int = 12
         carried = [f for f in batches.schema.fields if f.name.startswith("c_")]
         schema += ", text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in carried)
     source = batches.select("batch", "row", "doc_id", "text", *[f"c_{c}" for c in carry]) if texts else slim
-    result = source.groupBy("batch").cogroup(shared.unionByName(known).groupBy("batch")).applyInArrow(lambda t, m: _results(t, m, length, buckets, texts) if t.num_rows else _no_rows(t, texts), schema)
+    result = source.groupBy("batch").cogroup(shared.unionByName(known).groupBy("batch")).applyInArrow(lambda t, m: _trimmed(_results, t, m, length, buckets, texts) if t.num_rows else _no_rows(t, texts), schema)
     out = space.save(result, "result")
     space.close("result")
     return out
 
 
+def _trimmed(f, *args) -> pa.Table:
+    out = f(*args)
+    trim()
+    return out
+
+
 def _no_rows(table: pa.Table, texts: bool) -> pa.Table:
     columns = {c: pa.array([], t) for c, t in (("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()))}
     if texts:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, expand, mix, squeeze, string_bytes, token_runs
+from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, expand, mix, squeeze, string_bytes, token_runs, trim
 from harfmill.llm.shared import ship
 
 SLOTS, DIMENSIONS, SIGNS = 8192, 48, 2
@@ -68,6 +68,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for k in range(SIGNS):
                         total += np.bincount(x * DIMENSIONS + plus[y, k], minlength=len(total))
                         total -= np.bincount(x * DIMENSIONS + minus[y, k], minlength=len(total))
+    trim()
     rows = total.reshape(SLOTS, DIMENSIONS)
     out = [(k, squeeze(rows[k * _PART : (k + 1) * _PART].astype(np.int32 if np.abs(rows).max(initial=0) < 2**31 else np.int64))) for k in range(SLOTS // _PART) if rows[k * _PART : (k + 1) * _PART].any()]
     if out:
@@ -211,6 +212,7 @@ class QualityModel:
             for b in batches:
                 score = model.predict(pooled(b.column(b.num_columns - 1), vectors))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score.astype(np.float64))], [*b.schema.names[:-1], name])
+            trim()
 
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
         return marked.mapInArrow(run, f"{schema}, `{name}` double")
