@@ -62,7 +62,7 @@ def pattern(text: Column, root: Column) -> Column:
 def stem_span(text: Column, root: Column) -> Column:
     """The pattern of the shortest greedy stretch of text from the first to the last root letter."""
     gap = F.array_join(F.filter(F.split(root, ""), lambda ch: ch != ""), ".*?")
-    return pattern(F.nullif(F.regexp_extract(strip_marks(text), F.concat(F.lit("(?s)"), gap), 0), F.lit("")), root)
+    return pattern(F.nullif(F.call_function("regexp_extract", strip_marks(text), F.concat(F.lit("(?s)"), gap), F.lit(0)), F.lit("")), root)
 
 
 def fill_pattern(pat: Column, root: Column) -> Column:

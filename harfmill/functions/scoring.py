@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,11 +19,19 @@ def size_rate(part: Column, whole: Column, digits: int = 4) -> Column:
     return F.round(part / F.greatest(whole, F.lit(1)), digits)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: a lambda's body is evaluated anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_softmax(logits: Column) -> Column:
     """Over an array of double."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.transform(logits, lambda x: x - top - F.log(total))
+
+    def over(top: Column) -> Column:
+        shift = top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+        return let(shift, lambda s: F.transform(logits, lambda x: x - s))
+
+    return let(F.array_max(logits), over)
 
 
 def char_score(ll: Column, continuation: Column) -> Column:
