@@ -42,11 +42,14 @@ def normalize(c: Column, marks: bool = False, alef: bool = True, tatweel: bool =
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfkc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def nfkc(c: Column) -> Column:
     """Unicode NFKC; an Arrow batch at a time."""
-    for s in parts:
-        yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
 
 
 def has_latin(c: Column) -> Column:
@@ -123,8 +126,7 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
-@F.pandas_udf("string")
-def decode_byte_level(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def decode_byte_level(c: Column) -> Column:
     """A byte-level token as text; a token that holds other signs or no valid UTF-8 stays as it is."""
     table = byte_alphabet()
 
@@ -134,5 +136,8 @@ def decode_byte_level(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         except (KeyError, UnicodeDecodeError):
             return token
 
-    for s in parts:
-        yield s.map(one, na_action="ignore")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)

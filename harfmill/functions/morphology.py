@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from harfmill.functions.arabic import MARKS, SPECIAL_TOKENS, clean_token, strip_marks
+from harfmill.functions.scoring import let
 
 # Clitic surfaces, and the tags that stand for them.
 PROCLITICS = ["أ", "و", "ف", "ب", "ك", "ل", "س", "ت", "ال", "لا", "ما"]
@@ -43,26 +44,46 @@ def segment(word: Column) -> Column:
 
 def has_subsequence(text: Column, root: Column) -> Column:
     """Whether all letters of root occur in text in order; an empty root does."""
-    return F.aggregate(F.split(text, ""), F.lit(0), lambda k, ch: F.when((ch != "") & (ch == F.substring(root, k + 1, F.lit(1))), k + 1).otherwise(k)) == F.length(root)
+    letters = lambda r: F.aggregate(F.split(text, ""), F.lit(0), lambda k, ch: F.when((ch != "") & (ch == F.substring(r, k + 1, F.lit(1))), k + 1).otherwise(k)) == F.length(r)
+    return let(root, letters)
 
 
 def pattern(text: Column, root: Column) -> Column:
     """text with the root's letters replaced, in order, by the pattern letters; null if they are not all there."""
-    seats = F.when(F.length(root) == 4, F.lit("فعلل")).otherwise(F.lit("فعل"))
     start = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
 
-    def step(acc: Column, ch: Column) -> Column:
-        hit = (ch != "") & (ch == F.substring(root, acc["k"] + 1, F.lit(1)))
-        return F.struct(F.when(hit, acc["k"] + 1).otherwise(acc["k"]).alias("k"), F.concat(acc["out"], F.when(hit, F.substring(seats, acc["k"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
+    def over(v: Column) -> Column:
+        r, seats = v["r"], v["seats"]
 
-    done = F.aggregate(F.split(strip_marks(text), ""), start, step)
-    return F.when((text != "") & (root != "") & (done["k"] == F.length(root)), done["out"])
+        def step(acc: Column, ch: Column) -> Column:
+            hit = (ch != "") & (ch == F.substring(r, acc["k"] + 1, F.lit(1)))
+            return F.struct(F.when(hit, acc["k"] + 1).otherwise(acc["k"]).alias("k"), F.concat(acc["out"], F.when(hit, F.substring(seats, acc["k"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
+
+        done = F.aggregate(F.split(strip_marks(v["t"]), ""), start, step)
+        return let(done, lambda d: F.when((v["t"] != "") & (r != "") & (d["k"] == F.length(r)), d["out"]))
+
+    return let(F.struct(text.alias("t"), root.alias("r"), F.when(F.length(root) == 4, F.lit("فعلل")).otherwise(F.lit("فعل")).alias("seats")), over)
 
 
 def stem_span(text: Column, root: Column) -> Column:
     """The pattern of the shortest greedy stretch of text from the first to the last root letter."""
-    gap = F.array_join(F.filter(F.split(root, ""), lambda ch: ch != ""), ".*?")
-    return pattern(F.nullif(F.call_function("regexp_extract", strip_marks(text), F.concat(F.lit("(?s)"), gap), F.lit(0)), F.lit("")), root)
+    start = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
+
+    def over(v: Column) -> Column:
+        r, seats = v["r"], v["seats"]
+
+        def step(acc: Column, ch: Column) -> Column:
+            hit = (ch != "") & (ch == F.substring(r, acc["k"] + 1, F.lit(1)))
+            inside = (acc["k"] > 0) & (acc["k"] < F.length(r))
+            return F.struct(
+                F.when(hit, acc["k"] + 1).otherwise(acc["k"]).alias("k"),
+                F.when(hit, F.concat(acc["out"], F.substring(seats, acc["k"] + 1, F.lit(1)))).when(inside, F.concat(acc["out"], ch)).otherwise(acc["out"]).alias("out"),
+            )
+
+        done = F.aggregate(F.split(strip_marks(v["t"]), ""), start, step)
+        return let(done, lambda d: F.when((r != "") & (d["k"] == F.length(r)), d["out"]))
+
+    return let(F.struct(text.alias("t"), root.alias("r"), F.when(F.length(root) == 4, F.lit("فعلل")).otherwise(F.lit("فعل")).alias("seats")), over)
 
 
 def fill_pattern(pat: Column, root: Column) -> Column:
@@ -102,20 +123,20 @@ def token_boundaries(tokens: Column, word: Column) -> Column:
 
 def word_record(word: Column, tokens: Column, morphemes: Column) -> Column:
     """integrity, csa_respected, csa_total, morpheme_count, raw_token_count of a word; null without morphemes."""
-    ends = token_boundaries(tokens, word)
-    inner = boundaries(F.transform(morphemes, strip_marks))
-    clitics = clitic_boundaries(morphemes)
-    respected = lambda b: F.size(F.filter(b, lambda x: F.array_contains(ends, x)))
-    return F.when(
-        F.size(morphemes) > 0,
-        F.struct(
+    parts = F.struct(token_boundaries(tokens, word).alias("ends"), boundaries(F.transform(morphemes, strip_marks)).alias("inner"), clitic_boundaries(morphemes).alias("clitics"))
+
+    def over(v: Column) -> Column:
+        ends, inner, clitics = v["ends"], v["inner"], v["clitics"]
+        respected = lambda b: F.size(F.filter(b, lambda x: F.array_contains(ends, x)))
+        return F.struct(
             F.when((F.size(inner) > 0) & ends.isNotNull(), respected(inner).cast("double") / F.size(inner)).alias("integrity"),
             F.when((F.size(clitics) > 0) & ends.isNotNull(), respected(clitics)).cast("long").alias("csa_respected"),
             F.when((F.size(clitics) > 0) & ends.isNotNull(), F.size(clitics)).cast("long").alias("csa_total"),
             F.size(morphemes).cast("long").alias("morpheme_count"),
             F.size(F.filter(tokens, lambda t: ~t.isin(SPECIAL_TOKENS))).cast("long").alias("raw_token_count"),
-        ),
-    )
+        )
+
+    return F.when(F.size(morphemes) > 0, let(parts, over))
 
 
 def strip_proclitic(word: Column, clitic: str) -> Column:
@@ -127,3 +148,22 @@ def strip_proclitic(word: Column, clitic: str) -> Column:
 def strip_enclitic(word: Column, clitic: str) -> Column:
     marks = f"[{MARKS}]*"
     return F.regexp_replace(word, marks + marks.join(clitic) + marks + "$", "")
+
+
+def normalize_pattern(pat: Column, proclitics: list[str], enclitic: str | None) -> Column:
+    """A pattern without its clitics: proclitics from the outermost in, then the enclitic."""
+    for c in proclitics:
+        pat = strip_proclitic(pat, c)
+    return strip_enclitic(pat, enclitic) if enclitic else pat
+
+
+def accepted(root: Column, pat: Column) -> Column:
+    """The root of an analysis that counts: without separators, three letters or more, not the no-root mark; else null."""
+    bare = F.regexp_replace(root, "[_.#]", "")
+    return F.when((F.coalesce(pat, F.lit("")) != "") & (F.length(bare) >= 3) & (bare != "NTWS"), bare)
+
+
+def first_accepted(candidates: Column) -> Column:
+    """The first acceptable one of an array of (root, pattern) structs, with its root cleaned."""
+    good = F.filter(candidates, lambda c: accepted(c["root"], c["pattern"]).isNotNull())
+    return F.transform(F.slice(good, 1, 1), lambda c: F.struct(accepted(c["root"], c["pattern"]).alias("root"), c["pattern"].alias("pattern")))[0]

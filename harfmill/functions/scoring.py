@@ -106,3 +106,27 @@ def early_stop(series: Column, patience: int, every: int, minimum: int, delta: f
         )
 
     return F.aggregate(series, start, step)
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """Number of equal elements at the start of two arrays."""
+    pairs = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, e: F.struct(F.when(s["go"] & e, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["go"] & e).alias("go")))["n"]
+
+
+def continuation_start(context: Column, full: Column, span: str = "lcp") -> Column:
+    """Where the continuation's ids begin in the full sequence.
+
+    `lcp`: behind the common prefix of both encodings (right also where the encoder appends an end id).
+    `length`: behind as many ids as the context has; with such encoders this skips the first continuation id.
+    """
+    if span not in ("lcp", "length"):
+        raise ValueError(f"span is lcp or length, not {span!r}")
+    return common_prefix(context, full) if span == "lcp" else F.size(context)
+
+
+def continuation_ll(log_probs: Column, full: Column, start: Column) -> Column:
+    """Sum of log-probabilities of the ids from start on; log_probs[i] predicts id i + 1.  No ids: -1e9."""
+    places = F.sequence(start, F.size(full) - 1)
+    total = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(F.get(log_probs, i - 1), F.get(full, i)))
+    return F.when(start < F.size(full), total).otherwise(F.lit(-1e9))

@@ -42,14 +42,14 @@ def families(word: Column) -> Column:
 def word_table(sample: DataFrame) -> DataFrame:
     """sample: word.  Per word and family: root, tokens, cleaned tokens, and the morpheme record."""
     t = sample.withColumn("root", root_of_skeleton(F.col("word"))).where("root is not null")
-    t = t.withColumn("morphemes", segment(F.col("word"))).select("word", "root", "morphemes", F.inline(families(F.col("word"))))
+    t = t.withColumn("morphemes", segment(F.col("word"))).withColumn("span", stem_span(F.col("word"), F.col("root")))
+    t = t.select("word", "root", "span", "morphemes", F.inline(families(F.col("word"))))
     return t.withColumn("content", content_tokens(F.col("tokens"))).withColumn("r", word_record(F.col("word"), F.col("tokens"), F.col("morphemes")))
 
 
 def morphological_metrics(table: DataFrame) -> DataFrame:
     """The metrics that need one pass over words: by family."""
-    span = stem_span(F.col("word"), F.col("root"))
-    root = F.col("root")
+    span, root = F.col("span"), F.col("root")
     kept = F.exists("content", lambda t: has_subsequence(t, root))
     pattern_kept = F.exists("content", lambda t: F.coalesce(stem_span(t, root) == span, F.lit(False)))
     return table.groupBy("family").agg(
@@ -64,8 +64,7 @@ def morphological_metrics(table: DataFrame) -> DataFrame:
 
 def bearing_tokens(table: DataFrame) -> DataFrame:
     """Share of content tokens that bear any sampled root, and any sampled root's pattern: identical tokens are tested once."""
-    roots = table.select("root", "word").distinct()
-    bound = roots.agg(F.array_sort(F.collect_set("root")).alias("roots"), F.array_sort(F.collect_set(stem_span(F.col("word"), F.col("root")))).alias("patterns"))
+    bound = table.agg(F.array_sort(F.collect_set("root")).alias("roots"), F.array_sort(F.collect_set("span")).alias("patterns"))
     tokens = table.select("family", F.explode("content").alias("token")).groupBy("family", "token").agg(F.count(F.lit(1)).alias("cnt"))
     # The sample bounds the roots, so one row of arrays is broadcast.
     t = tokens.crossJoin(F.broadcast(bound))

@@ -24,7 +24,7 @@ PAD, BOS, EOS, UNK, LIT_BEGIN, LIT_END = range(6)
 _ALPHA = re.compile(f"[{LETTERS}{MARKS}]+|[0-9٠-٩]+|[{re.escape(PUNCTUATION)}]+|[^{LETTERS}{MARKS}0-9٠-٩{re.escape(PUNCTUATION)}]+")
 
 
-def analyse(chunks: DataFrame) -> DataFrame:
+def analyse(chunks: DataFrame, *keep: str) -> DataFrame:
     """chunks: word.  word, root, pattern (of the stem, null where not analysable), proclitics, stem, enclitic."""
     bare = strip_marks(F.col("word"))
     part = lambda k: F.regexp_extract(bare, SEGMENTS, k)
@@ -37,13 +37,15 @@ def analyse(chunks: DataFrame) -> DataFrame:
         F.filter(F.array(part(1), part(2), part(3)), lambda p: p != "").alias("proclitics"),
         "stem",
         F.nullif(part(5), F.lit("")).alias("enclitic"),
+        *keep,
     )
 
 
 def analysis_table(frame: DataFrame, column: str = "text") -> DataFrame:
     """Analyses of all distinct alpha chunks of a corpus, with where each first occurs."""
     chunks = frame.select("doc_id", F.posexplode(alpha_chunks(F.col(column))).alias("pos", "word"))
-    return analyse(chunks.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first")).select("word")).join(chunks.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first")), "word")
+    firsts = chunks.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    return analyse(firsts, "first")
 
 
 class RootPattern:

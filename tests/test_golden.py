@@ -144,3 +144,33 @@ def test_corpus_adapters(spark):
     assert [tuple(r) for r in corpora.span_records(spans, "arabic-").collect()] == [("arabic-1", "q", "c", "x")]
     both = corpora.union_corpora({"s": {"train": corpora.squad_records(squad)}, "t": {"dev": corpora.span_records(spans)}}, ["s", "t"], {"s": "train", "t": "dev"})
     assert both.groupBy("source").count().count() == 2
+
+
+def test_continuation_likelihood(spark):
+    lp = [[-1.0, -2.0, -3.0]] * 4
+    got = one(spark, "l array<array<double>>, c array<int>, f array<int>", (lp, [0, 1], [0, 1, 2, 1]), scoring.continuation_ll(F.col("l"), F.col("f"), scoring.continuation_start(F.col("c"), F.col("f"))))
+    assert got == -5.0
+    assert one(spark, "l array<array<double>>, f array<int>", (lp, [0, 1]), scoring.continuation_ll(F.col("l"), F.col("f"), F.lit(2))) == -1e9
+    with pytest.raises(ValueError, match="span"):
+        scoring.continuation_start(F.lit(1), F.lit(1), "other")
+
+
+def test_first_accepted(spark):
+    rows = [("NTWS", "1"), ("ك.ت.ب", "1ا2"), ("درس", "1")]
+    got = one(spark, "c array<struct<root: string, pattern: string>>", (rows,), morphology.first_accepted(F.col("c")))
+    assert tuple(got) == ("كتب", "1ا2")
+
+
+def test_bridge(spark):
+    import io
+    import sys
+
+    from harfmill.sources import bridge
+
+    words = spark.createDataFrame([("والكتاب",), ("في",), ("يدرسون",)], "word string").repartition(2)
+    got = {r.word: r.root for r in bridge.analyse_words(words, [sys.executable, "-m", "harfmill.sources.bridge"]).collect()}
+    assert got == {"والكتاب": "كتب", "في": None, "يدرسون": bridge.analyse("يدرسون")["root"]}
+    out = io.StringIO()
+    bridge.serve(io.StringIO('nonsense\n{"op": "x"}\n{"op": "generate", "root": "كتب", "pattern": "م12و3"}\n{"op": "shutdown"}\n{"op": "x"}\n'), out)
+    lines = out.getvalue().splitlines()
+    assert len(lines) == 3 and '"ok": false' in lines[0] and '"ok": false' in lines[1] and "مكتوب" in lines[2]
