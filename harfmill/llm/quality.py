@@ -3,10 +3,10 @@
 Tokens are runs of letters, of digits and of other signs, hashed to `SLOTS`
 slots.  Every slot has a fixed sparse ternary index vector; its context vector
 adds up the index vectors of the tokens up to two places away, over all
-documents of the corpus.  A slot's word vector is its unit context vector plus
-half its unit index vector.  A document is pooled to the mean of its tokens'
-word vectors, that mean's length, the mean cosine between neighbours, and the
-logarithm of its length.
+documents of the corpus.  A slot's word vector is its unit context vector less
+the mean of those, plus half its unit index vector.  A document is pooled to the mean of its tokens'
+word vectors, that mean's length, the mean cosine and the share of equal ones among
+neighbours, and the logarithm of its length.
 
 A numpy network (one hidden tanh layer) is fitted on at most `fit_rows`
 labelled documents; a fifth of them is held back to fit one temperature, which
@@ -97,10 +97,14 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
     np.put_along_axis(index, plus, 1.0, axis=1)
     np.put_along_axis(index, minus, -1.0, axis=1)
     norm = np.sqrt((context * context).sum(1, keepdims=True))
-    return (context / np.where(norm > 0, norm, 1) + 0.5 * index / math.sqrt(2 * SIGNS)).astype(np.float32)
+    seen = norm[:, 0] > 0
+    unit = context / np.where(norm > 0, norm, 1)
+    if seen.any():  # what all words share, the frequent words around them, tells nothing
+        unit[seen] -= unit[seen].mean(0)
+    return (unit + 0.5 * index / math.sqrt(2 * SIGNS)).astype(np.float32)
 
 
-FEATURES = DIMENSIONS + 3
+FEATURES = DIMENSIONS + 4
 
 
 def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -125,13 +129,17 @@ def pooled(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
         out[row, DIMENSIONS] = np.sqrt((mean * mean).sum(1))
         out[row, DIMENSIONS + 1] = np.add.reduceat(near, starts) / np.maximum(n[some] - 1, 1)
         out[row, DIMENSIONS + 2] = np.log1p(n[some])
+        again = np.zeros(len(slot), np.float32)
+        again[:-1] = slot[1:] == slot[:-1]
+        again[edge[1:][some] - 1] = 0
+        out[row, DIMENSIONS + 3] = np.add.reduceat(again, starts) / np.maximum(n[some] - 1, 1)
     return out
 
 
 class Network:
     """Standardised inputs, one tanh layer, a logistic output divided by a temperature."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 60, seed: int = 3) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 80, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
         held = np.zeros(len(y), bool)
         held[rng.permutation(len(y))[: len(y) // 5]] = True
