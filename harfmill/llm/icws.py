@@ -2,7 +2,7 @@
 
 Words are runs without ASCII white space, in lower case; shingles are five
 words in a row.  A shingle's weight is its count in the document times
-1 + ln(N / df) / ln(N), between 1 (in every document) and 2 (in one), with the
+1 + ln(N / df) / (4 ln(N)), between 1 (in every document) and 1.25 (in one), with the
 exact document frequency df over all N documents.  Documents are linked if
 their weighted Jaccard similarity, sum of minima over sum of maxima, is 0.8 or
 more; classes are the connected components of the links.
@@ -47,6 +47,9 @@ from harfmill.llm.shared import TextBatches, Workspace, release
 
 WIDTH = 5
 TABLE_BITS = 18
+#: How much rarity may add to a weight.  Small, as copies make the shingles that they share frequent: a larger share would
+#: rate the similarity of a large group's members below that of a pair with the same overlap.
+IDF_SHARE = 0.25
 MESSAGE = "batch int, bucket int, n long, payload binary"
 
 
@@ -109,7 +112,7 @@ class _Shingles:
             bits = (hi - lo + 7) // 8
             more = np.unpackbits(np.frombuffer(raw, np.uint8, bits), count=hi - lo).astype(bool)
             df[lo:hi][more] = np.frombuffer(raw, np.uint32, offset=bits)
-        return self.tf * (1 + np.log(total / df) / math.log(max(total, 2)))[self.place]
+        return self.tf * (1 + IDF_SHARE * np.log(total / df) / math.log(max(total, 2)))[self.place]
 
 
 def _messages(out: list[tuple]) -> pa.Table:

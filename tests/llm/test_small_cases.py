@@ -367,7 +367,7 @@ def shingle_weights(rows):
         sets.append(s)
     df = Counter(x for s in sets for x in s)
     n = len(rows)
-    return [{x: c * (1 + math.log(n / df[x]) / math.log(n)) for x, c in s.items()} for s in sets]
+    return [{x: c * (1 + 0.25 * math.log(n / df[x]) / math.log(n)) for x, c in s.items()} for s in sets]
 
 
 def jaccard(a, b):
