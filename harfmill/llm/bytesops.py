@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,7 @@ _MIX = (U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
 #: Odd multipliers of the two polynomial hashes modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Bytes handled at a time, so that the temporary arrays stay small.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -27,8 +27,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: Called by `trim`: caches that drop what has not been used for a while.
+IDLE: list[Callable[[], None]] = []
+
+
 def trim() -> None:
     """Give freed memory back to the system: a Python worker lives on after its task."""
+    for check in IDLE:
+        check()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # a C library without it

@@ -21,11 +21,12 @@ library's own encoding of whole texts, also of random ones.
 from __future__ import annotations
 
 import os
+import time
 from itertools import chain
 
 import numpy as np
 
-from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, mix, ragged
+from harfmill.llm.bytesops import CHUNK, IDLE, POLY, U64, doc_chunks, mix, ragged
 
 _L, _S, _P, _A, _H = 1, 2, 3, 4, 5
 _CLASS = np.full(256, _P, np.uint8)
@@ -131,6 +132,7 @@ class Encoder:
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (UTF-8 bytes and row offsets), concatenated, and each text's number of ids."""
+        _USED[0] = time.monotonic()
         parts = [self._encode(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) for lo, hi in doc_chunks(off, 2 * CHUNK)]
         if not parts:
             return np.empty(0, np.int32), np.zeros(len(off) - 1, np.int64)
@@ -187,15 +189,26 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+_USED = [0.0]
+_IDLE_SECONDS = 15
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder for a vocabulary file."""
+    """This worker's encoder for a vocabulary file; dropped when other work has gone on for a while."""
+    _USED[0] = time.monotonic()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
+def _drop_idle() -> None:
+    if time.monotonic() - _USED[0] > _IDLE_SECONDS:
+        _ENCODERS.clear()
+
+
+IDLE.append(_drop_idle)
+
+
 def with_end(ids: np.ndarray, size: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with an end id after each text."""
     total = size + 1
