@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from harfmill.functions.scoring import let
+
 # The character classes.
 #: Marks that token and word cleaning drops.
 MARKS = "ًٌٍَُِّْٰٕٓٔ"
@@ -73,8 +75,7 @@ def skeleton(c: Column) -> Column:
 
 def root_of_skeleton(c: Column) -> Column:
     """Three or four consonants are the root, of more the first three; fewer: null."""
-    s = skeleton(c)
-    return F.when(F.length(s) > 4, F.substring(s, 1, 3)).when(F.length(s) >= 3, s)
+    return let(skeleton(c), lambda s: F.when(F.length(s) > 4, F.substring(s, 1, 3)).when(F.length(s) >= 3, s))
 
 
 def arabize(c: Column) -> Column:

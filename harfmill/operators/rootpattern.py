@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from harfmill.functions.arabic import LETTERS, MARKS, PUNCTUATION, alpha_chunks, root_of_skeleton, strip_marks
 from harfmill.functions.morphology import ENCLITICS, PROCLITICS, SEGMENTS, stem_span
+from harfmill.functions.scoring import let
 from harfmill.operators.vocabulary import counted, reconstruction
 
 SPECIALS = ["<pad>", "<s>", "</s>", "<unk>", "[LIT_BEGIN]", "[LIT_END]"]
@@ -26,19 +27,16 @@ _ALPHA = re.compile(f"[{LETTERS}{MARKS}]+|[0-9٠-٩]+|[{re.escape(PUNCTUATION)}]
 
 def analyse(chunks: DataFrame, *keep: str) -> DataFrame:
     """chunks: word.  word, root, pattern (of the stem, null where not analysable), proclitics, stem, enclitic."""
-    bare = strip_marks(F.col("word"))
-    part = lambda k: F.regexp_extract(bare, SEGMENTS, k)
-    out = chunks.withColumn("stem", F.when(part(4) == "", bare).otherwise(part(4)))
-    out = out.withColumn("root", root_of_skeleton(F.col("stem")))
-    return out.select(
-        "word",
-        "root",
-        F.when(F.col("root").isNotNull(), stem_span(F.col("stem"), F.col("root"))).alias("pattern"),
-        F.filter(F.array(part(1), part(2), part(3)), lambda p: p != "").alias("proclitics"),
-        "stem",
-        F.nullif(part(5), F.lit("")).alias("enclitic"),
-        *keep,
-    )
+    part = lambda v, k: F.regexp_extract(v, SEGMENTS, k)
+    cut = let(strip_marks(F.col("word")), lambda v: F.struct(v.alias("bare"), *[part(v, k).alias(f"p{k}") for k in range(1, 6)]))
+
+    def rooted(v: Column) -> Column:
+        stem = F.when(v["p4"] == "", v["bare"]).otherwise(v["p4"])
+        return let(stem, lambda s: F.struct(s.alias("stem"), root_of_skeleton(s).alias("root"), F.filter(F.array(v["p1"], v["p2"], v["p3"]), lambda p: p != "").alias("proclitics"), F.nullif(v["p5"], F.lit("")).alias("enclitic")))
+
+    out = chunks.withColumn("a", let(cut, rooted)).select("word", *keep, "a.*")
+    pattern = F.when(F.col("root").isNotNull(), stem_span(F.col("stem"), F.col("root")))
+    return out.select("word", "root", pattern.alias("pattern"), "proclitics", "stem", "enclitic", *keep)
 
 
 def analysis_table(frame: DataFrame, column: str = "text") -> DataFrame:

@@ -345,7 +345,7 @@ def _(t):
     return reports.resume(t.values("cell string, kind string, size int", _CELLS), t.values("cell string", _DONE))
 
 
-_FLAGS = [("char_jaber", "every root letter is a token"), ("charformer", "bytes clean to nothing"), ("araroopat", "roots are tokens by design"), ("character_bert", "the word is a token")]
+_FLAGS = [("char_jaber", "every root letter is a token"), ("charformer", "bytes clean to nothing"), ("root_pattern", "roots are tokens by design"), ("character_bert", "the word is a token")]
 
 
 @query("mechanical_flags", f"SELECT c.kind, f.note FROM (SELECT 'char_jaber' AS kind UNION ALL SELECT 'bpe' UNION ALL SELECT 'charformer') c LEFT JOIN (SELECT * FROM {values_sql('kind, note', _FLAGS)}) f ON c.kind = f.kind")
