@@ -73,7 +73,7 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceTransducer:
     """The compiled model; `encode` and `decode` work on one text."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 1_200_000) -> None:
         import ahocorasick
 
         with open(path, "rb") as file:
@@ -96,6 +96,7 @@ class PieceTransducer:
         self.ids = {p: k for k, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (NORMAL, USER)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces with a space after another sign are not supported")
+        self.shown = [self._shown(p, t) for p, t in zip(self.pieces, self.types, strict=True)]
         self.automaton = ahocorasick.Automaton()
         for p, k in self.ids.items():
             self.automaton.add_word(p, (len(p), k))
@@ -104,6 +105,13 @@ class PieceTransducer:
         self.stable: dict[int, bool] = {}
         self.limit, self.known = limit, {}
 
+    @staticmethod
+    def _shown(piece: str, kind: int) -> bytes:
+        """What an id adds to a decoded text."""
+        if kind == BYTE:
+            return bytes([int(piece[3:-1], 16)])
+        return b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else piece.replace(SPACE, " ").encode()
+
     # The normaliser transducer.
 
     def normalise(self, text: str) -> str:
@@ -215,16 +223,7 @@ class PieceTransducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and runs of bytes, without the dummy space."""
-        out: list[bytes] = []
-        for k in ids:
-            t = self.types[k]
-            if t == BYTE:
-                out.append(bytes([int(self.pieces[k][3:-1], 16)]))
-            elif t == UNKNOWN:
-                out.append(" ⁇ ".encode())
-            elif t != CONTROL:
-                out.append(self.pieces[k].replace(SPACE, " ").encode())
-        text = b"".join(out).decode("utf-8", "replace")
+        text = b"".join(map(self.shown.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
