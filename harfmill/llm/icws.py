@@ -335,7 +335,7 @@ class NearDuplicates:
     """Classes of near-duplicate documents; `classes` has row, class_row and what the store carries."""
 
     def __init__(
-        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 8 << 20, block: int = 128, carry: tuple[str, ...] = ()
+        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 8 << 20, block: int = 256, carry: tuple[str, ...] = ()
     ) -> None:
         spark = documents.sparkSession
         self.space = space = Workspace(spark, "icws")
