@@ -52,7 +52,7 @@ def encode_bytes(c: Column) -> Column:
 def decode_bytes(ids: Column) -> Column:
     """The text of byte ids; specials go, invalid UTF-8 becomes U+FFFD."""
     hexes = F.transform(F.filter(ids, lambda i: i > UNK), lambda i: F.lpad(F.hex(i - 4), 2, "0"))
-    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-8")
+    return F.make_valid_utf8(F.unhex(F.array_join(hexes, "")).cast("string"))
 
 
 def encode_words(rows: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:

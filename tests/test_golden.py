@@ -114,7 +114,7 @@ def test_integrity_one_means_clitics_one(spark):
 def test_schedule_and_stop(spark):
     lr = [r.x for r in spark.range(11).select(scoring.learning_rate(F.col("id"), 2, 10, "cosine").alias("x")).orderBy("id").collect()]
     assert lr[:3] == [0, 0.5, 1.0] and lr[6] == pytest.approx(0.5) and lr[10] == pytest.approx(0)
-    losses = spark.createDataFrame([(1, s, x) for s, x in enumerate([9, 3, 9, 5, 9, 5, 9, 1.0], 1)] + [(2, s, float(9 - s)) for s in range(1, 9)], "run int, step long, loss double")
+    losses = spark.createDataFrame([(1, s, float(x)) for s, x in enumerate([9, 3, 9, 5, 9, 5, 9, 1], 1)] + [(2, s, float(9 - s)) for s in range(1, 9)], "run int, step long, loss double")
     got = {r.run: r for r in training.stop_table(losses, patience=2, every=2, minimum=2).collect()}
     assert got[1].stopped == 6 and got[1].best_step == 2 and got[1].evals == 3
     assert got[2].stopped is None and got[2].best_step == 8
