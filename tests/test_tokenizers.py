@@ -83,6 +83,16 @@ def test_merges_by_definition():
         words = fresh
 
 
+def test_training_counts_every_word(spark):
+    rare = ["ذرزضظ", "غثخذ"]
+    texts = TEXTS * 2 + ["aaaa aaa abab ababab baab abc bcabc", *rare, "x\x01y \x02\x01"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for kind in ("bpe", "wordpiece"):
+        whole, few = subword.Subword.train(frame, kind, 150), subword.Subword.train(frame, kind, 150, max_words=3)
+        assert few.vocab == whole.vocab and few.merges == whole.merges and whole.merges
+        assert all(subword.UNK not in few.encode(w) for w in rare)
+
+
 def test_root_pattern(spark):
     frame = docs(spark)
     model = rootpattern.RootPattern.train(rootpattern.analysis_table(frame), min_count=1)
