@@ -163,7 +163,7 @@ def _(t):
     from harfmill.functions.morphology import segment
 
     rows = corpora.arabized(t.documents).select("doc_id", F.array_join(F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(segment(w), F.array(w)))), " ").alias("text"))
-    model = subword.Subword.train(rows, "wordpiece", 1000)
+    model = subword.Subword.train(rows, "plain_bpe", 1000)
     return rows.select("doc_id", F.size(model.encode_column(F.col("text"))).cast("long").alias("n_tokens"))
 
 

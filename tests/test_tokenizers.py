@@ -93,6 +93,26 @@ def test_training_counts_every_word(spark):
         assert all(subword.UNK not in few.encode(w) for w in rare)
 
 
+def test_plain_bpe_has_no_marker(spark):
+    frame = spark.createDataFrame([("ab ab abab xb",), ("ab abc",)], "text string")
+    model = subword.Subword.train(frame, "plain_bpe", 9)
+    assert model.tokens == [*subword.SPECIALS, "a", "b", "c", "x"] and model.merges == []
+    model = subword.Subword.train(frame, "plain_bpe", 10)
+    assert model.merges == [("a", "b")] and model.tokens[9] == "ab"
+    assert model.encode("abzab ba") == [1, 9, 3, 9, 6, 5, 2] and model.decode([1, 9, 6, 2]) == "ab b"
+
+
+def test_morpho_bpe_encodes_by_merges(spark, monkeypatch):
+    from harfmill import plans
+
+    kinds = []
+    train = subword.Subword.train.__func__
+    monkeypatch.setattr(subword.Subword, "train", classmethod(lambda cls, frame, kind, size: kinds.append(kind) or train(cls, frame, kind, size)))
+    frame = spark.createDataFrame([(1, "the parts of a word", "en", "s")], "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr("harfmill.plans.base.Tables.__getattr__", lambda self, name: frame)
+    assert plans.QUERIES["encode_morpho_bpe"](spark, "").count() == 1 and kinds == ["plain_bpe"]
+
+
 def test_root_pattern(spark):
     frame = docs(spark)
     model = rootpattern.RootPattern.train(rootpattern.analysis_table(frame), min_count=1)
