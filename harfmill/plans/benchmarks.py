@@ -181,22 +181,33 @@ def _(t):
 _BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: CAST('0x' || h AS BIGINT) + 4)"
 
 
-@query(
-    "batch_pad",
-    f"""WITH {_PAIRS}, r AS (SELECT conv_id % 8 AS shard, conv_id * 1000 + turn AS ex_id, list_slice({_BYTES.format('answer')}, 1, 64) AS ids FROM qa),
+def _batch_sql(max_length):
+    return f"""WITH {_PAIRS}, r AS (SELECT conv_id % 8 AS shard, conv_id * 1000 + turn AS ex_id, list_slice({_BYTES.format('answer')}, 1, {max_length}) AS ids FROM qa),
     b AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY ex_id) - 1) // 4 AS batch_id FROM r), x AS (SELECT *, max(len(ids)) OVER (PARTITION BY shard, batch_id) AS width FROM b)
     SELECT shard, batch_id, ex_id, md5(array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda k: CAST(0 AS BIGINT))), ',')) AS ids_md5, len(ids) AS ones,
-    md5(array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda k: CAST(-100 AS BIGINT))), ',')) AS labels_md5 FROM x""",
-)
-def _(t):
+    md5(array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda k: CAST(-100 AS BIGINT))), ',')) AS labels_md5 FROM x"""
+
+
+def _batches(t, max_length):
     from harfmill.operators.tokenizers import encode_bytes
 
     ids = encode_bytes(F.col("answer"))
     rows = corpora.conversation_pairs(t.conversations).select((F.col("conv_id") % 8).alias("shard"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ex_id"), F.slice(ids, F.lit(2), F.size(ids) - 2).alias("ids"), F.lit(None).cast("array<bigint>").alias("labels"))
-    out = training.batches(rows, 4, max_length=64)
+    out = training.batches(rows, 4, max_length=max_length)
     return out.select("shard", "batch_id", "ex_id", joined_md5(F.col("ids")).alias("ids_md5"), F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"), joined_md5(F.col("labels")).alias("labels_md5"))
 
 
+@query("batch_pad", _batch_sql(64))
+def _(t):
+    return _batches(t, 64)
+
+
+@query("batch_pad_2048", _batch_sql(2048))
+def _(t):
+    """The reference's length for byte ids."""
+    return _batches(t, 2048)
+
+
 @query(
     "lr_schedule",
     f"SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 2 THEN s / 2.0 ELSE 0.5 * (1 + cos({math.pi!r} * least((s - 2) / 8.0, 1.0))) END, 6) AS cosine, round(CASE WHEN s < 2 THEN s / 2.0 ELSE greatest(0.0, 1 - least((s - 2) / 8.0, 1.0)) END, 6) AS linear FROM range(0, 15) AS r(s)",
