@@ -23,16 +23,27 @@ def _(t):
 _CHARS = "SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> ''"
 
 
-@query(
-    "word_char_vectors",
-    f"""WITH rows AS ({WORD_ROWS}), v AS (SELECT map(list(ch), list(id)) AS m FROM (SELECT ch, row_number() OVER (ORDER BY ch) + 6 AS id FROM ({_CHARS}))),
-    w AS (SELECT DISTINCT word FROM rows), x AS (SELECT word, list_concat(list_concat([1], list_transform(list_slice(string_split(word, ''), 1, 10), lambda c: coalesce(m[c], 3))), [2]) AS ids FROM w, v)
-    SELECT word, md5(array_to_string(list_concat(ids, list_transform(range(0, 12 - len(ids)), lambda k: CAST(0 AS BIGINT))), ',')) AS ids_md5 FROM x""",
-)
-def _(t):
+def _vectors_sql(max_chars):
+    return f"""WITH rows AS ({WORD_ROWS}), v AS (SELECT map(list(ch), list(id)) AS m FROM (SELECT ch, row_number() OVER (ORDER BY ch) + 6 AS id FROM ({_CHARS}))),
+    w AS (SELECT DISTINCT word FROM rows), x AS (SELECT word, list_concat(list_concat([1], list_transform(list_slice(string_split(word, ''), 1, {max_chars - 2}), lambda c: coalesce(m[c], 3))), [2]) AS ids FROM w, v)
+    SELECT word, md5(array_to_string(list_concat(ids, list_transform(range(0, {max_chars} - len(ids)), lambda k: CAST(0 AS BIGINT))), ',')) AS ids_md5 FROM x"""
+
+
+def _vectors(t, max_chars):
     vocab = vocabulary.ranked(vocabulary.characters(t.documents), [F.col("token")], 1_114_112, 7)
     words = corpora.word_rows(t.documents).select("word").distinct().crossJoin(F.broadcast(tokenizers.code_table(vocab)))  # one bounded row
-    return words.select("word", joined_md5(tokenizers.word_char_ids(F.col("word"), F.col("codes"), 12)).alias("ids_md5"))
+    return words.select("word", joined_md5(tokenizers.word_char_ids(F.col("word"), F.col("codes"), max_chars)).alias("ids_md5"))
+
+
+@query("word_char_vectors", _vectors_sql(12))
+def _(t):
+    return _vectors(t, 12)
+
+
+@query("word_char_vectors_50", _vectors_sql(50))
+def _(t):
+    """The reference's length of a word."""
+    return _vectors(t, 50)
 
 
 _SPANS = [(1, [1, 5, 6, 2], [1, 5, 6, 7, 8, 2], 3, 4), (2, [1, 5], [1, 5, 9], 2, 2), (3, [1, 5, 2], [1, 5, 2], 3, 3), (4, [1, 9], [1, 5, 6], 1, 2)]

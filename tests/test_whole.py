@@ -17,3 +17,8 @@ def test_long_answers_stay_whole(spark, monkeypatch):
     rows = [(1, 0, "user", "question"), (1, 1, "assistant", "a" * 1500), (2, 0, "user", "question"), (2, 1, "assistant", "b" * 3000)]
     got = run(spark, monkeypatch, "batch_pad_2048", conversations=spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
     assert sorted(r.ones for r in got) == [1500, 2048]
+
+
+def test_long_words_differ(spark, monkeypatch):
+    got = run(spark, monkeypatch, "word_char_vectors_50", documents=documents(spark, "abcdefghijkl abcdefghijkm"))
+    assert len({r.ids_md5 for r in got}) == 2
