@@ -40,11 +40,24 @@ def _(t):
 _ENDS = "list_transform(range(1, greatest(len({0}), 1)), lambda k: CAST(list_sum(list_transform(list_slice({0}, 1, k), lambda x: length(x))) AS BIGINT))"
 
 
-@query("align_offsets", f"WITH {SAMPLE} SELECT word, array_to_string({_ENDS.format('p')}, ',') AS ends FROM (SELECT word, regexp_extract_all(word, '.{{1,3}}') AS p FROM sample)")
-def _(t):
+_ALIGNED = f"SELECT word, array_to_string({_ENDS.format('p')}, ',') AS ends FROM (SELECT word, regexp_extract_all(word, '.{{1,3}}') AS p FROM "
+
+
+def _aligned(words):
     pieces = F.regexp_extract_all("word", F.lit("(.{1,3})"))
     ends = morphology.token_boundaries(pieces, F.col("word"))
-    return corpora.word_sample(corpora.arabized(t.documents)).select("word", F.array_join(F.transform(ends, lambda x: x.cast("string")), ",").alias("ends"))
+    return words.select("word", F.array_join(F.transform(ends, lambda x: x.cast("string")), ",").alias("ends"))
+
+
+@query("align_offsets", f"WITH {SAMPLE} {_ALIGNED}sample)")
+def _(t):
+    return _aligned(corpora.word_sample(corpora.arabized(t.documents)))
+
+
+@query("align_offsets_all", f"WITH {_PAIRS} {_ALIGNED}w)")
+def _(t):
+    """Over all distinct words."""
+    return _aligned(_words(t))
 
 
 _PRO, _ENC = ", ".join(f"'{c}'" for c in morphology.PROCLITICS), ", ".join(f"'{c}'" for c in morphology.ENCLITICS)
@@ -118,9 +131,22 @@ def _(t):
     return t.values("p string, r string", _FILLS).select("p", "r", morphology.fill_pattern(F.col("p"), F.col("r")).alias("surface"))
 
 
-@query("strip_clitic", f"WITH {SAMPLE} SELECT word, regexp_replace(word, '^و', '') AS bare, regexp_replace(word, 'ها$', '') AS bare_end FROM sample")
+_STRIPPED = "SELECT word, regexp_replace(word, '^و', '') AS bare, regexp_replace(word, 'ها$', '') AS bare_end FROM "
+
+
+def _stripped(words):
+    return words.select("word", morphology.strip_proclitic(F.col("word"), "و").alias("bare"), morphology.strip_enclitic(F.col("word"), "ها").alias("bare_end"))
+
+
+@query("strip_clitic", f"WITH {SAMPLE} {_STRIPPED}sample")
+def _(t):
+    return _stripped(corpora.word_sample(corpora.arabized(t.documents)))
+
+
+@query("strip_clitic_all", f"WITH {_PAIRS} {_STRIPPED}w")
 def _(t):
-    return corpora.word_sample(corpora.arabized(t.documents)).select("word", morphology.strip_proclitic(F.col("word"), "و").alias("bare"), morphology.strip_enclitic(F.col("word"), "ها").alias("bare_end"))
+    """Over all distinct words."""
+    return _stripped(_words(t))
 
 
 _TAGS = [("wa_conj", "و"), ("3fs_poss", "ها"), ("Al_det", "ال"), ("2d_pron", "كما"), ("xx_new", "xx_new"), ("0", None), ("na", None), ("", None), (None, None)]

@@ -1,5 +1,7 @@
 """Queries that cover all rows, whole texts and the reference's sizes."""
 
+from pyspark.sql import functions as F
+
 from harfmill import plans
 from harfmill.plans import base
 
@@ -22,3 +24,12 @@ def test_long_answers_stay_whole(spark, monkeypatch):
 def test_long_words_differ(spark, monkeypatch):
     got = run(spark, monkeypatch, "word_char_vectors_50", documents=documents(spark, "abcdefghijkl abcdefghijkm"))
     assert len({r.ids_md5 for r in got}) == 2
+
+
+def test_clitics_of_all_words(spark, monkeypatch):
+    letters = "bcdfghjklm"
+    docs = documents(spark, " ".join(f"{a}{b}{c}" for a in letters for b in letters for c in letters))
+    n = docs.select(F.explode(F.split("text", " ")).alias("w")).distinct().count()
+    for name in ("strip_clitic_all", "align_offsets_all"):
+        got = run(spark, monkeypatch, name, documents=docs)
+        assert len(got) == len({r.word for r in got}) > 500 and n >= len(got)
