@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harfmill.functions import scoring
 from harfmill.operators import corpora, mcq, metrics, reports, training
 from harfmill.plans.base import joined_md5, query, values_sql
-from harfmill.plans.tokens import _BASE, _FAMILY, _family_sql, size_metrics_by_lang
+from harfmill.plans.tokens import _BASE, _BASE_50K, _FAMILY, _family_sql, size_metrics_by_lang
 
 # Parsers, on inline rows.
 _GENERIC = [("س1", "أ", "ب", "ج", "د", None, "B"), ("س2", "أ", "ب", None, None, None, "1"), ("س3", "أ", "", " ", None, None, "E"), (" ", "أ", "ب", None, None, None, "A"), ("س5", "أ", "ب", None, None, None, None), ("س6", "أ", "ب", "ج", "د", "هـ", "e"), ("س7", "أ", "ب", None, None, None, "x")]
@@ -316,9 +316,21 @@ def _(t):
     return reports.comparison(_long(t), "metric", "run", "v", ["char_en", "byte_de", "word_xx"])
 
 
-@query("flatten_metrics", f"WITH {_SWEEP} SELECT tokenizer, lang, fertility AS \"size.fertility\", unk_rate AS \"size.more.unk_rate\" FROM grid")
+_FLAT = 'SELECT tokenizer, lang, fertility AS "size.fertility", unk_rate AS "size.more.unk_rate" FROM grid'
+
+
+def _flat(t, cap):
+    return reports.flatten(size_metrics_by_lang(t, cap).select("tokenizer", "lang", F.struct("fertility", F.struct("unk_rate").alias("more")).alias("size")))
+
+
+@query("flatten_metrics", f"WITH {_SWEEP} {_FLAT}")
+def _(t):
+    return _flat(t, 5000)
+
+
+@query("flatten_metrics_50k", f"WITH {_BASE_50K}, {_GRID} {_FLAT}")
 def _(t):
-    return reports.flatten(size_metrics_by_lang(t).select("tokenizer", "lang", F.struct("fertility", F.struct("unk_rate").alias("more")).alias("size")))
+    return _flat(t, 50_000)
 
 
 @query("metric_corr_regr", f"WITH {_SWEEP} SELECT round(corr(fertility, compression_ratio), 6) AS r, round(regr_slope(compression_ratio, fertility), 6) AS slope, round(regr_intercept(compression_ratio, fertility), 6) AS intercept FROM grid")

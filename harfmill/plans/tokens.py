@@ -174,13 +174,13 @@ def _(t):
     return model.encode_frame(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
 
 
-def _sized(t, family):
+def _sized(t, family, cap=5000):
     docs = t.documents
     if family == "char":
         return _encoded_char(t).select("doc_id", "lang", "text", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda i: i == 3)).cast("long").alias("n_unk"))
     if family == "byte":
         return docs.select("doc_id", "lang", "text", (F.octet_length("text") + 2).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_unk"))
-    known = vocabulary.word_vocab(docs, 5000).select(F.col("token").alias("word"), F.lit(0).cast("long").alias("u"))
+    known = vocabulary.word_vocab(docs, cap).select(F.col("token").alias("word"), F.lit(0).cast("long").alias("u"))
     rows = corpora.word_rows(docs, "doc_id").join(known, "word", "left")
     per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("u", F.lit(1).cast("long"))).alias("n_unk"))
     return docs.join(per, "doc_id", "left").select("doc_id", "lang", "text", (F.coalesce("n", F.lit(0)) + 2).cast("long").alias("n_tokens"), F.coalesce("n_unk", F.lit(0)).cast("long").alias("n_unk"))
@@ -188,8 +188,10 @@ def _sized(t, family):
 
 _RATES = """count(*) AS n_texts, round(sum(n_tokens) / greatest(sum(n_words), 1), 4) AS fertility, round(sum(length(text)) / greatest(sum(n_tokens), 1), 4) AS compression_ratio,
 round(sum(n_unk) / greatest(sum(n_tokens), 1), 6) AS unk_rate, round(sum(n_tokens) / greatest(count(*), 1), 2) AS avg_token_count"""
-_TOP = f"rows AS ({WORD_ROWS}), top AS (SELECT word FROM (SELECT word, count(*) AS cnt, min({{'d': doc_id, 'p': pos}}) AS f FROM rows GROUP BY word) ORDER BY cnt DESC, f.d, f.p LIMIT 5000)"
+_TOP_ALL = f"rows AS ({WORD_ROWS}), top AS (SELECT word FROM (SELECT word, count(*) AS cnt, min({{'d': doc_id, 'p': pos}}) AS f FROM rows GROUP BY word) ORDER BY cnt DESC, f.d, f.p LIMIT 50000)"
+_TOP = _TOP_ALL.replace("LIMIT 50000", "LIMIT 5000")
 _BASE = f"{_TOP}, unknown AS (SELECT doc_id, count(*) FILTER (t.word IS NULL) AS u FROM rows r LEFT JOIN top t ON r.word = t.word GROUP BY doc_id), base AS (SELECT d.doc_id, lang, text, len({words_sql()}) AS n_words, coalesce(u, 0) AS u FROM documents d LEFT JOIN unknown USING (doc_id))"
+_BASE_50K = _BASE.replace(_TOP, _TOP_ALL)
 _FAMILY = {"char": "length(text) + 2 AS n_tokens, 0 AS n_unk", "byte": "octet_length(encode(text)) + 2 AS n_tokens, 0 AS n_unk", "word": "n_words + 2 AS n_tokens, u AS n_unk"}
 
 
@@ -204,23 +206,57 @@ for _name in _FAMILY:
         return metrics.size_metrics(_sized(t, family), [])
 
 
-@query("size_metrics_by_lang", f"WITH {_BASE} " + " UNION ALL ".join(f"{_family_sql(f, f'{chr(39)}{f}{chr(39)} AS tokenizer, lang, ')} GROUP BY lang" for f in ("char", "byte", "word")))
-def size_metrics_by_lang(t):
+@query("size_metrics_word_50k", f"WITH {_BASE_50K} {_family_sql('word', '')}")
+def _(t):
+    return metrics.size_metrics(_sized(t, "word", 50_000), [])
+
+
+_BY_LANG = " UNION ALL ".join(f"{_family_sql(f, f'{chr(39)}{f}{chr(39)} AS tokenizer, lang, ')} GROUP BY lang" for f in ("char", "byte", "word"))
+
+
+@query("size_metrics_by_lang", f"WITH {_BASE} {_BY_LANG}")
+def size_metrics_by_lang(t, cap=5000):
     """The flagship: what each tokenizer family costs per language."""
     out = None
     for family in ("char", "byte", "word"):
-        rows = metrics.size_metrics(_sized(t, family), ["lang"]).select(F.lit(family).alias("tokenizer"), "*")
+        rows = metrics.size_metrics(_sized(t, family, cap), ["lang"]).select(F.lit(family).alias("tokenizer"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-@query("vocab_coverage", f"WITH {_TOP} SELECT lang, round(1 - count(*) FILTER (t.word IS NULL) / greatest(count(*), 1), 4) AS vocab_coverage FROM (SELECT DISTINCT lang, word FROM rows) r LEFT JOIN top t ON r.word = t.word GROUP BY lang")
+@query("size_metrics_by_lang_50k", f"WITH {_BASE_50K} {_BY_LANG}")
 def _(t):
-    known = vocabulary.word_vocab(t.documents, 5000).select(F.col("token").alias("word"), F.lit(False).alias("k"))
+    """The flagship with the word vocabulary that word_vocab_topk builds."""
+    return size_metrics_by_lang(t, 50_000)
+
+
+_COVERAGE = "SELECT lang, round(1 - count(*) FILTER (t.word IS NULL) / greatest(count(*), 1), 4) AS vocab_coverage FROM (SELECT DISTINCT lang, word FROM rows) r LEFT JOIN top t ON r.word = t.word GROUP BY lang"
+
+
+def _coverage(t, cap):
+    known = vocabulary.word_vocab(t.documents, cap).select(F.col("token").alias("word"), F.lit(False).alias("k"))
     distinct = corpora.word_rows(t.documents, "lang").select("lang", "word").distinct().join(known, "word", "left").withColumn("unk", F.col("k").isNull())
     return metrics.vocab_coverage(distinct, ["lang"])
 
 
-@query("unk_rate", f"WITH {_BASE} SELECT lang, round(sum(u) / greatest(sum(n_words + 2), 1), 6) AS unk_rate FROM base GROUP BY lang")
+@query("vocab_coverage", f"WITH {_TOP} {_COVERAGE}")
+def _(t):
+    return _coverage(t, 5000)
+
+
+@query("vocab_coverage_50k", f"WITH {_TOP_ALL} {_COVERAGE}")
+def _(t):
+    return _coverage(t, 50_000)
+
+
+_UNK_RATE = "SELECT lang, round(sum(u) / greatest(sum(n_words + 2), 1), 6) AS unk_rate FROM base GROUP BY lang"
+
+
+@query("unk_rate", f"WITH {_BASE} {_UNK_RATE}")
 def _(t):
     return metrics.size_metrics(_sized(t, "word"), ["lang"]).select("lang", "unk_rate")
+
+
+@query("unk_rate_50k", f"WITH {_BASE_50K} {_UNK_RATE}")
+def _(t):
+    return metrics.size_metrics(_sized(t, "word", 50_000), ["lang"]).select("lang", "unk_rate")

@@ -33,3 +33,11 @@ def test_clitics_of_all_words(spark, monkeypatch):
     for name in ("strip_clitic_all", "align_offsets_all"):
         got = run(spark, monkeypatch, name, documents=docs)
         assert len(got) == len({r.word for r in got}) > 500 and n >= len(got)
+
+
+def test_word_vocabulary_of_50000(spark, monkeypatch):
+    docs = documents(spark, " ".join(f"w{k}" for k in range(6000)))
+    for name in ("size_metrics_word_50k", "size_metrics_by_lang_50k", "unk_rate_50k"):
+        assert all(r.unk_rate == 0 for r in run(spark, monkeypatch, name, documents=docs))
+    assert [r.vocab_coverage for r in run(spark, monkeypatch, "vocab_coverage_50k", documents=docs)] == [1.0]
+    assert all(r["size.more.unk_rate"] == 0 for r in run(spark, monkeypatch, "flatten_metrics_50k", documents=docs))
