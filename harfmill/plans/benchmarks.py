@@ -316,6 +316,13 @@ def _(t):
     return reports.comparison(_long(t), "metric", "run", "v", ["char_en", "byte_de", "word_xx"])
 
 
+@query("comparison_all", f"WITH {_SWEEP}, {_LONG}, filled AS (SELECT metric, run, printf('%.4f', v) AS cell FROM long) SELECT * FROM (PIVOT filled ON run USING coalesce(max(cell), '—') GROUP BY metric)")
+def _(t):
+    """Every run of the grid: as many columns as tokenizers x languages."""
+    langs = sorted(r[0] for r in t.documents.where("lang is not null").select("lang").distinct().collect())
+    return reports.comparison(_long(t), "metric", "run", "v", [f"{f}_{lang}" for f in _FAMILY for lang in langs])
+
+
 _FLAT = 'SELECT tokenizer, lang, fertility AS "size.fertility", unk_rate AS "size.more.unk_rate" FROM grid'
 
 

@@ -62,6 +62,16 @@ def _(t):
     return t.embeddings.select("vec_id", mean(0).alias("first_block"), mean(15).alias("last_block"), F.ceil(F.size("embedding") / 4).cast("int").alias("blocks"))
 
 
+@query("block_means_all", "SELECT vec_id, list_transform(range(0, CAST(ceil(len(embedding) / 4.0) AS BIGINT)), lambda k: round(list_avg(list_slice(CAST(embedding AS DOUBLE[]), 4 * k + 1, 4 * k + 4)), 6)) AS means FROM embeddings")
+def _(t):
+    """The mean of every block of 4; the last one can be shorter."""
+    x = F.col("embedding").cast("array<double>")
+    block = lambda k: F.slice(x, 4 * k + 1, F.lit(4))
+    mean = lambda k: F.round(F.aggregate(block(k), F.lit(0.0), lambda a, v: a + v) / F.size(block(k)), 6)
+    blocks = F.filter(F.sequence(F.lit(0), F.ceil(F.size(x) / 4).cast("int")), lambda k: 4 * k < F.size(x))
+    return t.embeddings.select("vec_id", F.transform(blocks, mean).alias("means"))
+
+
 _ANALYSES = [(1, "ك.ت.ب", "1ا2ي3", "كتب"), (2, "ك_ت#ب", "123", "كتب"), (3, "NTWS", "123", None), (4, "كت", "123", None), (5, "كتب", None, None), (6, None, "123", None), (7, "كتب", "", None)]
 
 

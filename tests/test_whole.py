@@ -41,3 +41,12 @@ def test_word_vocabulary_of_50000(spark, monkeypatch):
         assert all(r.unk_rate == 0 for r in run(spark, monkeypatch, name, documents=docs))
     assert [r.vocab_coverage for r in run(spark, monkeypatch, "vocab_coverage_50k", documents=docs)] == [1.0]
     assert all(r["size.more.unk_rate"] == 0 for r in run(spark, monkeypatch, "flatten_metrics_50k", documents=docs))
+
+
+def test_every_block_and_run(spark, monkeypatch):
+    vectors = spark.createDataFrame([(1, [float(k) for k in range(70)]), (2, [])], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.means for r in run(spark, monkeypatch, "block_means_all", embeddings=vectors)}
+    assert got == {1: [4 * k + 1.5 for k in range(17)] + [68.5], 2: []}
+    docs = documents(spark, "a b").unionByName(documents(spark, "c").withColumn("lang", F.lit("fr")))
+    got = run(spark, monkeypatch, "comparison_all", documents=docs)
+    assert sorted(got[0].asDict()) == sorted(["metric", *[f"{f}_{lang}" for f in ("char", "byte", "word") for lang in ("en", "fr")]]) and len(got) == 3
