@@ -1,19 +1,22 @@
-"""A block codec for token ids: context mixing and a range coder.
+"""A block codec for token ids: adaptive context mixing and a range coder.
 
-Each block of `BLOCK` ids is coded on its own: all adaptive state is reset, and
-a CRC-32 of its ids goes into the index.  Three predictions drive the coder:
+Each block of `BLOCK` ids is coded on its own: all state starts anew, nothing
+but the number of symbols is needed beside its bytes, and a CRC-32 of its ids
+goes into the index.  Three predictions drive the coder:
 
 * order 2: the id that last followed the two ids before (hashed context);
 * order 1: the id that last followed the id before (hashed context);
-* order 0: the file's histogram of ids, stored once in its header.
+* order 0: how often each id has come up in the block, counted anew at the
+  places in `EPOCHS`; what is left goes to a fixed falling curve over all ids.
 
 Orders 2 and 1 come with a confidence state (hits in a row); for each state the
 block learns how often such a prediction holds.  The two probabilities are
 mixed (added up as independent evidence where both orders name one id, else
 order 1 gets its share of what order 2 leaves), and the rest of the interval,
-never less than a sixteenth, is shared out by order 0.  A 48-bit range coder
-with 24-bit frequencies turns the intervals into 16-bit digits; carries are
-resolved afterwards.
+never less than a sixteenth, is shared out by order 0, which in turn leaves a
+sixteenth at least, and more the more distinct ids it has met, to ids that are
+new to the block.  A 48-bit range coder with 28-bit frequencies turns the
+intervals into 16-bit digits; carries are resolved afterwards.
 
 Coding is sequential within a block but not across blocks, so blocks are coded
 side by side as lanes of numpy arrays: one step codes one id of every lane.
@@ -25,68 +28,130 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-LANES = 4096
-_SLOTS1, _SLOTS2, _STATES = 1024, 2048, 16
-_BITS0, _BITS = 20, 24
-_EMPTY = 0xFFFF
+BLOCK = 1024
+LANES = 8192
+#: Places in a block at which order 0 counts what has come so far.
+EPOCHS = (0, 64, 192, 512)
+_SLOTS1, _SLOTS2, _STATES = 512, 1024, 16
+_BITS0, _BITS = 20, 28
+_EMPTY, _LEAST = 0xFFFF, 64
 U64 = np.uint64
 LARGEST_ID = 0xFFFE
 
 
-def order0(ids: np.ndarray) -> np.ndarray:
-    """Frequencies of all ids up to the largest, each at least 1, that add up to 2**20."""
-    counts = np.bincount(ids, minlength=1).astype(np.int64)
-    n, total = len(counts), max(int(counts.sum()), 1)
-    freq = 1 + counts * ((1 << _BITS0) - n) // total
-    freq[int(np.argmax(freq))] += (1 << _BITS0) - int(freq.sum())
-    return freq
+def prior(symbols: int) -> np.ndarray:
+    """Bounds of a fixed falling curve over the ids below `symbols`: each gets 1 of 2**20 at least, the last bound is 2**20."""
+    weight = (1 << 30) // (np.arange(symbols, dtype=np.int64) + 128)
+    freq = 1 + weight * ((1 << _BITS0) - symbols) // int(weight.sum())
+    freq[0] += (1 << _BITS0) - int(freq.sum())
+    return np.concatenate([[0], np.cumsum(freq)]).astype(U64)
 
 
-class _Model:
-    """The predictions of all lanes, and what they have learnt.
+def check_ids(ids: np.ndarray) -> np.ndarray:
+    """The ids, if the codec can hold them; ValueError otherwise."""
+    ids = np.asarray(ids)
+    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > LARGEST_ID):
+        raise ValueError(f"ids must lie between 0 and {LARGEST_ID}")
+    return ids
+
 
-    A slot holds an id and above it the confidence state; state 0 is an empty slot, which predicts nothing.
+class _Contexts:
+    """The predictions of orders 1 and 2 in all lanes, and what they have learnt; row 0 of each array is order 1's.
+
+    A slot holds an id and above it the confidence state; an empty slot is in state 0 and names an id that cannot come.
     """
 
-    def __init__(self, lanes: int, freq: np.ndarray) -> None:
+    def __init__(self, lanes: int) -> None:
         lane = np.arange(lanes, dtype=np.int64)
-        self.base1, self.base2, self.states = lane * _SLOTS1, lane * _SLOTS2, lane * _STATES
+        self.base1, self.base2 = lane * _SLOTS1, lanes * _SLOTS1 + lane * _SLOTS2
+        self.states = np.arange(2 * lanes, dtype=np.int64).reshape(2, -1) * _STATES
         self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.slot = [np.full(lanes * s, _EMPTY, np.uint32) for s in (_SLOTS1, _SLOTS2)]
+        self.slot = np.full(lanes * (_SLOTS1 + _SLOTS2), _EMPTY, np.uint32)
         start = np.minimum(30000 + 2500 * np.arange(_STATES), 62000).astype(np.int32)
-        start[0] = 0
-        self.hold = [np.tile(start, lanes) for _ in range(2)]
-        self.low = np.concatenate([[0], np.cumsum(freq)]).astype(U64)
-
-    def predict(self, k: int) -> None:
-        """Predicted ids and widths of their intervals, for the first k lanes."""
-        one, two = self.one[:k], self.two[:k]
-        at1 = ((one * 40503) >> 6 & (_SLOTS1 - 1)) + self.base1[:k]
-        at2 = ((one * 2654435761 + two * 2246822519) >> 9 & (_SLOTS2 - 1)) + self.base2[:k]
-        held1, held2 = self.slot[0].take(at1, mode="clip"), self.slot[1].take(at2, mode="clip")
-        self.at = at1, at2
-        self.guess1, self.guess2 = held1 & 0xFFFF, held2 & 0xFFFF
-        self.state1, self.state2 = held1 >> 16, held2 >> 16
-        self.cell1, self.cell2 = self.states[:k] + self.state1, self.states[:k] + self.state2
-        self.p1, self.p2 = self.hold[0].take(self.cell1, mode="clip"), self.hold[1].take(self.cell2, mode="clip")
-        p1, p2 = self.p1.view(np.uint32), self.p2.view(np.uint32)
+        start[0] = _LEAST
+        self.hold = np.tile(start, 2 * lanes)
+        self.at = np.empty((2, lanes), np.int64)
+
+    def predict(self) -> None:
+        """Guesses, and where the interval of order 2's and that of either's guess ends (order 2's comes first)."""
+        np.add(self.one * 40503 >> 6 & (_SLOTS1 - 1), self.base1, out=self.at[0])
+        np.add(self.one * 2654435761 + self.two * 2246822519 >> 9 & (_SLOTS2 - 1), self.base2, out=self.at[1])
+        held = self.slot.take(self.at, mode="clip")
+        self.guess, self.state = held & np.uint32(0xFFFF), held >> np.uint32(16)
+        self.cell = self.states + self.state
+        self.p = self.hold.take(self.cell, mode="clip")
+        p1, p2 = self.p.view(np.uint32)
         rest = (65536 - p2) * p1 >> 16
-        same = self.guess1 == self.guess2
-        self.w2 = (p2 + rest * same) * 240
-        self.w12 = (p2 + rest) * 240
-        self.w0 = (1 << _BITS) - self.w12
-
-    def learn(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray, k: int) -> None:
-        """ids as uint32; one and two: where orders 1 and 2 were right."""
-        for n, (hit, p, cell, state) in enumerate(((one, self.p1, self.cell1, self.state1), (two, self.p2, self.cell2, self.state2))):
-            p += (hit * np.int32(62000) - p) >> 4
-            np.maximum(p, 64, out=p)  # no prediction's interval may vanish
-            p *= state > 0
-            self.hold[n][cell] = p
-            self.slot[n][self.at[n]] = ids | (np.minimum(state * hit + 1, _STATES - 1) << 16)
-        self.two[:k] = self.one[:k]
-        self.one[:k] = ids
+        self.w2 = (p2 + rest * (self.guess[0] == self.guess[1])) * 3840
+        self.w12 = (p2 + rest) * 3840
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """ids as uint32; hit: where each order was right."""
+        p = self.p
+        p += (hit * np.int32(62000) - p) >> 4
+        np.maximum(p, _LEAST, out=p)  # no prediction's interval may vanish
+        self.hold[self.cell] = p
+        self.state *= hit
+        self.state += 1
+        np.minimum(self.state, _STATES - 1, out=self.state)
+        self.slot[self.at] = self.state << np.uint32(16) | ids
+        self.two, self.one = self.one, ids.astype(np.int64)
+
+
+def _share(steps: int, distinct: np.ndarray) -> np.ndarray:
+    """Of 2**16 parts of what order 0 gets, those for each id met, with so many distinct ids among `steps`."""
+    return (np.minimum((steps << 16) // (steps + distinct), 61440) // steps).astype(U64)
+
+
+class _Counts:
+    """Order 0 for the decoder: the ids that the lanes have met, as sorted rows; `past` is steps x lanes."""
+
+    def __init__(self, past: np.ndarray) -> None:
+        self.steps = len(past)
+        if not self.steps:
+            return
+        rows = np.array(past.T, np.uint16, order="C")
+        rows.sort(axis=1)
+        first = np.ones(rows.shape, bool)
+        np.not_equal(rows[:, 1:], rows[:, :-1], out=first[:, 1:])
+        heads = np.flatnonzero(first)
+        size = np.diff(np.append(heads, first.size))
+        self.ids, self.row = rows.reshape(-1).astype(np.uint32), np.arange(len(rows)) * self.steps
+        self.last = U64(self.steps - 1)
+        self.size, self.head = np.repeat(size.astype(np.uint16), size), np.repeat((heads % self.steps).astype(np.uint16), size)
+        self.share = _share(self.steps, first.sum(1))
+
+
+class _Ranks:
+    """Order 0 for the encoder: for each step and lane how many of the ids met at the last count are smaller, and how many are equal."""
+
+    def __init__(self, grid: np.ndarray) -> None:
+        steps, n = grid.shape
+        self.rank, self.size = np.zeros((steps, n), np.uint16), np.zeros((steps, n), np.uint16)
+        epochs = [(lo, hi) for lo, hi in zip(EPOCHS[1:], (*EPOCHS[2:], steps), strict=True) if lo < steps]
+        self.share = {lo: np.empty(n, U64) for lo, _ in epochs}
+        bits = np.uint32(steps.bit_length())
+        place = np.arange(steps, dtype=np.uint32)
+        for a in range(0, n if epochs else 0, 128):
+            keys = np.ascontiguousarray(grid[:, a : a + 128].T) << bits | place
+            keys.sort(axis=1)
+            pos = (keys & np.uint32((1 << int(bits)) - 1)).ravel()
+            keys >>= bits
+            first = np.ones(keys.shape, bool)
+            np.not_equal(keys[:, 1:], keys[:, :-1], out=first[:, 1:])
+            heads = np.flatnonzero(first)
+            of = np.cumsum(first.ravel(), dtype=np.int32) - np.int32(1)
+            target = pos.astype(np.int64) * n + a + np.repeat(np.arange(len(keys)), steps)
+            for lo, hi in epochs:
+                met = (pos < lo).reshape(keys.shape)
+                until = np.cumsum(met, axis=1, dtype=np.uint16).ravel()
+                met = met.ravel()
+                self.share[lo][a : a + 128] = _share(lo, (first.ravel() & met).reshape(keys.shape).sum(1))
+                at = np.flatnonzero((pos >= lo) & (pos < min(hi, steps)))
+                head = heads[of[at]]
+                below = until[head] - met[head]
+                self.rank.reshape(-1)[target[at]] = below
+                self.size.reshape(-1)[target[at]] = until[at] - below
 
 
 def _groups(lanes: int) -> list[tuple[int, int]]:
@@ -95,32 +160,69 @@ def _groups(lanes: int) -> list[tuple[int, int]]:
     return list(zip(edge[:-1], edge[1:], strict=True))
 
 
-def encode(ids: np.ndarray, freq: np.ndarray) -> tuple[list[bytes], list[int]]:
-    """The coded blocks of an id sequence and their checksums."""
-    ids = np.asarray(ids)
-    if len(ids) and (int(ids.min()) < 0 or int(ids.max()) > LARGEST_ID):
-        raise ValueError(f"ids must lie between 0 and {LARGEST_ID}")
+def encode(ids: np.ndarray, symbols: int) -> tuple[list[bytes], list[int]]:
+    """The coded blocks of an id sequence (all ids below `symbols`) and their checksums."""
+    ids = check_ids(ids)
     lanes = -(-len(ids) // BLOCK)
+    low0 = prior(symbols)
     blocks: list[bytes] = []
     for lo, hi in _groups(lanes) if lanes else []:
         part = ids[lo * BLOCK : hi * BLOCK]
         n, tail = hi - lo, len(part) - (hi - lo - 1) * BLOCK
         grid = np.zeros(n * BLOCK, np.uint32)
         grid[: len(part)] = part
-        blocks += _encode_lanes(np.ascontiguousarray(grid.reshape(n, BLOCK).T), n, tail, freq)
+        blocks += _encode_lanes(np.ascontiguousarray(grid.reshape(n, BLOCK).T), n, tail, low0)
     sums = [zlib.crc32(ids[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(ids), BLOCK)]
     return blocks, sums
 
 
-def _encode_lanes(grid: np.ndarray, n: int, tail: int, freq: np.ndarray) -> list[bytes]:
-    model = _Model(n, freq)
+def _spans(steps: int) -> list[tuple[int, int]]:
+    """The steps in spans that lie in one epoch each and are short enough for the processor's cache."""
+    edges = sorted({*range(0, steps, 128), *(e for e in EPOCHS if e < steps), steps})
+    return list(zip(edges[:-1], edges[1:], strict=True))
+
+
+def _intervals(grid: np.ndarray, model: _Contexts, ranks: _Ranks, since: int, lo: int, hi: int, low0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the intervals of the steps from lo to hi begin, and their widths; order 0 has counted at step `since`."""
+    n = grid.shape[1]
+    begin, width, foreseen = np.empty((hi - lo, n), np.uint32), np.empty((hi - lo, n), np.uint32), np.empty((hi - lo, n), bool)
+    for t in range(lo, hi):
+        x = grid[t]
+        model.predict()
+        hit = model.guess == x
+        np.multiply(model.w2, ~hit[1], out=begin[t - lo])
+        np.subtract(np.where(hit[1], model.w2, model.w12), begin[t - lo], out=width[t - lo])
+        np.logical_or(hit[0], hit[1], out=foreseen[t - lo])
+        model.learn(x, hit)
+    # What orders 1 and 2 have not foreseen, for all steps at once.
+    at = np.flatnonzero(~foreseen)
+    ids = grid[lo:hi].reshape(-1)[at]
+    flat_begin, flat_width = begin.reshape(-1), width.reshape(-1)
+    over = (flat_begin[at] + flat_width[at]).astype(U64)
+    rest = U64(1 << _BITS) - over
+    if since:
+        unit = rest * ranks.share[since][at % n] >> U64(16)
+        size = ranks.size[lo:hi].reshape(-1)[at].astype(U64)
+        flat_begin[at] = over + unit * ranks.rank[lo:hi].reshape(-1)[at]
+        flat_width[at] = unit * size
+        new = size == 0
+        seen = unit[new] * U64(since)
+        at, ids, over, rest = at[new], ids[new], over[new] + seen, rest[new] - seen
+    base = low0[ids] * rest >> U64(_BITS0)
+    flat_begin[at] = over + base
+    flat_width[at] = (low0[ids + 1] * rest >> U64(_BITS0)) - base
+    return begin, width
+
+
+def _encode_lanes(grid: np.ndarray, n: int, tail: int, low0: np.ndarray) -> list[bytes]:
+    """The last lane ends after `tail` steps; what it codes after that is cut off."""
+    model = _Contexts(n)
     low, span = np.zeros(n, U64), np.full(n, 1 << 48, U64)
     steps = BLOCK if n > 1 else tail
-    room = 2 * steps + 8
+    room = 2 * steps + 12
     digits = np.zeros(room * n, np.uint32)
     used = np.zeros(n, np.int64)
-    top, mask, edge = U64(32), U64(0xFFFFFFFF), U64(1 << 32)
-    shift, shift0 = U64(_BITS), U64(_BITS0)
+    top, mask, edge, shift = U64(32), U64(0xFFFFFFFF), U64(1 << 32), U64(_BITS)
 
     def emit(at: np.ndarray) -> None:
         x = low[at]
@@ -129,90 +231,105 @@ def _encode_lanes(grid: np.ndarray, n: int, tail: int, freq: np.ndarray) -> list
         span[at] <<= U64(16)
         used[at] += 1
 
-    low0 = model.low
-    for t in range(steps):
-        k = n if t < tail else n - 1
-        x = grid[t, :k]
-        model.predict(k)
-        one, two = model.guess1 == x, model.guess2 == x
-        w2, w12, w0 = model.w2, model.w12, model.w0
-        begin, width = w2 * ~two, np.where(two, w2, w12 - w2)
-        at = np.flatnonzero(~(one | two))
-        y, w = x[at], w0[at].astype(U64)
-        base = low0.take(y, mode="clip") * w >> shift0
-        begin[at] = w12[at] + base
-        width[at] = (low0.take(y + 1, mode="clip") * w >> shift0) - base
-        unit = span[:k] >> shift
-        low[:k] += unit * begin
-        np.multiply(unit, width, out=span[:k])
-        at = np.flatnonzero(span[:k] < edge)
-        while len(at):
-            emit(at)
-            at = at[span[at] < edge]
-        model.learn(x, one, two, k)
-    for _ in range(3):
-        emit(np.arange(n))
-    out = digits.reshape(room, n)[: int(used.max())]
+    def end(lanes: np.ndarray) -> None:
+        for _ in range(3):
+            emit(lanes)
+        low[lanes], span[lanes] = 0, 1 << 48
+
+    ranks, last = _Ranks(grid[:steps]), np.array([n - 1])
+    for lo, hi in _spans(steps):
+        begin, width = _intervals(grid, model, ranks, max(e for e in EPOCHS if e <= lo), lo, hi, low0)
+        for t in range(lo, hi):
+            if t == tail:
+                end(last)
+                length = int(used[-1])
+            unit = span >> shift
+            low += unit * begin[t - lo]
+            np.multiply(unit, width[t - lo], out=span)
+            at = np.flatnonzero(span < edge)
+            while len(at):
+                emit(at)
+                at = at[span[at] < edge]
+    end(np.arange(n))
+    if tail < steps:
+        used[-1] = length
+    out = digits.reshape(room, n)[: int(used.max()) + 1]
     for p in range(len(out) - 1, 0, -1):
         out[p - 1] += out[p] >> np.uint32(16)
     out = np.ascontiguousarray((out & np.uint32(0xFFFF)).astype(">u2").T)
     return [out[j, : used[j]].tobytes() for j in range(n)]
 
 
-def decode(blocks: list[bytes], sums: list[int], total: int, freq: np.ndarray) -> np.ndarray:
+def decode(blocks: list[bytes], sums: list[int], total: int, symbols: int) -> np.ndarray:
     """The id sequence of coded blocks; raises ValueError where a block's checksum differs."""
     out = np.empty(total, np.uint16)
+    low0 = prior(symbols)
+    find = np.repeat(np.arange(symbols, dtype=np.uint32), np.diff(low0).astype(np.int64))
     for lo, hi in _groups(len(blocks)) if blocks else []:
         a, b = lo * BLOCK, min(hi * BLOCK, total)
-        out[a:b] = _decode_lanes(blocks[lo:hi], b - a - (hi - lo - 1) * BLOCK, freq)
+        out[a:b] = _decode_lanes(blocks[lo:hi], b - a - (hi - lo - 1) * BLOCK, low0, find)
     for k, s in enumerate(sums):
         if zlib.crc32(out[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) != s:
             raise ValueError(f"block {k} is damaged: its checksum differs")
     return out
 
 
-def _decode_lanes(blocks: list[bytes], tail: int, freq: np.ndarray) -> np.ndarray:
+def _decode_lanes(blocks: list[bytes], tail: int, low0: np.ndarray, find: np.ndarray) -> np.ndarray:
     n = len(blocks)
-    model = _Model(n, freq)
+    model = _Contexts(n)
     size = np.fromiter(map(len, blocks), np.int64, n) // 2
-    flat = np.concatenate([np.frombuffer(b"".join(b[: 2 * s] for b, s in zip(blocks, size.tolist(), strict=True)), ">u2").astype(U64), np.zeros(8, U64)])
+    flat = np.concatenate([np.frombuffer(b"".join(b[: 2 * s] for b, s in zip(blocks, size.tolist(), strict=True)), ">u2").astype(np.uint16), np.zeros(8, np.uint16)])
     place = np.cumsum(size) - size
-    code = flat[place] << U64(32) | flat[place + 1] << U64(16) | flat[place + 2]
+    code = flat[place].astype(U64) << U64(32) | flat[place + 1].astype(U64) << U64(16) | flat[place + 2]
     place += 3
     span = np.full(n, 1 << 48, U64)
     steps = BLOCK if n > 1 else tail
     grid = np.zeros((steps, n), np.uint16)
-    find = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
-    edge, shift, shift0 = U64(1 << 32), U64(_BITS), U64(_BITS0)
-    low0, last = model.low, U64((1 << _BITS) - 1)
-    end = len(flat) - 1
+    edge, shift, shift0, sixteen = U64(1 << 32), U64(_BITS), U64(_BITS0), U64(16)
+    last, whole = U64((1 << _BITS) - 1), U64(1 << _BITS)
+    counts = _Counts(grid[:0])
     for t in range(steps):
-        k = n if t < tail else n - 1
-        model.predict(k)
+        if t in EPOCHS:
+            counts = _Counts(grid[:t])
+        model.predict()
         w2, w12 = model.w2, model.w12
-        unit = span[:k] >> shift
-        value = np.minimum(code[:k] // unit, last)
-        two = value < w2
-        x = np.where(two, model.guess2, model.guess1)
-        begin, width = w2 * ~two, np.where(two, w2, w12 - w2)
-        at = np.flatnonzero(value >= w12)
+        unit = span >> shift
+        value = np.minimum(code // unit, last)
+        two, seen = value < w2, value < w12
+        x = np.where(two, model.guess[1], model.guess[0])
+        begin = w2 * ~two
+        width = np.where(two, w2, w12) - begin
+        over = w12.astype(U64)
+        rest, ahead = whole - over, value - over
+        if counts.steps:
+            one = rest * counts.share >> sixteen
+            nth = ahead // one
+            cell = counts.row + np.minimum(nth, counts.last).view(np.int64)
+            x = np.where(seen, x, counts.ids.take(cell))
+            begin = np.where(seen, begin, over + one * counts.head.take(cell))
+            width = np.where(seen, width, one * counts.size.take(cell))
+            seen |= nth <= counts.last
+            met = one * U64(counts.steps)
+            over, rest, ahead = over + met, rest - met, ahead - met
+        else:
+            begin, width = begin.astype(U64), width.astype(U64)
+        at = np.flatnonzero(~seen)
         if len(at):
-            w = model.w0[at].astype(U64)
-            over = w12[at]
-            y = ((value[at] - over + U64(1) << shift0) - U64(1)) // w
+            z_rest = rest[at]
+            y = ((ahead[at] + U64(1) << shift0) - U64(1)) // z_rest
             z = find.take(y.astype(np.int64), mode="clip")
-            base = low0.take(z, mode="clip") * w >> shift0
+            base = low0.take(z) * z_rest >> shift0
             x[at] = z
-            begin[at] = over + base
-            width[at] = (low0.take(z + 1, mode="clip") * w >> shift0) - base
-        code[:k] -= unit * begin
-        np.multiply(unit, width, out=span[:k])
-        at = np.flatnonzero(span[:k] < edge)
+            begin[at] = over[at] + base
+            width[at] = (low0.take(z + 1) * z_rest >> shift0) - base
+        code -= unit * begin
+        np.multiply(unit, width, out=span)
+        at = np.flatnonzero(span < edge)
         while len(at):
-            code[at] = code[at] << U64(16) | flat[np.minimum(place[at], end)]
-            span[at] <<= U64(16)
+            code[at] = code[at] << sixteen | flat.take(place[at], mode="clip")
+            span[at] <<= sixteen
             place[at] += 1
             at = at[span[at] < edge]
-        grid[t, :k] = x
-        model.learn(x, model.guess1 == x, model.guess2 == x, k)
+        grid[t] = x
+        model.learn(x, model.guess == x)
     return grid.T.reshape(-1)[: (n - 1) * BLOCK + tail] if n > 1 else grid[:tail, 0]

@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harfmill.llm import chains, html_density, icws, impact_topk, packing, pfp_dedup, piece_fst, quality, sphere_dedup, token_store
 
-#: Folder of the public vocabulary files; a parameter of the operators.
-VOCABULARIES = "/opt/tokenizers"
-
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def vocabulary(name: str) -> str:
-    return f"{VOCABULARIES}/{name}"
+    """The place of a public vocabulary file, which the operators take as a parameter."""
+    return public_tokenizers.path(name)
 
 
 def op1_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,12 +43,16 @@ def ship(spark: SparkSession) -> None:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Where the session has none (a single machine, as in tests) a temporary
-    folder of this process takes its place and goes when the process ends.
+    Where the session has none and is local, as in tests, a temporary folder of
+    this process takes its place and goes when the process ends; on a cluster
+    ValueError, as executors would write where no other machine can read.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _OWN_ROOT:
         _OWN_ROOT.append(tempfile.mkdtemp(prefix="harfmill-shared-"))
         atexit.register(shutil.rmtree, _OWN_ROOT[0], ignore_errors=True)

@@ -13,20 +13,24 @@ units between them.  A unit starts
 
 Texts with white space beyond ASCII are left to the library whole.  Units are
 told apart by two independent 64-bit hashes of their bytes, computed for all
-units of a batch with numpy; only units never seen before reach the library,
-Latin-script words many to a call.  `tests/llm` holds the ids against the
-library's own encoding of whole texts, also of random ones.
+units of a batch with numpy; only units never seen before reach the library.
+Of these, Latin-script words go many to a line, to a copy of the tokenizer that
+splits at spaces only; ids that begin or end a word tell them apart again.
+Where the vocabulary drops case, Latin letters lose it before units are
+compared.  `tests/llm` holds the ids against the library's own encoding of
+whole texts, also of random ones.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 from itertools import chain
 
 import numpy as np
 
-from harfmill.llm.bytesops import CHUNK, IDLE, POLY, U64, doc_chunks, mix, ragged
+from harfmill.llm.bytesops import CHUNK, IDLE, POLY, U64, doc_chunks, lower, mix, ragged
 
 _L, _S, _P, _A, _H = 1, 2, 3, 4, 5
 _CLASS = np.full(256, _P, np.uint8)
@@ -76,6 +80,75 @@ def unit_starts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, (data[start] == 32) & (other[end - 1] - other[start] == 0) & (end - start > 1)
 
 
+def _words_only(path: str):
+    """The tokenizer for lines of words with a space before each, whether it drops case, and which ids begin or end a word; None if unknown."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as source:
+        plan = json.load(source)
+    model, split = plan["model"], plan.get("pre_tokenizer") or {}
+    steps = [x["type"] for x in (plan.get("normalizer") or {}).get("normalizers", [])]
+    if model["type"] != "BPE" or plan.get("post_processor", None) and plan["post_processor"]["type"] != "ByteLevel":
+        return None
+    if model["end_of_word_suffix"] and split.get("type") == "Sequence" and steps == ["NFC", "Replace", "Lowercase"]:
+        behavior, case, edge = "Removed", True, lambda t: t.endswith(model["end_of_word_suffix"])
+    elif not model["end_of_word_suffix"] and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not steps:
+        behavior, case, edge = "MergedWithNext", False, lambda t: t.startswith("\u0120")
+    else:
+        return None
+    level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    plan |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": behavior, "invert": False}, level]}}
+    marks = np.zeros(max(model["vocab"].values()) + 1, bool)
+    marks[[k for t, k in model["vocab"].items() if edge(t)]] = True
+    return Tokenizer.from_str(json.dumps(plan)), case, marks
+
+
+class _Known:
+    """The units met so far by their two hashes: a table addressed by the first hash's upper bits, and sorted overflow."""
+
+    BITS = 21
+
+    def __init__(self) -> None:
+        self.table = np.zeros(1 << self.BITS, np.int32)
+        self.count = 1  # entry 0 stands for an empty place
+        self.columns = [np.zeros(1 << 16, t) for t in (U64, U64, np.int64, np.int32)]
+        self.flat, self.used = np.empty(1 << 18, np.int32), 0
+        self.over, self.over_at = np.empty(0, U64), np.empty(0, np.int32)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The entry of each unit, 0 where it is unknown or in the overflow."""
+        at = self.table[(key >> U64(64 - self.BITS)).astype(np.int64)]
+        return at * ((self.columns[0][at] == key) & (self.columns[1][at] == check))
+
+    def find_over(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.over, key)
+        out = np.zeros(len(key), np.int32)
+        ok = at < len(self.over)
+        ok[ok] = self.over[at[ok]] == key[ok]
+        out[ok] = self.over_at[at[ok]]
+        return out * (self.columns[1][out] == check)
+
+    def add(self, key: np.ndarray, check: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New units, and all their ids."""
+        n = self.count + len(key)
+        while n > len(self.columns[0]):
+            self.columns = [np.concatenate([c, np.zeros_like(c)]) for c in self.columns]
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        for column, values in zip(self.columns, (key, check, self.used + np.cumsum(size) - size, size), strict=True):
+            column[self.count : n] = values
+        place = np.arange(self.count, n, dtype=np.int32)
+        slot = (key >> U64(64 - self.BITS)).astype(np.int64)
+        free = self.table[slot] == 0
+        self.table[slot[free]] = place[free]
+        late = np.flatnonzero(self.table[slot] != place)
+        late = late[np.argsort(key[late])]
+        where = np.searchsorted(self.over, key[late])
+        self.over, self.over_at = np.insert(self.over, where, key[late]), np.insert(self.over_at, where, place[late])
+        self.count, self.used = n, self.used + len(ids)
+
+
 class Encoder:
     """Ids of texts as numpy arrays; remembers up to `limit` distinct units."""
 
@@ -85,50 +158,43 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.limit = limit
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.index = np.empty(0, U64), np.empty(0, np.int64)
-        self.check = np.empty(0, U64)
-        self.flat, self.used = np.empty(1 << 20, np.int32), 0
-        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.words, self.no_case, self.marks = _words_only(path) or (None, False, None)
+        self.limit, self.known = limit, _Known()
 
     def _library(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def _ids_of(self, strings: list[str], plain: np.ndarray) -> list[list[int]]:
-        """The ids of new units; plain ones go to the library in lines of many, told apart by each id's pre-token number."""
-        out: list[list[int]] = [[]] * len(strings)
-        rest = np.flatnonzero(~plain).tolist()
-        places = np.flatnonzero(plain).tolist()
-        lines = [places[k : k + 128] for k in range(0, len(places), 128)]
-        for line, e in zip(lines, self.library.encode_batch(["".join([strings[k] for k in line]) for line in lines], add_special_tokens=False), strict=True):
-            ids, number = e.ids, np.asarray([-1 if w is None else w for w in e.word_ids])
-            edge = np.searchsorted(number, np.arange(len(line) + 1))
-            if len(ids) and number[-1] == len(line) - 1 and (np.diff(edge) > 0).all() and edge[-1] == len(ids):
-                for k, a, b in zip(line, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    out[k] = ids[a:b]
-            else:
-                rest += line
-        for k, ids in zip(rest, self._library([strings[k] for k in rest]), strict=True):
-            out[k] = ids
-        return out
-
-    def _learn(self, keys: np.ndarray, check: np.ndarray, strings: list[str], plain: np.ndarray) -> None:
-        ids = self._ids_of(strings, plain)
+    def _ids_of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of units, and each one's number of ids, by the library."""
+        raw = data.tobytes()
+        ids = self._library([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.int32, total)
-        place = len(self.start) + np.arange(len(ids))
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.check = np.concatenate([self.check, check])
-        self.used += total
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.index = np.insert(self.keys, where, keys), np.insert(self.index, where, place)
+        return np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())), size
+
+    def _ids_of_words(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for units of a space and Latin letters, 128 to a line."""
+        if self.words is None or not len(start):
+            return self._ids_of(data, start, end)
+        raw = data[ragged(start, end - start)].tobytes()
+        edge = np.concatenate([[0], np.cumsum(end - start)])[[*range(0, len(start), 128), len(start)]].tolist()
+        lines = [raw[a:b].decode() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        if self.no_case:
+            lines = [x.lower() for x in lines]
+        found = [e.ids for e in self.words.encode_batch_fast(lines, add_special_tokens=False)]
+        length = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.int32, int(length.sum()))
+        mark = self.marks[ids]
+        per_line = np.add.reduceat(mark, np.cumsum(length) - length, dtype=np.int64) if (length > 0).all() else length
+        if not (per_line[:-1] == 128).all() or per_line.sum() != len(start):  # an id that tells nothing about its word
+            return self._ids_of(data, start, end)
+        at = np.flatnonzero(mark)
+        return ids, np.diff(at, prepend=-1) if self.no_case else np.diff(np.append(at, len(ids)))
+
+    def _learn(self, key: np.ndarray, check: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, plain: np.ndarray) -> None:
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        start, end, words = start[order], end[order], int(plain.sum())
+        ids, size = zip(self._ids_of_words(data, start[:words], end[:words]), self._ids_of(data, start[words:], end[words:]), strict=True)
+        self.known.add(key[order], check[order], np.concatenate(ids), np.concatenate(size))
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (UTF-8 bytes and row offsets), concatenated, and each text's number of ids."""
@@ -142,34 +208,34 @@ class Encoder:
         n = len(off) - 1
         if not len(data):
             return np.empty(0, np.int32), np.zeros(n, np.int64)
-        if len(self.start) > self.limit:
-            self._forget()
+        if self.known.count > self.limit or self.known.used > 16 * self.limit:
+            self.known = _Known()
+        text = data
+        if self.no_case and not ((data == 0xCC) | (data == 0xCD)).any():  # marks may join a letter of one case only
+            data = lower(data)
         start, plain = unit_starts(data, off)
         end = np.append(start[1:], len(data))
         key, check = (mix(p.span(p.prefix(data), start, end) + (end - start).astype(U64)) for p in POLY)
-        order = np.argsort(key)
-        s, c = key[order], check[order]
-        new = np.ones(len(s), bool)
-        new[1:] = s[1:] != s[:-1]
-        if (~new[1:] & (c[1:] != c[:-1])).any():
-            return self._whole(data, off)
-        head = order[new]
-        distinct, seen = key[head], np.zeros(len(head), bool)
-        at = np.searchsorted(self.keys, distinct)
-        inside = at < len(self.keys)
-        seen[inside] = self.keys[at[inside]] == distinct[inside]
-        if (self.check[self.index[at[seen]]] != check[head[seen]]).any():
-            return self._whole(data, off)
-        fresh = head[~seen]
-        if len(fresh):
-            raw = data.tobytes()
-            strings = [raw[a:b].decode() for a, b in zip(start[fresh].tolist(), end[fresh].tolist(), strict=True)]
-            self._learn(key[fresh], check[fresh], strings, plain[fresh])
-            at = np.searchsorted(self.keys, distinct)
-        place = np.empty(len(key), np.int64)
-        place[order] = np.repeat(self.index[at], np.diff(np.append(np.flatnonzero(new), len(s))))
-        size = self.size[place]
-        ids = self.flat[ragged(self.start[place], size)]
+        known = self.known
+        entry = known.find(key, check)
+        rest = np.flatnonzero(entry == 0)
+        if len(rest):
+            rest = rest[np.argsort(key[rest])]
+            k, c = key[rest], check[rest]
+            new = np.ones(len(rest), bool)
+            new[1:] = k[1:] != k[:-1]
+            if (~new[1:] & (c[1:] != c[:-1])).any():
+                return self._whole(text, off)
+            head = rest[new]
+            if (known.find_over(key[head], check[head]) == 0).any():
+                fresh = head[known.find_over(key[head], check[head]) == 0]
+                self._learn(key[fresh], check[fresh], data, start[fresh], end[fresh], plain[fresh])
+            found = known.find(key[head], check[head])
+            entry[rest] = np.repeat(np.where(found > 0, found, known.find_over(key[head], check[head])), np.diff(np.append(np.flatnonzero(new), len(k))))
+            if (entry[rest] == 0).any():  # two units with one first hash
+                return self._whole(text, off)
+        size = known.columns[3][entry]
+        ids = known.flat[ragged(known.columns[2][entry], size)]
         edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, off)]
         counts = np.diff(edge)
         odd = np.unique(np.searchsorted(off, _wide_space(data), "right") - 1)

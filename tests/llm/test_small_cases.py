@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -156,36 +157,94 @@ def test_encoder_equals_library(name):
         assert ids[edge[k] : edge[k + 1]].tolist() == code.library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 2047, 2048, 2049, 30000])
+@pytest.mark.parametrize("n", [0, 1, 7, 1023, 1024, 1025, 30000])
 def test_codec_round_trip(n):
     r = np.random.default_rng(n)
-    for ids in (r.integers(0, 65535, n), np.where(r.random(n) < 0.9, 5, r.integers(0, 400, n)), np.resize([3, 1, 4, 1, 5], n)):
-        freq = mixcoder.order0(ids)
-        blocks, sums = mixcoder.encode(ids, freq)
-        assert (mixcoder.decode(blocks, sums, n, freq) == ids).all()
+    for ids in (r.integers(0, 65535, n), np.where(r.random(n) < 0.9, 5, r.integers(0, 400, n)), np.resize([3, 1, 4, 1, 5], n), r.zipf(1.3, n) % 50000):
+        symbols = int(ids.max(initial=0)) + 1
+        blocks, sums = mixcoder.encode(ids, symbols)
+        assert (mixcoder.decode(blocks, sums, n, symbols) == ids).all()
+        for k in range(0, len(blocks), 7):  # each block on its own, in another order
+            part = ids[k * mixcoder.BLOCK : (k + 1) * mixcoder.BLOCK]
+            assert (mixcoder.decode([blocks[k]], [sums[k]], len(part), symbols) == part).all()
+    blocks, sums = mixcoder.encode(np.resize([3, 1, 4, 1, 5], n), 6)
     if n > 3000:
-        assert len(blocks[0]) < 200  # a period of five ids is learnt
-        damaged = [blocks[0][:-4] + bytes(4), *blocks[1:]]
-        with pytest.raises(ValueError):
-            mixcoder.decode([b[::-1] for b in damaged], sums, n, freq)
+        assert len(blocks[0]) < 150  # a period of five ids is learnt
+        for damaged in ([b[::-1] for b in blocks], [bytes(len(b)) for b in blocks], [b"\xff" * len(b) for b in blocks]):
+            with pytest.raises(ValueError):
+                mixcoder.decode(damaged, sums, n, 6)
 
 
-def test_token_files(spark):
-    rows = [(k * 7 % 101, prose(k, k)) for k in range(101)] + ODD
-    path = vocabulary("word_bpe_49k.json")
-    code = Encoder(path).library
-    files = token_store.TokenFiles(frame(spark, rows), path, 2, shard_bytes=4000)
+def test_codec_learns_order_0():
+    """Ids in no order at all: order 0 alone can tell the few from the many, in each block anew."""
+    ids = np.random.default_rng(1).integers(0, 16, 8192) * 2999 + 7
+    blocks, _ = mixcoder.encode(ids, 50000)
+    assert sum(map(len, blocks)) < 0.75 * 8192  # 4 bits an id at best, 16 without learning
+
+
+@pytest.mark.parametrize("bad", [70_000, 65_535, -1])
+def test_ids_out_of_range(bad):
+    with pytest.raises(ValueError):
+        mixcoder.encode(np.array([1, bad]), 70_001)
+    with pytest.raises(ValueError):
+        mixcoder.check_ids(np.array([bad, 3]))
+
+
+def _stored(files, rows, code):
+    """The documents of the files, after a check that they follow each other, by id, without a gap."""
     got = sorted(files.read(keep_ids=True).collect(), key=lambda r: r.start)
-    want = sorted(((i is None, i, t or "") for i, t in rows), key=lambda x: (x[0], x[1] or 0, x[2].encode()))
     start = 0
-    for r, (_, i, t) in zip(got, want, strict=True):
-        ids = code.encode(t, add_special_tokens=False).ids + [2]
-        raw = np.asarray(ids, "<u4").tobytes()
-        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (i, start, len(ids), zlib.crc32(raw), raw)
-        start += len(ids)
+    for r in got:
+        assert r.start == start and len(r.ids) == 4 * r.n_tokens and r.ids_crc32 == zlib.crc32(bytes(r.ids))
+        start += r.n_tokens
+    order = [(r.doc_id is None, r.doc_id or 0) for r in got]
+    assert order == sorted(order)
+    want = Counter((i, tuple(code.encode(t or "", add_special_tokens=False).ids + [2])) for i, t in rows)
+    assert Counter((r.doc_id, tuple(np.frombuffer(bytes(r.ids), "<u4").tolist())) for r in got) == want
+
+
+def test_token_files(spark, monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    code = Encoder(path).library
+    rows = [(k * 7 % 101, prose(k, k)) for k in range(101)] + ODD
+    _stored(token_store.TokenFiles(frame(spark, rows), path, 2, range_bytes=4000), rows, code)
+    hot = [(5, prose(30, k % 3)) for k in range(200)] + [(None, prose(9, 1))] * 60
+    files = token_store.TokenFiles(frame(spark, hot), path, 2, range_bytes=2000)
+    _stored(files, hot, code)
+    sizes = [r.documents for r in files.manifest.collect()]
+    assert len(sizes) > 5 and max(sizes) < 80  # one doc_id, many tasks
+    names = {r.name for r in files.manifest.collect()}
+    folder = Path(files.folder.removeprefix("file://"))
+    (next(folder.iterdir()) / "stray.hmtoken").write_bytes(b"x")
+    assert files.sweep() == 1 and {p.name for p in folder.rglob("*.hmtoken")} == names
     assert token_store.round_trip(frame(spark, []), path, 2).count() == 0
 
 
+def test_token_files_of_a_long_range():
+    """A task writes several shards where its range is long."""
+    from tempfile import TemporaryDirectory
+
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, None], pa.int64()), "text": ["one two", "", "three"]})
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 4
+
+    with TemporaryDirectory() as d, pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_store, "TaskContext", Context)
+        patch.setattr(token_store, "SHARD_IDS", 2)
+        listed = [b.to_pydict() for b in token_store._write(iter([docs, docs]), f"file://{d}", vocabulary("word_bpe_49k.json"), 2)]
+        assert [x["seq"][0] for x in listed] == list(range(len(listed))) and len(listed) == 2
+        names = [x["name"][0] for x in listed]
+        rows = pa.RecordBatch.from_pydict({"part": pa.array([4, 4], pa.int32()), "name": names, "before": pa.array([0, 7], pa.int64())})
+        assert [x for b in token_store._read(iter([rows]), f"file://{d}", False) for x in b.column("doc_id").to_pylist()] == [1, 2, None] * 2
+
+
 def test_packing(spark):
     rows = [(k, prose(k * 3 % 50, k)) for k in range(90)] + ODD + [(5000, prose(3000, 1))]
     path = vocabulary("byte_bpe_50k.json")
