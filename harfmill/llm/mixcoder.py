@@ -29,7 +29,7 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-LANES = 8192
+LANES = 3072
 #: Places in a block at which order 0 counts what has come so far.
 EPOCHS = (0, 64, 192, 512)
 _SLOTS1, _SLOTS2, _STATES = 512, 1024, 16
@@ -116,9 +116,9 @@ class _Counts:
         np.not_equal(rows[:, 1:], rows[:, :-1], out=first[:, 1:])
         heads = np.flatnonzero(first)
         size = np.diff(np.append(heads, first.size))
-        self.ids, self.row = rows.reshape(-1).astype(np.uint32), np.arange(len(rows)) * self.steps
-        self.last = U64(self.steps - 1)
-        self.size, self.head = np.repeat(size.astype(np.uint16), size), np.repeat((heads % self.steps).astype(np.uint16), size)
+        self.row, self.last = np.arange(len(rows)) * self.steps, U64(self.steps - 1)
+        # For each id met its number, how many are smaller and how often it was met: one look-up.
+        self.cells = rows.reshape(-1) | np.repeat((heads % self.steps).astype(U64) << U64(16) | size.astype(U64) << U64(32), size)
         self.share = _share(self.steps, first.sum(1))
 
 
@@ -304,10 +304,10 @@ def _decode_lanes(blocks: list[bytes], tail: int, low0: np.ndarray, find: np.nda
         if counts.steps:
             one = rest * counts.share >> sixteen
             nth = ahead // one
-            cell = counts.row + np.minimum(nth, counts.last).view(np.int64)
-            x = np.where(seen, x, counts.ids.take(cell))
-            begin = np.where(seen, begin, over + one * counts.head.take(cell))
-            width = np.where(seen, width, one * counts.size.take(cell))
+            cell = counts.cells.take(counts.row + np.minimum(nth, counts.last).view(np.int64))
+            x = np.where(seen, x, cell.astype(np.uint16))
+            begin = np.where(seen, begin, over + one * (cell >> sixteen & U64(0xFFFF)))
+            width = np.where(seen, width, one * (cell >> U64(32)))
             seen |= nth <= counts.last
             met = one * U64(counts.steps)
             over, rest, ahead = over + met, rest - met, ahead - met
