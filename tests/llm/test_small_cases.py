@@ -61,6 +61,96 @@ def test_main_text():
     assert html_density.main_text("<body>" + "<div>" * 3000 + "deep") == "deep"
 
 
+PARAGRAPH = "Rain fell on the old harbour for most of the day, and the boats stayed where they were until the evening."
+BODY = "".join(f"<p>{k} {PARAGRAPH}</p>" for k in range(3))
+PROSE = " ".join(f"{k} {PARAGRAPH}" for k in range(3))
+MENU = "<nav><ul><li><a href=/a>Start</a></li><li><a href=/b>Team</a></li></ul></nav>"
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['<div class="layout has-sidebar">{}</div>', '<div class="content no-footer">{}</div>', '<section id="research-share">{}</section>', "<form id=f action=/go/>{}<input></form>", '<div class="widget">{}</div>', "<main>{}</main>", "<article>{}</article>", "<div>{}</div>", '<div id="sidebar-wrapper">{}</div>'],
+)
+def test_wrapped_prose_stays(wrapper):
+    page = f"<html><body>{MENU}{wrapper.format(BODY)}<footer>all rights reserved</footer></body></html>"
+    assert html_density.main_text(page) == PROSE
+
+
+def test_parts_of_an_article():
+    words = f'<article><h1>Title</h1>{BODY}<p class="comment-free">a block</p><ul class=more><li><a href=1>one more story</a><li><a href=2>and one more</a></ul><h2>Next</h2><p>short</p></article>'
+    assert html_density.main_text(f"<body>{MENU}{words}</body>") == f"Title {PROSE} a block Next short"
+    post = f'<div class=post><h1>Title</h1>{BODY}</div>'
+    comments = '<div class="{}">' + "<p>what a reader says about it, at length</p>" * 40 + "</div>"
+    for name in ("comments", "reader-comments", "post-comments comments-area", "acme-comments", "commentList"):
+        assert html_density.main_text(f"<body>{post}{comments.format(name)}</body>") == f"Title {PROSE}", name
+    assert html_density.main_text("<body><nav class=menu/><a href=x>HOME</a> ABOUT</nav><article><p>Text</p></article></body>") == "Text"
+    short = "<body><article><p>Few words.</p></article><footer>a footer that says a great deal more than the article itself does</footer></body>"
+    assert html_density.main_text(short) == "Few words."
+
+
+@pytest.mark.parametrize("part", ["<div>", "<![CDATA[", "<a ", '<a href="', "<a b='c\" ", "<b>", "<p><b>", "<table><tr><td>", "<!--", "<", "<style>", "<a>", "</i>", "&amp", "<li></li>", "<title>", "<ul><li>"])
+def test_long_hostile_pages(part):
+    """Time grows with length only: a page of a megabyte takes seconds at most."""
+    from time import process_time
+
+    before = process_time()
+    html_density.main_text("<ul><li><div>" + part * ((1 << 20) // len(part)) + "</x>" * 100)
+    assert process_time() - before < 6
+
+
+def test_densities_against_definition():
+    """Composite density and sums on random trees, by recursion over the tree as it was made."""
+    r = random.Random(8)
+
+    def make(depth):
+        kids = []
+        for _ in range(r.randint(0, 4) if depth else 3):
+            kind = r.choice(["text", "b", "node", "a"]) if depth < 5 else "text"
+            word = "w" * r.randint(1, 30)
+            kids.append(word if kind == "text" else ("b", [word]) if kind == "b" else ("a", [word]) if kind == "a" else (r.choice(["div", "section", "ul"]), make(depth + 1)))
+        return kids
+
+    def html(kids):
+        return "".join(k if isinstance(k, str) else f"<{k[0]}>{html(k[1])}</{k[0]}>" for k in kids)
+
+    def count(kids, link=False):
+        c = lc = t = lt = 0
+        for k in kids:
+            if isinstance(k, str):
+                c, lc = c + len(k), lc + len(k) * link
+            else:
+                x = count(k[1], link or k[0] == "a")
+                c, lc, t, lt = c + x[0], lc + x[1], t + x[2] + 1, lt + x[3] + (k[0] == "a")
+        return c, lc, t, lt
+
+    def density(kids, share, link):
+        c, lc, t, lt = count(kids, link)
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        return max(0.0, c / t * math.log(c / max(lc, 1) * t / max(lt, 1)) / math.log(c / max(c - lc, 1) * lc + share * c + math.e))
+
+    for _ in range(60):
+        kids = make(0)
+        tree = html_density._parse(f"<body>{html(kids)}</body>")
+        c, lc, _, _ = count(kids)
+        want, sums = [], []
+
+        def walk(kids, link, share):
+            place = len(want)
+            want.append(density(kids, share, link))
+            sums.append(0.0)
+            for k in kids:
+                if not isinstance(k, str) and k[0] != "b":
+                    sums[place] += walk(k[1], link or k[0] == "a", share)
+            return want[place]
+
+        walk(kids, False, lc / max(c, 1))
+        got, total, body, _ = html_density._densities(tree, [False] * len(tree.tag))
+        assert body == 1 and len(got) == len(want) + 1
+        assert np.allclose(got[1:], want) and np.allclose(total[1:], sums)
+
+
 def test_extract_frame(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a b</p>", 1), (2, None, None, 2), (2, None, None, 2)], "page_id long, url string, html string, text int")
     got = html_density.extract(pages)
