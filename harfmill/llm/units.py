@@ -103,7 +103,7 @@ def _words_only(path: str):
     return Tokenizer.from_str(json.dumps(plan)), case, marks
 
 
-class _Known:
+class Known:
     """The units met so far by their two hashes: a table addressed by the first hash's upper bits, and sorted overflow."""
 
     BITS = 21
@@ -159,7 +159,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words, self.no_case, self.marks = _words_only(path) or (None, False, None)
-        self.limit, self.known = limit, _Known()
+        self.limit, self.known = limit, Known()
 
     def _library(self, strings: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
@@ -209,7 +209,7 @@ class Encoder:
         if not len(data):
             return np.empty(0, np.int32), np.zeros(n, np.int64)
         if self.known.count > self.limit or self.known.used > 16 * self.limit:
-            self.known = _Known()
+            self.known = Known()
         text = data
         if self.no_case and not ((data == 0xCC) | (data == 0xCD)).any():  # marks may join a letter of one case only
             data = lower(data)

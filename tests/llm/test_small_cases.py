@@ -217,6 +217,100 @@ def test_pieces_equal_library():
         assert ours.decode(ids) == theirs.decode(ids), t
 
 
+def merged(model, text):
+    """BPE by its definition: join the best-scored neighbours (leftmost of equals) until none is a piece."""
+    signs = list(text)
+    while True:
+        best, where = -math.inf, -1
+        for k in range(len(signs) - 1):
+            i = model.ids.get(signs[k] + signs[k + 1])
+            if i is not None and model.scores[i] > best:
+                best, where = model.scores[i], k
+        if where < 0:
+            return signs
+        signs[where : where + 2] = [signs[where] + signs[where + 1]]
+
+
+def test_piece_pairs_fit_as_merges_say():
+    model = piece_fst.PieceTransducer(vocabulary("piece_bpe_32k.model"))
+    r = random.Random(6)
+    common = [p for p in model.ids if 1 <= len(p) <= 5 and set(p) <= set("▁abcdeinorst")]
+    pairs = [(r.choice(common), r.choice(common).replace("▁", "")) for _ in range(4000)]
+    pairs = [(a, b) for a, b in pairs if b in model.ids]
+    got = model._fits(np.array([model.ids[a] for a, _ in pairs]), np.array([model.ids[b] for _, b in pairs]))
+    want = [merged(model, a + b) == [a, b] for a, b in pairs]
+    assert got.tolist() == want and 100 < sum(want) < len(want) - 100
+    for size in (40, 200, 3000):  # side by side and alone
+        text = "".join(r.choice("aaabcdeinorsté日") for _ in range(size))
+        ids = [model.ids[x] if x in model.ids else None for x in merged(model, "▁" + text)]
+        want = [k for x, y in zip(ids, merged(model, "▁" + text)) for k in ([x] if x is not None else [model.bytes[b] for b in y.encode()])]
+        assert model.encode(text) == want
+
+
+def _proto(number, value):
+    """A field of a protocol-buffer message."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + np.float32(value).tobytes()
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def model_file(path, pieces, kind, character_map=b"", byte_pieces=False, **flags):
+    """A model by hand: nothing is trained."""
+    out = b"".join(_proto(1, _proto(1, p) + _proto(2, 0.0) + _proto(3, t)) for p, t in (("<unk>", 2), ("<s>", 3), ("</s>", 3)))
+    if byte_pieces:
+        out += b"".join(_proto(1, _proto(1, f"<0x{b:02X}>") + _proto(2, 0.0) + _proto(3, 6)) for b in range(256))
+    out += b"".join(_proto(1, _proto(1, p) + _proto(2, float(s)) + _proto(3, 1)) for p, s in pieces.items())
+    out += _proto(2, _proto(3, kind) + _proto(35, int(byte_pieces)))
+    out += _proto(3, _proto(1, "own") + _proto(2, character_map) + _proto(3, flags.get("dummy", 1)) + _proto(4, flags.get("trim", 1)) + _proto(5, 1))
+    Path(path).write_bytes(out)
+    return str(path)
+
+
+@pytest.mark.parametrize("bytes_", [False, True])
+@pytest.mark.parametrize("spaced", [False, True])
+def test_unigram_shortest_path_equals_library(tmp_path, bytes_, spaced):
+    import sentencepiece
+
+    r = random.Random(3)
+    pieces = {ch: -8.0 - k / 4 for k, ch in enumerate("▁abcde")}
+    while len(pieces) < 60:
+        p = "".join(r.choice("▁aabbcde" if spaced else "aabbcde") for _ in range(r.randint(2, 5)))
+        pieces.setdefault(("▁" if r.random() < 0.4 else "") + p, -r.randint(8, 120) / 8 - len(pieces) / 1024)
+    if not spaced:
+        pieces = {p: s for p, s in pieces.items() if "▁" not in p[1:]}
+    path = model_file(tmp_path / "own.model", pieces, 1, byte_pieces=bytes_, trim=0)
+    ours, theirs = piece_fst.PieceTransducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert ours.apart != spaced
+    for _ in range(300):
+        text = "".join(r.choice("aaabbcde  éx") for _ in range(r.choice([0, 1, 5, 30, 200])))
+        assert ours.encode(text) == theirs.encode(text), text
+        assert ours.decode(ours.encode(text)) == theirs.decode(theirs.encode(text))
+
+
+def test_normaliser_equals_library(tmp_path):
+    import sentencepiece
+
+    named = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc_cf")
+    spec = dict(f for n, v in piece_fst._fields(named.serialized_model_proto()) if n == 3 for f in piece_fst._fields(v))
+    path = model_file(tmp_path / "map.model", {"▁": -1.0, "a": -2.0}, 1, spec[2])
+    ours, theirs = piece_fst.PieceTransducer(path).normalise, sentencepiece.SentencePieceNormalizer(model_file=path)
+    assert len(ours.rules) > 1000
+    r = random.Random(2)
+    signs = "aB ﬁ½Éé\u0301Å\u030a①㌔\u3000\t\xa0ſß가각ｶﾞ日İ"
+    for text in ["", " ", "Ｆｕｌｌ  width", *["".join(r.choice(signs) for _ in range(r.randint(1, 30))) for _ in range(500)]]:
+        assert ours(text) == theirs.normalize(text), repr(text)
+
+
 def test_pieces_frame(spark):
     rows = ODD + [(1, prose(30, 1))]
     got = piece_fst.encode_documents(frame(spark, rows), vocabulary("piece_bpe_32k.model"), keep=True).collect()
