@@ -534,6 +534,21 @@ def test_sphere(spark, cell_rows):
     assert sphere_dedup.near_duplicates(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "double"])
+def test_sphere_extremes(spark, kind):
+    """Vectors of any magnitude, labels of any type, and a vector that most rows share."""
+    name = {"string": ["a", "b"], "double": [1.2, 1.7]}[kind]
+    rows = [(k, [1.0 + k % 3 / 1000, 2.0, 3.0], name[0]) for k in range(300)]
+    rows += [(1000, [1e200, 2e200, 3e200], name[0]), (1001, [1e-170, 2e-170, 3e-170], name[0]), (1002, [5e-324, 1e-323, 1.5e-323], name[0]), (1003, [1e308, -1e308, 0.0], name[0])]
+    rows += [(2000, [1.0, 2.0, 3.0], name[1]), (2001, [-0.0, 1.0, 0.0], name[1]), (2002, [0.0, 1.0, 0.0], name[1])]
+    vectors = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, label {kind}").withColumns({c: F.lit(1) for c in ("row", "h", "weight", "cell", "id", "dim")})
+    got = {r.vec_id: r for r in sphere_dedup.near_duplicates(vectors, block=32).collect()}
+    assert len(got) == len(rows)
+    assert all((got[k].n_links, got[k].component_id) == (302, 0) for k in [*range(300), 1000, 1001, 1002])
+    assert (got[1003].n_links, got[1003].component_id) == (0, 1003)
+    assert [(got[k].n_links, got[k].component_id, got[k].kept) for k in (2000, 2001, 2002)] == [(0, 2000, True), (1, 2001, True), (1, 2001, False)]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1040)] + [(2000, 2000 + k) for k in range(1, 300)] + [(7, 7)]
