@@ -1,79 +1,97 @@
 """Exact top-k inner products from an impact-ordered index, score at a time.
 
-Components are integers, floor(scale * x).  The candidates are cut into blocks;
-a block's index holds, for each level of the components' magnitude, the posting
-segment of all (dimension, row) pairs whose quantised magnitude is that level,
-and for each row the norm of what the levels so far have not covered.
-
-A query block processes the segments by descending impact: each adds
-query weight times quantised impact to the scores.  After a segment the true
-score of a row differs from its accumulated score by at most
-|query| * |uncovered rest of the row| (Cauchy-Schwarz).  Rows whose upper bound
-lies below the k-th largest lower bound are out, by proof.  Processing stops
-when few rows are left in or the segments are used up; those rows are rescored
-exactly, in integers.  Query vectors and candidate blocks meet as a grid of
-bounded groups, so neither side is broadcast.
+Components are integers, floor(scale * x).  The candidates are cut into blocks,
+and each block is indexed once and stored: for each level of the components'
+magnitude a posting segment of the (row, dimension, sign) triples whose
+quantised magnitude is that level, with the norms of what the segments so far
+leave of each row; and the rows themselves, for rescoring.
+
+A group of queries meets a block's index and processes its segments by
+descending impact: each adds query weight times quantised impact to the scores
+of the rows it names.  After a segment the true score of a row differs from its
+accumulated score by at most |query| * |what is left of the row|
+(Cauchy-Schwarz).  Rows whose upper bound lies below the k-th largest lower
+bound are out, by proof, and rows that are out for all queries get no further
+postings.  Processing stops when few rows are left in or the segments are used
+up; those rows are rescored exactly, in integers.  Query groups and indexed
+blocks meet as a grid of bounded groups, so neither side is broadcast.
 
 Results in odd cases: vectors that are null, empty or hold null or non-finite
 components take no part, nor do rows with a null id; vectors of different
 lengths don't meet.  Candidates with the query's id are the query itself.
 Where an id repeats among the queries, its smallest vector is the query; each
 repeated candidate row is a candidate.  Ties go to the smaller id.  Queries
-without candidates have no rows.
+without candidates have no rows.  Components beyond 2**30 after scaling raise.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from harfmill.llm.bytesops import expand, squeeze, trim
 from harfmill.llm.shared import Workspace
 from harfmill.llm.sphere_dedup import valid_vectors
 
 _OUT = "query_id long, vec_id long, score long"
+_INDEX = "dim int, cb int, level int, impact long, n long, payload binary"
+LEVELS = 16
+_LARGEST = 1 << 30
 
 
-def segments(x: np.ndarray, levels: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The posting segments by descending impact, as signed matrices, and the norms of each row's rest after each.
+class Segment(NamedTuple):
+    """Postings of one impact: rows, dimensions and signs, and the norms of all rows' rest after it."""
 
-    Level 0, whose quantised impact is zero, needs no segment.
-    """
+    impact: int
+    row: np.ndarray
+    dim: np.ndarray
+    sign: np.ndarray
+    norm: np.ndarray
+
+
+def segments(x: np.ndarray, levels: int = LEVELS) -> list[Segment]:
+    """The posting segments of a block by descending impact.  Level 0, whose quantised impact is zero, needs none."""
     size = np.abs(x)
     step = 1 << max(0, int(size.max(initial=0)).bit_length() - levels.bit_length() + 1)
-    level = size // step
-    sign, rest = np.sign(x), x.astype(np.float64)
-    out, norms = [], []
+    level, rest, out = size // step, x.astype(np.float64), []
     for k in range(int(level.max(initial=0)), 0, -1):
-        impact = np.where(level == k, sign * (k * step), 0)
-        rest = rest - impact
-        out.append(impact)
-        norms.append(np.sqrt((rest * rest).sum(1)))
-    return out, norms
+        row, dim = np.nonzero(level == k)
+        sign = np.sign(x[row, dim]).astype(np.int8)
+        rest[row, dim] -= sign * float(k * step)
+        out.append(Segment(k * step, row.astype(np.int32), dim.astype(np.int32), sign, np.sqrt((rest * rest).sum(1))))
+    return out
 
 
-def block_top(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int, levels: int = 16, few: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best rows of one block: query positions, row positions, scores."""
-    parts, norms = segments(c, levels)
-    limit = c.shape[1] * int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0))
+def block_top(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, parts: list[Segment], k: int, few: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best rows of one indexed block: query positions, row positions, scores."""
+    n, d = c.shape
+    limit = d * int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0))
     kind = np.float32 if limit < 2**23 else np.float64  # sums are exact below the mantissa
     weight, length = q.astype(kind), np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    score = np.zeros((len(q), len(c)), kind)
+    score = np.zeros((len(q), n), kind)
     barred = q_id[:, None] == c_id[None]
-    possible = ~barred
+    possible, active = ~barred, np.ones(n, bool)
     slack = 1 + 1e-6
-    for n, (impact, norm) in enumerate(zip(parts, norms, strict=True)):
-        score += weight @ impact.astype(kind).T
-        if n % 3 != 2 and n != len(parts) - 1:
+    for number, part in enumerate(parts):
+        named = active[part.row]
+        rows, place = np.unique(part.row[named], return_inverse=True)
+        if len(rows):
+            impact = np.zeros((len(rows), d), kind)
+            impact[place, part.dim[named]] = part.sign[named] * kind(part.impact)
+            score[:, rows] += weight @ impact.T
+        if number % 3 != 2 and number != len(parts) - 1:
             continue
-        bound = length[:, None] * norm[None] * slack + 1e-3
-        if len(c) > k:
-            low = np.where(barred, -np.inf, score - bound)
-            least = np.partition(low, len(c) - k, axis=1)[:, len(c) - k]
-            possible = ~barred & (score + bound >= least[:, None])
+        bound = length[:, None] * part.norm[None] * slack + 1e-3
+        if n > k:
+            low = np.where(possible, score - bound, -np.inf)
+            least = np.partition(low, n - k, axis=1)[:, n - k]
+            possible &= score + bound >= least[:, None]
+            active = possible.any(0)
         if possible.sum() <= few * k * len(q):
             break
     row, col = np.nonzero(possible)
@@ -85,18 +103,48 @@ def block_top(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray,
     return row[keep], col[keep], exact[keep]
 
 
-def _group(table: pa.Table, k: int) -> pa.Table:
-    role = table.column("role").to_numpy()
-    ids = table.column("id").to_numpy()
+def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     d = int(table.column("dim")[0].as_py())
     x = table.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-    q, c = role == 1, role == 0
-    if not q.any() or not c.any():
-        a, b, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    else:
-        a, b, s = block_top(ids[q], x[q], ids[c], x[c], k)
-        a, b = ids[q][a], ids[c][b]
-    return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(s, pa.int64())})
+    if len(x) and np.abs(x).max() > _LARGEST:
+        raise ValueError("components beyond 2**30 after scaling")
+    return table.column("id").to_numpy(), x
+
+
+def _index(table: pa.Table) -> pa.Table:
+    """The stored index of one block: a row for each segment, and one (level 0) with ids and vectors."""
+    ids, x = _matrix(table)
+    n, out = len(ids), []
+    out.append((0, 0, n, squeeze(ids.astype(np.int64), x.astype(np.int32))))
+    for level, s in enumerate(segments(x), 1):
+        out.append((level, s.impact, len(s.row), squeeze(s.norm, s.row, s.dim, s.sign)))
+    level, impact, size, payload = zip(*out, strict=True)
+    where = {c: pa.array([table.column(c)[0].as_py()] * len(out), pa.int32()) for c in ("dim", "cb")}
+    return pa.table(where | {"level": pa.array(level, pa.int32()), "impact": pa.array(impact, pa.int64()), "n": pa.array(size, pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+
+def _opened(index: pa.Table) -> tuple[np.ndarray, np.ndarray, list[Segment]]:
+    d = int(index.column("dim")[0].as_py())
+    level, impact, size, payload = (index.sort_by("level").column(c).to_pylist() for c in ("level", "impact", "n", "payload"))
+    n, raw = size[0], expand(payload[0])
+    ids, x, parts = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int32, n * d, 8 * n).reshape(n, d).astype(np.int64), []
+    for w, m, blob in zip(impact[1:], size[1:], payload[1:], strict=True):
+        raw = expand(blob)
+        at = 8 * n
+        parts.append(Segment(w, np.frombuffer(raw, np.int32, m, at), np.frombuffer(raw, np.int32, m, at + 4 * m), np.frombuffer(raw, np.int8, m, at + 8 * m), np.frombuffer(raw, np.float64, n)))
+    return ids, x, parts
+
+
+def _search(index: pa.Table, queries: pa.Table, k: int) -> pa.Table:
+    out = [(np.empty(0, np.int64),) * 3]
+    if index.num_rows and queries.num_rows:
+        c_id, c, parts = _opened(index)
+        q_id, q = _matrix(queries)
+        for lo in range(0, len(q_id), 512):
+            a, b, s = block_top(q_id[lo : lo + 512], q[lo : lo + 512], c_id, c, parts, k)
+            out.append((q_id[lo + a], c_id[b], s))
+        trim()
+    return pa.table({name: pa.array(np.concatenate(x), pa.int64()) for name, x in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
 
 def top_k(
@@ -104,7 +152,7 @@ def top_k(
     is_query,
     k: int = 5,
     scale: int = 256,
-    query_block: int = 1024,
+    query_block: int = 8192,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
 ) -> DataFrame:
@@ -120,10 +168,16 @@ def top_k(
     total, asked = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
     candidate_blocks = math.ceil(total / min(16384, max(512, total // 64))) or 1
     query_blocks = math.ceil(asked / query_block) or 1
+    # Blocks by a hash of the whole row, so that an id that many rows share is dealt like any other.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.col("id")), F.lit(candidate_blocks)).cast("int")
+    index = space.save(rows.select("id", "vec", "dim", block.alias("cb")).groupBy("dim", "cb").applyInArrow(_index, _INDEX), "index")
     queries = rows.where(is_query).groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("v")).select("id", "v.*")
-    queries = queries.select("id", "dim", "vec", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1))).alias("cb"), F.lit(1).alias("role"))
-    candidates = rows.select("id", "dim", "vec", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.pmod(F.xxhash64(F.col("id") + 1), F.lit(candidate_blocks)).cast("int").alias("cb"), F.lit(0).alias("role"))
-    best = candidates.unionByName(queries).groupBy("dim", "qb", "cb").applyInArrow(lambda t: _group(t, k), _OUT)
+    queries = queries.select("id", "dim", "vec", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(candidate_blocks - 1))).alias("cb"))
+    asked_for = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
+    grid = ["dim", "qb", "cb"]
+    best = asked_for.groupBy(*grid).cogroup(queries.groupBy(*grid)).applyInArrow(lambda i, q: _search(i, q, k), _OUT)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    out = space.save(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "result")
+    space.close("result")
+    return out

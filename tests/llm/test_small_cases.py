@@ -479,7 +479,7 @@ def test_block_top_proof():
     for scale in (3, 200, 100000):
         q, c = r.integers(-scale, scale, (20, 16)), r.integers(-scale, scale, (300, 16))
         c[50:] //= 7
-        a, b, s = impact_topk.block_top(np.arange(20), q, np.arange(300), c, 4)
+        a, b, s = impact_topk.block_top(np.arange(20), q, np.arange(300), c, impact_topk.segments(c), 4)
         exact = q @ c.T
         exact[np.arange(20), np.arange(20)] = -(2**62)
         for k in range(20):
@@ -487,6 +487,30 @@ def test_block_top_proof():
             assert [(-x, y) for x, y in zip(s[a == k], b[a == k])] == want
 
 
+def test_segments_add_up():
+    """Postings by falling impact: their sum and what is left make the rows again."""
+    x = np.random.default_rng(4).integers(-5000, 5000, (90, 7))
+    parts = impact_topk.segments(x)
+    assert [p.impact for p in parts] == sorted((p.impact for p in parts), reverse=True)
+    total = np.zeros(x.shape)
+    for p in parts:
+        np.add.at(total, (p.row, p.dim), p.sign * float(p.impact))
+        assert np.allclose(p.norm, np.sqrt(((x - total) ** 2).sum(1)))
+
+
+def test_top_k_ties_and_clashing_columns(spark):
+    """Equal scores at rank k lie in several blocks; columns are named like the operator's own."""
+    rows = [(k, [1.0, 0.5]) for k in range(3000)] + [(50, [1.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit("x") for c in ("id", "dim", "vec", "cb", "qb", "row", "score", "rank")})
+    got = {}
+    for r in impact_topk.top_k(vectors, F.col("id") % 50 == 0, query_block=7).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == 60
+    for q, best in got.items():
+        others = sorted([k for k in range(3000) if k != q][:5] + ([50, 50] if q != 50 else []))
+        assert [v for _, v in sorted(best)] == others[:5]
+
+
 # op6
 
 
