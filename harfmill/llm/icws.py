@@ -47,8 +47,9 @@ from harfmill.llm.shared import TextBatches, Workspace, release
 
 WIDTH = 5
 TABLE_BITS = 18
-#: How much rarity may add to a weight.  Small, as copies make the shingles that they share frequent: a larger share would
-#: rate the similarity of a large group's members below that of a pair with the same overlap.
+#: How much rarity may add to a weight.  Small, as copies make the shingles that they share frequent: with plain TF-IDF the
+#: members of a large group of near copies rate each other by what they do not share.  Of the pairs of different texts of sf0.1
+#: whose plain Jaccard similarity is 0.8 or more (48), 46 are links with a share of 0.25, 34 with 1 and 32 by plain TF-IDF.
 IDF_SHARE = 0.25
 MESSAGE = "batch int, bucket int, n long, payload binary"
 
@@ -187,10 +188,10 @@ def weighted_samples(prints: np.ndarray, weights: np.ndarray, edge: np.ndarray,
 
 
 def _sign(table: pa.Table, messages: pa.Table, buckets: int, total: int, bands: int, rows: int) -> pa.Table:
-    """row, two hashes of the word sequence, and the band keys (none without words)."""
+    """row, two hashes of the word sequence, the number of distinct shingles, and the band keys (none without words)."""
     s = _Shingles(table) if table.num_rows else None
     if s is None:
-        return pa.table({"row": pa.array([], pa.int64()), "same": pa.array([], pa.int64()), "same2": pa.array([], pa.int64()), "bands": pa.array([], pa.list_(pa.int64()))})
+        return pa.table({**{c: pa.array([], pa.int64()) for c in ("row", "same", "same2", "size")}, "bands": pa.array([], pa.list_(pa.int64()))})
     weight = s.weights(dict(zip(messages.column("bucket").to_pylist(), messages.column("payload").to_pylist(), strict=True)), buckets, total)
     keys = np.zeros((len(s.row), bands), np.int64)
     full = np.diff(s.edge) > 0
@@ -205,7 +206,8 @@ def _sign(table: pa.Table, messages: pa.Table, buckets: int, total: int, bands:
                 h = mix(h * U64(0xD6E8FEB86659FD93) + sample[:, band * rows + k])
             keys[where[lo:hi], band] = h.view(np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]), pa.int32()), pa.array(keys[full].ravel(), pa.int64()))
-    return pa.table({"row": pa.array(s.row, pa.int64()), "same": pa.array(s.same[0], pa.int64()), "same2": pa.array(s.same[1], pa.int64()), "bands": lists})
+    columns = {"row": s.row, "same": s.same[0], "same2": s.same[1], "size": np.diff(s.edge)}
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in columns.items()} | {"bands": lists})
 
 
 _VECTORS = "g1 long, g2 long, side int, row long, component long, n long, payload binary"
@@ -335,12 +337,12 @@ class NearDuplicates:
     """Classes of near-duplicate documents; `classes` has row, class_row and what the store carries."""
 
     def __init__(
-        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 8 << 20, block: int = 256, carry: tuple[str, ...] = ()
+        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 8 << 20, block: int = 128, block_shingles: int = 1 << 20, carry: tuple[str, ...] = ()
     ) -> None:
         spark = documents.sparkSession
         self.space = space = Workspace(spark, "icws")
         self.store = store = TextBatches(space, documents, batch_bytes, carry)
-        self.threshold, self.block = threshold, block
+        self.threshold, self.block, self.block_shingles = threshold, block, block_shingles
         self.total, self.buckets = max(store.rows, 1), min(2 * store.count, 65000)
         buckets, total = self.buckets, self.total
         self.texts = store.frame.select("batch", "row", "text")
@@ -349,13 +351,13 @@ class NearDuplicates:
         del sent
         release(spark)
         signed = self.texts.groupBy("batch").cogroup(self.df.groupBy("batch")).applyInArrow(
-            lambda t, m: _trimmed(_sign, t, m, buckets, total, bands, rows), "row long, same long, same2 long, bands array<long>"
+            lambda t, m: _trimmed(_sign, t, m, buckets, total, bands, rows), "row long, same long, same2 long, size long, bands array<long>"
         )
         signed = space.save(signed, "signed")
         worded = signed.where(F.size("bands") > 0)
-        members = worded.groupBy("same", "same2").agg(F.min(F.struct("row", "bands")).alias("m"))
-        members = space.save(members.select("same", "same2", "m.row", "m.bands"), "members")
-        keyed = members.select("row", F.posexplode("bands").alias("band", "key"))
+        members = worded.groupBy("same", "same2").agg(F.min(F.struct("row", "size", "bands")).alias("m"))
+        members = space.save(members.select("same", "same2", "m.row", "m.size", "m.bands"), "members")
+        keyed = members.select("row", "size", F.posexplode("bands").alias("band", "key"))
         self.members = keyed
         links = self._first_links()
         parts = components(space, links, "first")
@@ -363,7 +365,8 @@ class NearDuplicates:
         parts = components(space, links, "all")
         release(spark)
         of_member = members.select("same", "same2", "row").join(parts.withColumnRenamed("node", "row"), "row", "left")
-        of_member = of_member.select("same", "same2", F.coalesce("component", "row").alias("class_row"))
+        # Saved, as are other sides of joins on keys that many rows may share: then adaptive execution can split such a key's rows.
+        of_member = space.save(of_member.select("same", "same2", F.coalesce("component", "row").alias("class_row")), "of_member")
         alone = signed.where(F.size("bands") == 0).select("row", F.col("row").alias("class_row"))
         grouped = worded.select("row", "same", "same2").join(of_member, ["same", "same2"]).select("row", "class_row")
         self.classes = space.save(grouped.unionByName(alone), "classes")
@@ -374,19 +377,21 @@ class NearDuplicates:
         none = {"bucket": "int", "n": "long", "payload": "binary"}
         said = df.withColumns({c: F.lit(None).cast(t) for c, t in (("g1", "long"), ("g2", "long"), ("side", "int"), ("row", "long"), ("component", "long"))}).withColumn("kind", F.lit(0))
         asked = asks.withColumns({c: F.lit(None).cast(t) for c, t in none.items()}).withColumn("batch", self.store.batch_of(F.col("row"))).withColumn("kind", F.lit(1))
-        texts = self.texts
-        if self.store.count <= 4096:  # so many batch numbers at most are broadcast
-            some = F.broadcast(asked.select("batch").distinct())
-            said, texts = said.join(some, "batch", "left_semi"), texts.join(some, "batch", "left_semi")
+        some = asked.select("batch").distinct()
+        said, texts = said.join(some, "batch", "left_semi"), self.texts.join(some, "batch", "left_semi")
         messages = said.unionByName(asked)
         sent = texts.groupBy("batch").cogroup(messages.groupBy("batch")).applyInArrow(lambda t, m: _trimmed(_vectors, t, m, buckets, total), _VECTORS)
         return self.space.save(sent.groupBy("g1", "g2").applyInArrow(lambda t: _trimmed(_verify, t, threshold), "a long, b long"), name)
 
+    def _blocks(self, rows, shingles):
+        """Into how many blocks a group is cut, so that none holds more than `block` rows or about `block_shingles` shingles."""
+        return F.ceil(F.greatest(rows / self.block, shingles / self.block_shingles, F.lit(1))).cast("int")
+
     def _first_links(self) -> DataFrame:
         """Each member of a band bucket against the bucket's smallest."""
         least = self.members.groupBy("band", "key").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "key", "lead")
-        pairs = self.space.save(self.members.join(least, ["band", "key"]).where("row <> lead").select("lead", "row").distinct(), "pairs")
-        salts = pairs.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("salts"))
+        pairs = self.space.save(self.members.join(least, ["band", "key"]).where("row <> lead").select("lead", "row", "size").distinct(), "pairs")
+        salts = self.space.save(pairs.groupBy("lead").agg(self._blocks(F.count(F.lit(1)), F.sum("size")).alias("salts")), "salts")
         slot = F.pmod(F.xxhash64("row"), F.col("salts")).cast("long")
         followers = pairs.join(salts, "lead").select(F.col("lead").alias("g1"), slot.alias("g2"), F.lit(1).alias("side"), "row", F.col("row").alias("component"))
         leads = salts.select(F.col("lead").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("g2"), F.lit(0).alias("side"), F.col("lead").alias("row"), F.col("lead").alias("component"))
@@ -400,8 +405,9 @@ class NearDuplicates:
             F.min(F.struct("row", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("content")
         ).where("lo <> hi")
         once = held.groupBy("content", "c").agg(F.min(F.struct("band", "key")).alias("k"), F.first("lead").alias("lead")).select("k.*", F.col("lead.component").alias("main"))
-        open_ = self.space.save(placed.join(once, ["band", "key"]).select(F.xxhash64("band", "key").alias("g1"), "row", "component", (F.col("component") != F.col("main")).alias("out")), "open")
-        sizes = open_.groupBy("g1").agg(F.ceil(F.count(F.lit(1)) / self.block).cast("int").alias("all_blocks"), F.greatest(F.lit(1), F.ceil(F.count_if("out") / self.block).cast("int")).alias("out_blocks"))
+        open_ = self.space.save(placed.join(once, ["band", "key"]).select(F.xxhash64("band", "key").alias("g1"), "row", "size", "component", (F.col("component") != F.col("main")).alias("out")), "open")
+        out_size = F.sum(F.when(F.col("out"), F.col("size")).otherwise(0))
+        sizes = self.space.save(open_.groupBy("g1").agg(self._blocks(F.count(F.lit(1)), F.sum("size")).alias("all_blocks"), self._blocks(F.count_if("out"), out_size).alias("out_blocks")), "sizes")
         dealt = open_.join(sizes, "g1")
         slot = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("long")
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
@@ -425,7 +431,7 @@ def near_duplicates(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
     found = NearDuplicates(documents, threshold)
     ids = found.with_documents()
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
-    first = ids.groupBy("class_row").agg(F.min(order).alias("first"))
+    first = found.space.save(ids.groupBy("class_row").agg(F.min(order).alias("first")), "first")
     out = ids.join(first, "class_row").select("doc_id", F.col("first.i").alias("class_id"), (F.col("row") == F.col("first.r")).alias("kept"))
     out = found.space.save(out, "result")
     found.close()
