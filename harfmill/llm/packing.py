@@ -96,4 +96,6 @@ def pack(documents: DataFrame, tokenizer_path: str, end_id: int = 0, window: int
     base = np.concatenate([[0], np.cumsum([t for _, t in totals])]).tolist()
     bases = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, base, strict=False)], "part int, base long")
     placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "n", (F.col("base") + F.col("before")).alias("begin"), "ids")
-    return placed.mapInArrow(lambda it: _cut(it, window, keep_ids), _PIECES + (", ids binary" if keep_ids else ""))
+    out = space.save(placed.mapInArrow(lambda it: _cut(it, window, keep_ids), _PIECES + (", ids binary" if keep_ids else "")), "result")
+    space.close("result")
+    return out
