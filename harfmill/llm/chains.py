@@ -8,7 +8,8 @@ Categories, in chain order: `abusive` (holds toxic language at all),
 Fitting, on at most `fit_rows` labelled documents: counts of documents per
 hashed feature and label pick the features that mark toxic text (log odds with
 support); the three weak categories label a toxic document by how many and how
-large a share of its tokens carry such features.  Each chain member is a linear
+large a share of its tokens carry such features, as picked without the
+document's own fold.  Each chain member is a linear
 (logistic) model over the document's feature counts and the probabilities of
 all members before it; in training those are out-of-fold predictions, each
 fold's by a model that has not seen the fold (folds and feature selection by a
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, letter_runs, lower, mix, string_bytes, trim
 from harfmill.llm.shared import ship
@@ -132,7 +134,10 @@ def _summary(rows: int, owner: np.ndarray, slot: np.ndarray, n: np.ndarray, stre
 
 
 class ToxicityModel:
-    def __init__(self, documents: DataFrame, labels: DataFrame, fit_rows: int = 20_000, label: str = "toxic") -> None:
+    """`chain` false: the last member alone, for comparison."""
+
+    def __init__(self, documents: DataFrame, labels: DataFrame, fit_rows: int = 20_000, label: str = "toxic", chain: bool = True) -> None:
+        self.names = MEMBERS if chain else MEMBERS[-1:]
         spark = documents.sparkSession
         ship(spark)
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -191,8 +196,10 @@ class ToxicityModel:
             return *_summary(count, owner, slot, n, sets[k].strength), np.bincount(owner, minlength=count)
 
         views = [view(k) for k in range(len(sets))]
-        amount = views[0][4]
-        targets = [(y > 0) & (amount >= 1), (y > 0) & (amount >= 4), (y > 0) & (amount >= 0.02 * np.maximum(n, 1)) & (amount >= 1), y > 0]
+        amount = np.zeros(count, np.int64)
+        for f in range(FOLDS):
+            amount[fold == f] = views[1 + f][4][fold == f]
+        targets = [(y > 0) & (amount >= 1), (y > 0) & (amount >= 4), (y > 0) & (amount >= 0.02 * np.maximum(n, 1)) & (amount >= 1), y > 0][-len(self.names) :]
         held_out = np.zeros((count, 0))
         for target in targets:
             fresh = np.zeros(count)
@@ -208,7 +215,7 @@ class ToxicityModel:
     def probabilities(self, column: pa.Array) -> np.ndarray:
         """Rows x members."""
         data, off = string_bytes(column)
-        out = np.zeros((len(off) - 1, len(MEMBERS)))
+        out = np.zeros((len(off) - 1, len(self.names)))
         if self.marks is None:
             return out
         for lo, hi in doc_chunks(off, CHUNK):
@@ -220,10 +227,11 @@ class ToxicityModel:
         return out
 
     def score(self, frame: DataFrame) -> DataFrame:
-        """The frame with p_<member> for each member of the chain; a narrow map."""
+        """The frame with p_<member> for each member of the chain, in place of columns of these names; a narrow map."""
         model = self
+        frame = frame.drop(*[f"p_{m}" for m in self.names])
         marked = frame.withColumn("hm_toxic_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-        names = [f"p_{m}" for m in MEMBERS]
+        names = [f"p_{m}" for m in self.names]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -231,7 +239,7 @@ class ToxicityModel:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, k].copy()) for k in range(len(names))]], [*b.schema.names[:-1], *names])
             trim()
 
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields] + [f"`{n}` double" for n in names])
+        schema = StructType([*frame.schema.fields, *[StructField(n, DoubleType()) for n in names]])
         return marked.mapInArrow(run, schema)
 
 

@@ -30,19 +30,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from harfmill.llm.bytesops import CHUNK, POLY, U64, doc_chunks, expand, mix, squeeze, string_bytes, token_runs, trim
 from harfmill.llm.shared import ship
 
-SLOTS, DIMENSIONS, SIGNS = 8192, 48, 2
-_PART = 32  # slots in one message
+BITS, DIMENSIONS, SIGNS = 15, 48, 2
+SLOTS = 1 << BITS
+_PART = 128  # slots in one message
+_TEXT = 8 * CHUNK  # bytes whose contexts are added up at a time
 
 
 def slots_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slot of each token, and each row's range of tokens."""
     start, end = token_runs(data, off)
     h = mix(POLY[0].span(POLY[0].prefix(data), start, end))
-    return (h >> U64(64 - 13)).astype(np.int64), np.searchsorted(start, off)
+    return (h >> U64(64 - BITS)).astype(np.int64), np.searchsorted(start, off)
 
 
 def index_positions(seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -58,7 +61,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SLOTS * DIMENSIONS, np.int64)
     for batch in batches:
         data, off = string_bytes(batch.column("text"))
-        for lo, hi in doc_chunks(off, CHUNK):
+        for lo, hi in doc_chunks(off, _TEXT):
             slot, edge = slots_of(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
             owner = np.repeat(np.arange(hi - lo), np.diff(edge))
             for far in (1, 2):
@@ -187,7 +190,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class QualityModel:
-    def __init__(self, documents: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -> None:
+    """`use`: the features that the network gets, for comparisons."""
+
+    def __init__(self, documents: DataFrame, labels: DataFrame, fit_rows: int = 20_000, use: slice = slice(None)) -> None:
+        self.use = use
         ship(documents.sparkSession)
         texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.vectors = vectors = word_vectors(texts)
@@ -202,7 +208,7 @@ class QualityModel:
 
         joined = texts.join(F.broadcast(sample), "doc_id").select("text", "quality", F.xxhash64("doc_id", "text").alias("h"))
         rows = joined.mapInArrow(features, "y int, h long, x binary").orderBy("h").limit(fit_rows).collect()  # bounded by fit_rows
-        x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), FEATURES)
+        x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), FEATURES)[:, use]
         y = np.array([float(r["y"] > 0) for r in rows])
         if not len(y):
             self.model: Network | Constant = Constant(0.5)
@@ -212,18 +218,18 @@ class QualityModel:
             self.model = Network(x, y)
 
     def score(self, frame: DataFrame, name: str = "score") -> DataFrame:
-        """The frame with a score for its text; a narrow map."""
-        vectors, model = self.vectors, self.model
+        """The frame with a score for its text, in place of a column of that name; a narrow map."""
+        vectors, model, use = self.vectors, self.model, self.use
+        frame = frame.drop(name)
         marked = frame.withColumn("hm_quality_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                score = model.predict(pooled(b.column(b.num_columns - 1), vectors))
+                score = model.predict(pooled(b.column(b.num_columns - 1), vectors)[:, use])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score.astype(np.float64))], [*b.schema.names[:-1], name])
             trim()
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-        return marked.mapInArrow(run, f"{schema}, `{name}` double")
+        return marked.mapInArrow(run, StructType([*frame.schema.fields, StructField(name, DoubleType())]))
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -638,6 +638,41 @@ def test_quality(spark):
     assert quality.score_documents(frame(spark, []), labels).count() == 0
 
 
+def real(spark, name):
+    return spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+
+
+def log_loss(p, y):
+    p = np.clip(np.asarray(p), 1e-9, 1 - 1e-9)
+    return -np.mean(np.where(np.asarray(y) > 0, np.log(p), np.log(1 - p)))
+
+
+def test_toxicity_of_a_real_table(spark):
+    """Labels of even ids teach, labels of odd ids judge; the chain does better than its last member alone."""
+    docs, labels = real(spark, "documents").select("doc_id", "text").withColumn("p_toxic", F.lit("mine")), real(spark, "labels")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    loss = {}
+    for chain in (True, False):
+        model = chains.ToxicityModel(docs, labels.where("doc_id % 2 = 0"), chain=chain)
+        got = [(r.p_toxic, truth[r.doc_id]) for r in model.score(docs).where("doc_id % 2 = 1").select("doc_id", "p_toxic").collect() if r.doc_id in truth]
+        assert np.mean([(p >= 0.5) == bool(y) for p, y in got]) > 0.98
+        loss[chain] = log_loss(*zip(*got))
+    assert loss[True] < loss[False]
+
+
+def test_quality_of_a_real_table(spark):
+    """Accuracy on rows that are never learnt from, and what the word vectors and the other features do alone."""
+    docs, labels = real(spark, "documents").select("doc_id", "text").withColumn("score", F.lit("mine")), real(spark, "labels")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    loss = {}
+    for name, use in (("all", slice(None)), ("vectors", slice(0, quality.DIMENSIONS)), ("others", slice(quality.DIMENSIONS, None))):
+        model = quality.QualityModel(docs, labels, use=use)
+        got = [(r.score, truth[r.doc_id]) for r in model.score(docs).where(quality.held_out()).select("doc_id", "score").collect() if r.doc_id in truth]
+        assert np.mean([(p >= 0.7) == bool(y) for p, y in got]) > 0.96
+        loss[name] = log_loss(*zip(*got))
+    assert loss["all"] < min(loss["vectors"], loss["others"])
+
+
 # op10
 
 
@@ -706,6 +741,50 @@ def test_near_duplicates_frame(spark):
     assert icws.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_a_real_table(spark):
+    """Recall and precision against all pairs of different texts, compared by the formula itself."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    words = lambda t: tuple(x for x in re.split(r"[\t-\r ]+", (t or "").lower()) if x)
+    distinct = {}
+    for i, t in rows:
+        distinct.setdefault(words(t), []).append(i)
+    weights = dict(zip([r[0] for r in rows], shingle_weights(rows)))
+    heads = [ids[0] for w, ids in distinct.items() if w]
+    holders = {}
+    for i in heads:
+        for x in weights[i]:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for n, b in enumerate(ids) for a in ids[:n]}
+    links = {p for p in pairs if jaccard(weights[p[0]], weights[p[1]]) >= 0.8}
+    got = {r.doc_id: r.class_id for r in icws.near_duplicates(docs).collect()}
+    assert len(links) > 3 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+    assert all(len({got[i] for i in ids}) == 1 for w, ids in distinct.items() if w)
+    root = {i: i for i in heads}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    classes = {}
+    for i in heads:
+        classes.setdefault(got[i], set()).add(find(i))
+    assert all(len(c) == 1 for c in classes.values())  # no class joins what the formula keeps apart
+
+
+def test_groups_are_bounded_by_shingles(spark):
+    """A hot group of long near copies: the same classes when a block holds one text's shingles only."""
+    base = prose(400, 1).split(" ")
+    rows = [(k, " ".join([*base[: 7 * k], "changed", *base[7 * k + 1 :]])) for k in range(40)] + [(100, prose(400, 2))]
+    found = icws.NearDuplicates(frame(spark, rows), block_shingles=500)
+    classes = Counter(r.class_row for r in found.classes.collect())
+    assert sorted(classes.values()) == [1, 40]
+    found.close()
+
+
 def test_weighted_samples_follow_similarity():
     r = np.random.default_rng(3)
     prints = np.sort(r.integers(0, 2**48, 800).astype(np.uint64))
@@ -747,6 +826,19 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null ids, null and empty texts and repeated rows go through every stage."""
+    import corpus_pipeline as p
+
+    rows, _, labels = labelled(spark, 120)
+    rows += ODD + [(None, None), (None, ""), (7, rows[7][1]), (7, "another text with the id of a labelled one")]
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    frame(spark, rows).withColumn("score", F.lit(1)).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = p.run(spark, str(tmp_path)).collect()
+    assert pieces and all(r.length > 0 for r in pieces)
+    assert sum(r.start == 0 for r in pieces) == len({(r.doc_id, r.sequence_id, r.offset) for r in pieces if r.start == 0})
+
+
 def test_nothing_else_imports_llm():
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(f"{top}/harfmill"):
