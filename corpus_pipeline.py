@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns documents; the driver
 function writes every stage's result as Parquet and reads it again for the
 next.  The last stage returns the packing's boundary records.
+
+Odd rows: null and empty texts score as documents without words, are near
+copies of nothing, and are packed as their end id; null ids are scored, never
+labelled, and removed from no one's account; rows that share an id are rows of
+their own; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -61,9 +66,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; a stage's table goes when the next one's is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     space = Workspace(spark, "pipeline")
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES):
         docs = space.save(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if k:
+            space.drop(STAGES[k - 1][0])
+    return docs
