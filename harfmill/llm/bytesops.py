@@ -161,16 +161,6 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, length) + np.arange(total)
 
 
-def dense_rank(values: np.ndarray) -> np.ndarray:
-    order = np.argsort(values)
-    s = values[order]
-    rank = np.empty(len(values), np.int64)
-    step = np.zeros(len(values), np.int64)
-    np.cumsum(s[1:] != s[:-1], out=step[1:]) if len(values) else None
-    rank[order] = step
-    return rank
-
-
 def squeeze(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; `expand` needs their types and lengths."""
     raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)

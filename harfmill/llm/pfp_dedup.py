@@ -4,30 +4,41 @@ Rule: a byte goes if a string of `length` (50) bytes that covers it also
 starts in a document with a smaller doc_id.  Strings never cross documents and
 are judged on the input.
 
-The parse.  A rolling hash runs over all 16-byte strings.  The smallest hash
-inside each 50-byte window is the window's trigger; a maximal run of windows
-with one trigger is a phrase (its bytes overlap the next phrase's by 49, so
-every window lies in exactly one phrase, and equal windows have equal
-triggers).  A plain "hash divisible by p" trigger would leave windows without
-a trigger, and phrases without a bound, on repetitive text; the local minimum
-cannot.  Phrases are dealt by trigger, so each bucket can sort its own part of
-the corpus:
-
-1. every batch of documents sends its distinct triggers; a bucket answers which
-   of them occur in two documents or more (the others cannot repeat);
-2. every batch sends the dictionary of its phrases with such triggers: each
-   distinct phrase once, with the smallest doc_id that has it;
-3. a bucket merges the dictionaries into one, builds its suffix array down to
-   50 bytes by prefix doubling (8, 16, 32, 50), and carries it over to corpus
-   order with the parse: for each 50-byte string the smallest doc_id over all
-   phrases that hold it.  Ties below a phrase's end need no suffix array of the
-   parse, as no window reaches beyond its phrase;
+Routing.  A rolling hash runs over all 16-byte strings.  The smallest hash
+inside each 50-byte window is the window's anchor; a maximal run of windows
+with one anchor is a stretch (its bytes overlap the next stretch's by 49, so
+every window lies in exactly one, and equal windows have equal anchors).
+Stretches are dealt to buckets by anchor, so equal windows meet:
+
+1. every batch of documents sends its distinct anchors; a bucket answers which
+   of them occur in two documents or more (the others cannot repeat) and which
+   are hot;
+2. every batch sends its distinct stretches with such anchors, each with the
+   smallest doc_id that has it.  A stretch with a hot anchor is cut by where its
+   windows hold the anchor, and dealt by the 33 bytes from there to the right or
+   left, which lie in the window: a common 16-byte string spreads over buckets;
+3. a bucket puts its windows in corpus order (below) and finds for each distinct
+   window the smallest doc_id over all stretches that hold it;
 4. the answers, one bit a window, go back to the batches, which mark the bytes.
 
-Copies of a phrase within a batch are one dictionary entry, so a passage or a
-document with a million copies costs a bucket one entry a batch.  All bytes
-are compared, not only hashes, except that two phrases count as the same entry
-when two independent 64-bit hashes and their lengths agree.
+Corpus order, by prefix-free parsing of a bucket's distinct stretches:
+
+* a rolling hash over `GRAM` bytes sets triggers (about one in 8 places); a
+  phrase reaches from one trigger to the end of the next, so that no phrase's
+  suffix of more than `GRAM` bytes is another's prefix;
+* the dictionary holds each distinct phrase once, the parse is the sequence of
+  phrase ranks in each stretch;
+* suffix arrays of both are built by prefix doubling, each round on the suffixes
+  that are not told apart yet;
+* the place of a window in corpus order is (rank of its phrase's suffix in the
+  dictionary, rank of the parse behind that phrase): equal windows are
+  neighbours, and neighbours are compared byte by byte over `length` bytes.
+
+Copies of a stretch within a batch are one entry, and copies of a phrase within
+a bucket one dictionary entry, so a passage or a document with a million copies
+costs a bucket one entry a batch.  All bytes are compared, not only hashes,
+except that two stretches or phrases count as the same when two independent
+64-bit hashes and their lengths agree.
 
 Results in odd cases: a null text is empty; a null doc_id counts as larger
 than any other, and no null-id row is "smaller" than another; rows with the
@@ -45,11 +56,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.llm.bytesops import POLY, U64, dense_rank, doc_chunks, expand, mix, ragged, squeeze, string_bytes, trim
+from harfmill.llm.bytesops import POLY, U64, doc_chunks, expand, mix, ragged, squeeze, string_bytes, trim
 from harfmill.llm.shared import NULL_ID, TextBatches, Workspace, release
 
-GRAM = 16
-PHRASE_WINDOWS = 64
+ANCHOR = 16
+STRETCH_WINDOWS = 64
+GRAM, _ONE_IN = 4, 3  # a trigger at one in 2**3 places
 MESSAGE = "batch int, kind int, bucket int, n long, payload binary"
 
 
@@ -65,12 +77,8 @@ def _message(batch: list, kind: int, bucket: list, n: list, payload: list) -> pa
     )
 
 
-def _windows(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts with one trigger: start, end, trigger; at most PHRASE_WINDOWS long."""
-    n = len(data)
-    none = np.empty(0, np.int64)
-    if n < length:
-        return none, none, np.empty(0, U64)
+def _rolling(data: np.ndarray) -> np.ndarray:
+    """The hash of the 16 bytes from each place."""
     h, have = data.astype(U64), 1
     h += U64(1)
     for power in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93):
@@ -79,7 +87,17 @@ def _windows(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
     h ^= h >> U64(32)
     h *= U64(0xFF51AFD7ED558CCD)
     h ^= h >> U64(29)
-    span, low, reach = length - GRAM + 1, h, 1
+    return h
+
+
+def _windows(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts with one anchor: start, end, anchor; at most STRETCH_WINDOWS long."""
+    n = len(data)
+    none = np.empty(0, np.int64)
+    if n < length:
+        return none, none, np.empty(0, U64)
+    h = _rolling(data)
+    span, low, reach = length - ANCHOR + 1, h, 1
     while reach * 2 <= span:
         low = np.minimum(low[:-reach], low[reach:])
         reach *= 2
@@ -97,16 +115,16 @@ def _windows(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
     start = np.flatnonzero(valid & ~same[:-1])
     end = np.flatnonzero(valid & ~same[1:]) + 1
     runs = end - start
-    if len(runs) and runs.max() > PHRASE_WINDOWS:
-        pieces = -(-runs // PHRASE_WINDOWS)
-        at = ragged(np.zeros(len(runs), np.int64), pieces) * PHRASE_WINDOWS
+    if len(runs) and runs.max() > STRETCH_WINDOWS:
+        pieces = -(-runs // STRETCH_WINDOWS)
+        at = ragged(np.zeros(len(runs), np.int64), pieces) * STRETCH_WINDOWS
         start, end = np.repeat(start, pieces) + at, np.repeat(end, pieces)
-        end = np.minimum(end, start + PHRASE_WINDOWS)
+        end = np.minimum(end, start + STRETCH_WINDOWS)
     return start, end, low[start]
 
 
 class _Parse:
-    """The phrases of a batch of documents."""
+    """The stretches of a batch of documents."""
 
     def __init__(self, table: pa.Table, length: int, buckets: int, hashes: bool) -> None:
         table = table.sort_by("row")
@@ -140,6 +158,7 @@ class _Parse:
         heads = np.flatnonzero(first)
         owner = self.owner[order]
         self.several = np.minimum.reduceat(owner, heads) != np.maximum.reduceat(owner, heads) if len(s) else np.empty(0, bool)
+        self.times = np.diff(np.append(heads, len(s)))
 
     def slices(self, keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """Bucket, from, to in sorted keys."""
@@ -148,32 +167,77 @@ class _Parse:
         for b in np.flatnonzero(np.diff(edge)):
             yield int(b), int(edge[b]), int(edge[b + 1])
 
-    def shared(self, messages: dict[int, bytes]) -> np.ndarray:
-        """For each phrase whether its trigger occurs in several documents."""
-        flags = np.zeros(len(self.unique), bool)
+    def shared(self, messages: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch whether its anchor occurs in several documents, and whether it is hot."""
+        flags = np.zeros((2, len(self.unique)), bool)
         for b, lo, hi in self.slices(self.unique):
-            flags[lo:hi] = np.unpackbits(np.frombuffer(messages[b], np.uint8), count=hi - lo)
-        return flags[self.group]
-
-    def dictionary(self, shared: np.ndarray) -> None:
-        """Distinct phrases among the shared ones, in order of bucket and hash."""
-        self.used = np.flatnonzero(shared)
-        windows = self.end[self.used] - self.start[self.used]
-        h = mix(self.hash[0][self.used] + windows.astype(U64))
-        h2 = self.hash[1][self.used]
-        bucket = (self.key[self.used] * U64(self.buckets)) >> U64(48)
+            bits = (hi - lo + 7) // 8
+            for k in (0, 1):
+                flags[k, lo:hi] = np.unpackbits(np.frombuffer(messages[b], np.uint8, bits, k * bits), count=hi - lo)
+        return flags[0][self.group], flags[1][self.group]
+
+    def _cut_hot(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Stretches of hot anchors, cut where their windows hold the anchor elsewhere: start, end, key, document."""
+        parts = []
+        reach, aside = self.length - ANCHOR + 1, (self.length - ANCHOR) // 2
+        for lo in range(0, len(which), 4096):
+            k = which[lo : lo + 4096]
+            n = self.end[k] - self.start[k]
+            at, owner = ragged(self.start[k], n), np.repeat(self.at[k], n)
+            # The anchor in each window: the leftmost place of the smallest hash, in the bytes of the stretch.
+            size = n + self.length - 1
+            begin = np.cumsum(size) - size
+            low = _rolling(self.data[ragged(self.start[k], size)])
+            inside = np.repeat(begin - self.start[k], n) + at
+            place = np.argmin(low[inside[:, None] + np.arange(reach)], axis=1)
+            right = place <= aside  # the window holds as many bytes right of the anchor, or else left of it
+            first = at + place - np.where(right, 0, aside)
+            cut = np.ones(len(at), bool)
+            cut[1:] = (first[1:] != first[:-1]) | (right[1:] != right[:-1]) | (at[1:] != at[:-1] + 1)
+            heads = np.flatnonzero(cut)
+            context = self.data[first[heads][:, None] + np.arange(ANCHOR + aside)].astype(U64)
+            key = np.zeros(len(heads), U64)
+            for column in context.T:
+                key = mix(key * U64(0x9E3779B97F4A7C15) + column + U64(1))
+            key = mix(key + right[heads].astype(U64)) >> U64(16)
+            parts.append((at[heads], np.append(at[heads[1:] - 1], at[-1]) + 1, key, owner[heads]))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def dictionary(self, shared: np.ndarray, hot: np.ndarray) -> None:
+        """Distinct stretches among the shared ones, in order of bucket and hash."""
+        used = np.flatnonzero(shared & ~hot)
+        self.used_start, self.used_end, key, owner = self.start[used], self.end[used], self.key[used], self.owner[used]
+        hashes = [h[used] for h in self.hash]
+        if (shared & hot).any():
+            start, end, cut_key, at = self._cut_hot(np.flatnonzero(shared & hot))
+            size = end - start + self.length - 1
+            more = [[], []]
+            for lo in range(0, len(start), 4096):
+                n = size[lo : lo + 4096]
+                begin = np.cumsum(n) - n
+                raw = self.data[ragged(start[lo : lo + 4096], n)]
+                for k in (0, 1):
+                    more[k].append(POLY[k].span(POLY[k].prefix(raw), begin, begin + n))
+            self.used_start, self.used_end = np.concatenate([self.used_start, start]), np.concatenate([self.used_end, end])
+            key, owner = np.concatenate([key, cut_key]), np.concatenate([owner, self.doc[at]])
+            hashes = [np.concatenate([h, *m]) for h, m in zip(hashes, more, strict=True)]
+        self.used_owner = owner
+        windows = self.used_end - self.used_start
+        h = mix(hashes[0] + windows.astype(U64))
+        h2 = hashes[1]
+        bucket = (key * U64(self.buckets)) >> U64(48)
         order = np.argsort(h)
         order = order[np.argsort(bucket[order].astype(np.uint16), kind="stable")]
-        a, b, c = h[order], h2[order], windows[order]
+        a, b, c, d = h[order], h2[order], windows[order], bucket[order]
         first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
         heads = np.flatnonzero(first)
         self.entry = np.empty(len(a), np.int64)
         self.entry[order] = np.cumsum(first) - 1
-        head = self.used[order[heads]]
-        self.entry_start, self.entry_windows = self.start[head], self.end[head] - self.start[head]
-        self.entry_bucket = bucket[order[heads]].astype(np.int64)
-        self.entry_doc = np.minimum.reduceat(self.owner[self.used][order], heads) if len(heads) else np.empty(0, np.int64)
+        head = order[heads]
+        self.entry_start, self.entry_windows = self.used_start[head], windows[head]
+        self.entry_bucket = d[heads].astype(np.int64)
+        self.entry_doc = np.minimum.reduceat(owner[order], heads) if len(heads) else np.empty(0, np.int64)
 
     def entry_slices(self) -> Iterator[tuple[int, int, int]]:
         edge = np.searchsorted(self.entry_bucket, np.arange(self.buckets + 1))
@@ -181,42 +245,45 @@ class _Parse:
             yield int(b), int(edge[b]), int(edge[b + 1])
 
 
-def _triggers(table: pa.Table, length: int, buckets: int) -> pa.Table:
+def _triggers(table: pa.Table, length: int, buckets: int, hot_times: int) -> pa.Table:
     parse, out = _Parse(table, length, buckets, hashes=False), ([], [], [], [])
     batch = table.column("batch")[0].as_py()
     for b, lo, hi in parse.slices(parse.unique):
         keys = parse.unique[lo:hi]
-        values = (batch, b, hi - lo, squeeze((keys & U64(0xFFFFFFFF)).astype(np.uint32), (keys >> U64(32)).astype(np.uint16), np.packbits(parse.several[lo:hi])))
+        values = (batch, b, hi - lo, squeeze((keys & U64(0xFFFFFFFF)).astype(np.uint32), (keys >> U64(32)).astype(np.uint16), np.packbits(parse.several[lo:hi]), np.packbits(parse.times[lo:hi] > hot_times)))
         for column, value in zip(out, values, strict=True):
             column.append(value)
     return _message(out[0], 0, out[1], out[2], out[3])
 
 
-def _answer_triggers(table: pa.Table) -> pa.Table:
-    """Which triggers of a bucket occur in several documents: a bit for each that was sent."""
+def _answer_triggers(table: pa.Table, hot_batches: int) -> pa.Table:
+    """Which anchors of a bucket occur in several documents, and which are hot: two bits for each that was sent."""
     batch, n = table.column("batch").to_pylist(), table.column("n").to_pylist()
-    keys, several = [], []
+    keys, several, many = [], [], []
     for size, payload in zip(n, table.column("payload").to_pylist(), strict=True):
         raw = expand(payload)
         keys.append(np.frombuffer(raw, np.uint32, size).astype(U64) | np.frombuffer(raw, np.uint16, size, 4 * size).astype(U64) << U64(32))
-        several.append(np.unpackbits(np.frombuffer(raw, np.uint8, offset=6 * size), count=size).astype(bool))
-    key, flag = np.concatenate(keys), np.concatenate(several)
+        bits = (size + 7) // 8
+        several.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits, 6 * size), count=size))
+        many.append(np.unpackbits(np.frombuffer(raw, np.uint8, bits, 6 * size + bits), count=size))
+    key = np.concatenate(keys)
     order = np.argsort(key)
     s = key[order]
-    equal = s[1:] == s[:-1]
-    twice = np.zeros(len(s), bool)
-    twice[1:] = equal
-    twice[:-1] |= equal
-    flag[order] |= twice
+    heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    times = np.diff(np.append(heads, len(s)))
+    said = [np.maximum.reduceat(np.concatenate(x)[order], heads).astype(bool) for x in (several, many)]
+    flags = np.zeros((2, len(s)), bool)
+    flags[0, order] = np.repeat(said[0] | (times > 1), times)
+    flags[1, order] = np.repeat(said[1] | (times >= hot_batches), times)
     edge = np.concatenate([[0], np.cumsum(n)])
-    return _message(batch, 1, table.column("bucket").to_pylist(), n, [np.packbits(flag[a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    return _message(batch, 1, table.column("bucket").to_pylist(), n, [np.packbits(flags[0, a:b]).tobytes() + np.packbits(flags[1, a:b]).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])
 
 
 def _phrases(table: pa.Table, messages: pa.Table, length: int, buckets: int) -> pa.Table:
     if not table.num_rows:
         return _message([], 2, [], [], [])
     parse = _Parse(table, length, buckets, hashes=True)
-    parse.dictionary(parse.shared(dict(zip(messages.column("bucket").to_pylist(), messages.column("payload").to_pylist(), strict=True))))
+    parse.dictionary(*parse.shared(dict(zip(messages.column("bucket").to_pylist(), messages.column("payload").to_pylist(), strict=True))))
     batch, out = table.column("batch")[0].as_py(), ([], [], [], [])
     for b, lo, hi in parse.entry_slices():
         windows = parse.entry_windows[lo:hi]
@@ -226,24 +293,123 @@ def _phrases(table: pa.Table, messages: pa.Table, length: int, buckets: int) ->
     return _message(out[0], 2, out[1], out[2], out[3])
 
 
-def suffix_order(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes that start at `at`, sorted by their first `length` bytes (16 to 64), and whether each begins a new group.
+def _ranked(key: np.ndarray) -> np.ndarray:
+    """One more than the number of smaller keys."""
+    order = np.argsort(key)
+    k = key[order]
+    heads = np.flatnonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))
+    out = np.empty(len(k), np.int64)
+    out[order] = np.repeat(heads, np.diff(np.append(heads, len(k)))) + 1
+    return out
+
+
+def _doubled(rank: np.ndarray, room: np.ndarray, have: int) -> np.ndarray:
+    """Ranks of whole suffixes from ranks by their first `have` symbols; `room`: how many symbols each suffix has.
 
-    Prefix doubling: ranks of all 8-byte strings, then of 16 and 32 bytes, then of two overlapping ranks that reach `length`.
+    Each round doubles the symbols compared, for suffixes that others equal so
+    far.  Where a suffix ends it is smaller than any that goes on, so those that
+    are equal have all ended or none has.
     """
-    v = data.astype(U64)
-    for shift in (1, 2, 4):
-        v = (v[:-shift] << U64(8 * shift)) | v[shift:]
-    rank, have = dense_rank(v), 8
-    while have * 2 <= length:
-        rank = dense_rank((rank[:-have].astype(U64) << U64(32)) | rank[have:].astype(U64))
+    todo = np.arange(len(rank))
+    while len(todo := todo[room[todo] >= have]):
+        behind = np.zeros(len(todo), np.int64)
+        more = room[todo] > have
+        behind[more] = rank[todo[more] + have]
+        key = rank[todo] << 32 | behind
+        order = np.argsort(key)
+        todo, key = todo[order], key[order]
+        old = key >> 32
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        since = np.maximum.accumulate(np.where(np.concatenate([[True], old[1:] != old[:-1]]), np.arange(len(key)), 0))
+        size = np.diff(np.append(heads, len(key)))
+        rank[todo] = old + np.repeat(heads - since[heads], size)
+        todo = todo[np.repeat(size > 1, size)]
         have *= 2
-    key = (rank[at].astype(U64) << U64(32)) | rank[at + length - have].astype(U64)
+    return rank
+
+
+def _distinct(hashes: tuple[np.ndarray, np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings by two hashes and length: one of each, where each string's is among them, and the order that puts equal ones together."""
+    h, h2 = hashes
+    order = np.argsort(h)
+    a, b, c = h[order], h2[order], size[order]
+    first = np.ones(len(a), bool)
+    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    number = np.empty(len(a), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return order[first], number, order
+
+
+def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string; the strings stand in order and may overlap, but not by more than they advance."""
+    out = [], []
+    for lo in range(0, len(start), 8192):
+        at, end = start[lo : lo + 8192], start[lo : lo + 8192] + size[lo : lo + 8192]
+        base = int(at[0])
+        part = data[base : int(end.max())]
+        for k in (0, 1):
+            out[k].append(POLY[k].span(POLY[k].prefix(part), at - base, end - base))
+    return tuple(np.concatenate(x) if x else np.empty(0, U64) for x in out)
+
+
+def parse(text: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The phrases of strings that are laid end to end (`edge`: their bounds): start, end, and the phrases left in the string."""
+    v = np.zeros(len(text), np.uint32)
+    for k in range(GRAM):
+        v[: len(text) - k] |= text[k:].astype(np.uint32) << np.uint32(8 * k)
+    begin = (v * np.uint32(0x9E3779B1)) >> np.uint32(32 - _ONE_IN) == 0
+    for k in range(1, GRAM):  # a trigger lies in one string
+        begin[edge[1:] - k] = False
+    begin[edge[:-1]] = True
+    start = np.flatnonzero(begin)
+    string = np.searchsorted(edge, start, "right") - 1
+    last = np.append(string[1:] != string[:-1], True)
+    end = np.where(last, edge[string + 1], np.append(start[1:], 0) + GRAM)
+    after = np.flatnonzero(last)[np.cumsum(np.concatenate([[0], last[:-1]]))]
+    return start, end, after - np.arange(len(start)) + 1
+
+
+def corpus_order(text: np.ndarray, edge: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start at `at` (rising), each to the end of its string, in order, and their sort keys in that order.
+
+    Of suffixes with more than GRAM bytes, those with equal keys are equal.
+    """
+    start, end, left = parse(text, edge)
+    size = end - start
+    head, number, _ = _distinct(_hashes(text, start, size), size)
+    # The dictionary and its suffix array: 7 symbols at first, 0 where a phrase has ended.
+    words = size[head]
+    words_start = np.cumsum(words) - words
+    dictionary = text[ragged(start[head], words)].astype(np.int64) + 1
+    room = np.repeat(words_start + words, words) - np.arange(len(dictionary))
+    key = np.zeros(len(dictionary), np.int64)
+    for k in range(7):
+        key <<= 9
+        key[: len(key) - k] |= np.where(room[: len(key) - k] > k, dictionary[k:], 0)
+    by_word = _doubled(_ranked(key), room, 7)
+    # The parse and its suffix array.
+    by_parse = _doubled(_ranked(by_word[words_start[number]]), left, 1)
+    phrase = np.searchsorted(start, at, "right") - 1
+    behind = np.zeros(len(at), np.int64)
+    more = left[phrase] > 1
+    behind[more] = by_parse[phrase[more] + 1]
+    key = by_word[words_start[number[phrase]] + at - start[phrase]] << 32 | behind
     order = np.argsort(key)
-    s = key[order]
-    first = np.ones(len(s), bool)
-    first[1:] = s[1:] != s[:-1]
-    return order, first
+    return order, key[order]
+
+
+def equal_neighbours(text: np.ndarray, at: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix shares its first `length` bytes with the one before it in order."""
+    v = np.concatenate([text, np.zeros(8, np.uint8)]).astype(U64)
+    for shift in (1, 2, 4):
+        v = (v[:-shift] << U64(8 * shift)) | v[shift:]
+    same = np.zeros(len(at), bool)
+    same[1:] = key[1:] == key[:-1]
+    open_ = np.flatnonzero(~same[1:]) + 1
+    for step in [*range(0, length - 8, 8), length - 8]:
+        open_ = open_[v[at[open_] + step] == v[at[open_ - 1] + step]]
+    same[open_] = True
+    return same
 
 
 def _answer_phrases(table: pa.Table, length: int) -> pa.Table:
@@ -258,30 +424,23 @@ def _answer_phrases(table: pa.Table, length: int) -> pa.Table:
     doc, window, data = np.concatenate(docs), np.concatenate(windows), np.concatenate(raws)
     size = window + length - 1
     start = np.cumsum(size) - size
-    # The merged dictionary: each distinct phrase once, with its smallest doc_id.
+    # Each distinct stretch once, with its smallest doc_id.
     hashes = []
     off = np.concatenate([start, [len(data)]])
     for lo, hi in doc_chunks(off):
         part, at = data[off[lo] : off[hi]], start[lo:hi] - off[lo]
         hashes.append([p.span(p.prefix(part), at, at + size[lo:hi]) for p in POLY])
-    h, h2 = (np.concatenate(x) for x in zip(*hashes, strict=True))
-    order = np.argsort(h)
-    a, b, c = h[order], h2[order], window[order]
-    first = np.ones(len(a), bool)
-    first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])
-    heads = np.flatnonzero(first)
-    entry = np.empty(len(a), np.int64)
-    entry[order] = np.cumsum(first) - 1
-    entry_doc = np.minimum.reduceat(doc[order], heads)
-    entry_windows, head = window[order[heads]], order[heads]
-    text = data[ragged(start[head], size[head])]
+    head, entry, order = _distinct(tuple(np.concatenate(x) for x in zip(*hashes, strict=True)), window)
+    group = np.flatnonzero(np.concatenate([[True], entry[order][1:] != entry[order][:-1]]))
+    entry_doc, entry_windows = np.minimum.reduceat(doc[order], group), window[head]
     entry_size = entry_windows + length - 1
-    entry_start = np.cumsum(entry_size) - entry_size
-    at = ragged(entry_start, entry_windows)
-    # Suffix array of the dictionary; over each group of equal windows, the corpus order's first document.
-    suffix, new = suffix_order(text, at, length)
+    text = data[ragged(start[head], entry_size)]
+    edge = np.concatenate([[0], np.cumsum(entry_size)])
+    at = ragged(edge[:-1], entry_windows)
+    # Equal windows are neighbours in corpus order; the first of their documents.
+    suffix, key = corpus_order(text, edge, at)
+    group = np.flatnonzero(~equal_neighbours(text, at[suffix], key, length))
     owner = np.repeat(entry_doc, entry_windows)[suffix]
-    group = np.flatnonzero(new)
     least = np.empty(len(at), np.int64)
     least[suffix] = np.repeat(np.minimum.reduceat(owner, group), np.diff(np.append(group, len(at))))
     window_start = np.cumsum(entry_windows) - entry_windows
@@ -295,20 +454,20 @@ def _mark(table: pa.Table, messages: pa.Table, length: int, buckets: int) -> tup
     parse = _Parse(table, length, buckets, hashes=True)
     kinds = messages.column("kind").to_pylist(), messages.column("bucket").to_pylist(), messages.column("payload").to_pylist()
     said = {(k, b): p for k, b, p in zip(*kinds, strict=True)}
-    parse.dictionary(parse.shared({b: p for (k, b), p in said.items() if k == 1}))
+    parse.dictionary(*parse.shared({b: p for (k, b), p in said.items() if k == 1}))
     windows = parse.entry_windows
     bits = np.zeros(int(windows.sum()), bool)
     edge = np.concatenate([[0], np.cumsum(windows)])
     for b, lo, hi in parse.entry_slices():
         bits[edge[lo] : edge[hi]] = np.unpackbits(np.frombuffer(said[2, b], np.uint8), count=int(edge[hi] - edge[lo]))
-    size = parse.end[parse.used] - parse.start[parse.used]
-    later = parse.owner[parse.used] > parse.entry_doc[parse.entry]
+    size = parse.used_end - parse.used_start
+    later = parse.used_owner > parse.entry_doc[parse.entry]
     gone = bits[ragged(edge[:-1][parse.entry], size)] | np.repeat(later, size)
     hit = np.zeros(len(parse.data) + length, np.int32)
-    at = ragged(parse.start[parse.used], size)[gone]
+    at = ragged(parse.used_start, size)[gone]
     hit[at] += 1
     hit[at + length] -= 1
-    # at is free of repeats, as every window lies in one phrase, so both updates are exact
+    # at is free of repeats, as every window lies in one stretch, so both updates are exact
     return parse, np.cumsum(hit[: len(parse.data)]) > 0
 
 
@@ -355,21 +514,23 @@ def _results(table: pa.Table, messages: pa.Table, length: int, buckets: int, tex
     return pa.table(columns)
 
 
-def remove_repeats(documents: DataFrame, length: int = 50, batch_bytes: int = 8 << 20, carry: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+def remove_repeats(documents: DataFrame, length: int = 50, batch_bytes: int = 8 << 20, carry: tuple[str, ...] = (), texts: bool = False, hot_batches: int = 256, hot_times: int = 1000) -> DataFrame:
     """Per document: row, doc_id, n_bytes, n_removed, n_spans and kept_sha256 of the bytes that stay.
 
     With `texts` also the text that stays (a character goes only whole) and the
     carried columns, prefixed by `c_`.  Messages between batches and buckets are
     blocks of numbers; nothing is collected.  `batch_bytes` bounds what one
-    Python worker holds: about 15 times that at the peak.
+    Python worker holds: about 15 times that at the peak.  An anchor is hot that
+    `hot_batches` batches have, or one batch more than `hot_times` times, so at
+    most 256 x 1,000 stretches share one that is not.
     """
     spark = documents.sparkSession
     space = Workspace(spark, "pfp")
     store = TextBatches(space, documents, batch_bytes, carry)
     batches, buckets = store.frame, min(6 * store.count, 65000)
     slim = batches.select("batch", "row", "doc_id", "text")
-    sent = slim.groupBy("batch").applyInArrow(lambda t: _trimmed(_triggers, t, length, buckets), MESSAGE)
-    shared = space.save(sent.groupBy("bucket").applyInArrow(_answer_triggers, MESSAGE), "shared")
+    sent = slim.groupBy("batch").applyInArrow(lambda t: _trimmed(_triggers, t, length, buckets, hot_times), MESSAGE)
+    shared = space.save(sent.groupBy("bucket").applyInArrow(lambda t: _answer_triggers(t, hot_batches), MESSAGE), "shared")
     del sent
     release(spark)
     sent = slim.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, m: _trimmed(_phrases, t, m, length, buckets), MESSAGE)

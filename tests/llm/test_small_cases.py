@@ -192,6 +192,36 @@ def repeats(seed=1):
     return rows + [(200, rows[3][1]), (201, rows[3][1] + " é"), (202, "ab" * 300), (203, "ab" * 100), (204, "a" * 49), (205, "a" * 49), (206, "é" * 40), (207, "xé" + "é" * 40)] + ODD + [(None, rows[5][1])]
 
 
+def test_corpus_order():
+    """Dictionary, parse and their suffix arrays put suffixes in the order of their bytes, and equal windows side by side."""
+    r = random.Random(5)
+    for trial in range(60):
+        letters = r.choice([b"ab", b"abcdefgh ", bytes(range(256)), b"a"])
+        pool = [bytes(r.choice(letters) for _ in range(r.randint(20, 90))) for _ in range(4)]
+        strings = [b"".join(r.choice(pool) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 25))]
+        text, edge = np.frombuffer(b"".join(strings), np.uint8), np.concatenate([[0], np.cumsum(list(map(len, strings)))])
+        start, end, left = pfp_dedup.parse(text, edge)
+        assert set(edge[:-1]) <= set(start) and left[-1] == 1 and (end - start > 0).all()
+        tails = {text[p:e].tobytes() for s, e, n in zip(start, end, left) for p in range(s, e - pfp_dedup.GRAM) if n > 1}
+        assert not any(a != b and b.startswith(a) for a in tails for b in tails)  # prefix-free
+        length = 20
+        at = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(edge[:-1], edge[1:])])
+        order, key = pfp_dedup.corpus_order(text, edge, at)
+        bound = edge[np.searchsorted(edge, at, "right")]
+        suffixes = [text[p:e].tobytes() for p, e in zip(at[order], bound[order])]
+        assert suffixes == sorted(suffixes)
+        same = pfp_dedup.equal_neighbours(text, at[order], key, length)
+        assert same.tolist() == [False] + [a[:length] == b[:length] for a, b in zip(suffixes, suffixes[1:])]
+
+
+@pytest.mark.parametrize("hot", [{"hot_times": 0}, {"hot_batches": 2}, {"hot_times": 2}])
+def test_remove_repeats_of_hot_anchors(spark, hot):
+    """Anchors treated as hot, also such as repeat within a window."""
+    rows = repeats() + [(3000 + k, prose(4, k) + " abab" * (15 + k) + " the common sixteen bytes " + prose(12, k % 5) + "z" * 70) for k in range(12)]
+    got = pfp_dedup.remove_repeats(frame(spark, rows), batch_bytes=1500, **hot).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect()), key=str) == remove_brute(rows)
+
+
 def test_remove_repeats(spark):
     rows = repeats()
     for size in (1500, 12 << 20):
