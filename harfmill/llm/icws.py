@@ -347,7 +347,7 @@ class NearDuplicates:
         buckets, total = self.buckets, self.total
         self.texts = store.frame.select("batch", "row", "text")
         sent = self.texts.groupBy("batch").applyInArrow(lambda t: _trimmed(_count, t, buckets), MESSAGE)
-        self.df = space.save(sent.groupBy("bucket").applyInArrow(_add_up, MESSAGE), "df")
+        self.df = space.save(store.spread(sent, "bucket").groupBy("bucket").applyInArrow(_add_up, MESSAGE), "df")
         del sent
         release(spark)
         signed = self.texts.groupBy("batch").cogroup(self.df.groupBy("batch")).applyInArrow(

@@ -530,11 +530,11 @@ def remove_repeats(documents: DataFrame, length: int = 50, batch_bytes: int = 8
     batches, buckets = store.frame, min(6 * store.count, 65000)
     slim = batches.select("batch", "row", "doc_id", "text")
     sent = slim.groupBy("batch").applyInArrow(lambda t: _trimmed(_triggers, t, length, buckets, hot_times), MESSAGE)
-    shared = space.save(sent.groupBy("bucket").applyInArrow(lambda t: _answer_triggers(t, hot_batches), MESSAGE), "shared")
+    shared = space.save(store.spread(sent, "bucket").groupBy("bucket").applyInArrow(lambda t: _answer_triggers(t, hot_batches), MESSAGE), "shared")
     del sent
     release(spark)
     sent = slim.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(lambda t, m: _trimmed(_phrases, t, m, length, buckets), MESSAGE)
-    known = space.save(sent.groupBy("bucket").applyInArrow(lambda t: _trimmed(_answer_phrases, t, length), MESSAGE), "known")
+    known = space.save(store.spread(sent, "bucket").groupBy("bucket").applyInArrow(lambda t: _trimmed(_answer_phrases, t, length), MESSAGE), "known")
     del sent
     release(spark)
     schema = "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

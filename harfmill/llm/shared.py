@@ -170,6 +170,11 @@ class TextBatches:
         )
         self.frame = space.save_bucketed(flat.withColumn("batch", self.batch_of(F.col("row"))), "texts", self.count, "batch")
 
+    def spread(self, frame: DataFrame, key: str) -> DataFrame:
+        """Messages dealt by a key into as many partitions as keep each near 64 MB of text, where the session has fewer."""
+        count = math.ceil(self.bytes / (64 << 20))
+        return frame.repartition(count, key) if count > int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) else frame
+
     def batch_of(self, row):
         """The batch of a row number, as a Column."""
         slot = F.pmod(F.xxhash64(row), F.lit(self.count)).cast("int")
