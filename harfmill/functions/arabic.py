@@ -24,6 +24,7 @@ LONG_VOWELS = "اوي"
 LATIN = "[A-Za-zÀ-ɏḀ-ỿⱠ-Ɀ꜠-ꟿꬰ-꭯]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~،؛؟«»…—–ـ"
 DIGITS = "0-9٠-٩"
+# The Latin letters that row filters look for, signs that count as punctuation, digits, and special tokens.
 SPECIAL_TOKENS = ["<pad>", "<s>", "</s>", "<unk>", "<mask>", "<bow>", "<eow>"]
 #: The stand-in alphabet: Latin prose becomes Arabic-script text of the same shape.
 ARABIZE_FROM, ARABIZE_TO = "abcdefghijklmnopqrstuvwxyz", "ابتجدهوزحطيكلمنسعفصقرشتثخذ"
@@ -82,8 +83,14 @@ def arabize(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), ARABIZE_FROM, ARABIZE_TO), rf"[^{LETTERS}\s]", "")
 
 
+def arabic_only(c: Column) -> Column:
+    """Arabic letters and their marks, without anything else."""
+    return F.regexp_replace(c, f"[^{LETTERS}{MARKS}]", "")
+
+
 def clean_token(c: Column) -> Column:
-    """A token string without word-piece markers and marks, Arabic letters only (byte-level forms: see `decode_byte_level`)."""
+    """A token string as Arabic letters only: byte-level forms are read as text, word-piece markers and marks go."""
+    c = decode_byte_level(c)
     c = F.regexp_replace(c, "^##", "")
     c = F.regexp_replace(c, "^▁", "")
     c = F.regexp_replace(c, "^Ġ", "")
@@ -127,18 +134,21 @@ def byte_alphabet() -> dict[str, int]:
     return table
 
 
-def decode_byte_level(c: Column) -> Column:
-    """A byte-level token as text; a token that holds other signs or no valid UTF-8 stays as it is."""
-    table = byte_alphabet()
+_SHOWN = {b: ch for ch, b in byte_alphabet().items()}
+_MOVED = [b for b in range(256) if ord(_SHOWN[b]) != b]
+_ALPHABET = "^[" + "".join("\\" + ch if ch in "[]\\^-&" else ch for ch in _SHOWN.values()) + "]+$"
 
-    def one(token: str) -> str:
-        try:
-            return bytes(table[ch] for ch in token).decode("utf-8")
-        except (KeyError, UnicodeDecodeError):
-            return token
 
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(one, na_action="ignore")
+def encode_byte_level(c: Column) -> Column:
+    """A string with each of its UTF-8 bytes as its sign of the byte-level alphabet."""
+    latin = F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    return F.translate(latin, "".join(map(chr, _MOVED)), "".join(_SHOWN[b] for b in _MOVED))
 
-    return F.pandas_udf(run, "string")(c)
+
+def decode_byte_level(c: Column) -> Column:
+    """A byte-level token as text; a token that holds other signs or no valid UTF-8 stays as it is."""
+    held = F.when(c.rlike(_ALPHABET), c)
+    # translate() takes a sign without a counterpart out, so byte 0 is put in as hexadecimal digits.
+    latin = lambda part: F.translate(part, "".join(_SHOWN[b] for b in _MOVED if b), "".join(chr(b) for b in _MOVED if b))
+    digits = F.array_join(F.transform(F.split(held, _SHOWN[0], -1), lambda part: F.hex(F.encode(latin(part), "ISO-8859-1"))), "00")
+    return F.coalesce(F.try_validate_utf8(F.unhex(digits).cast("string")), c)

@@ -48,42 +48,55 @@ def has_subsequence(text: Column, root: Column) -> Column:
     return let(root, letters)
 
 
-def pattern(text: Column, root: Column) -> Column:
-    """text with the root's letters replaced, in order, by the pattern letters; null if they are not all there."""
+_SEATS = {3: "فعل", 4: "فعلل"}
+
+
+def _seated(text: Column, root: Column, whole: bool) -> Column:
+    """By one match: the nearest letters of a root of three or four, in order, become the pattern's seats."""
+
+    def over(v: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for n, seats in _SEATS.items():
+            letter = [F.concat(F.lit("\\Q"), F.substring(v["r"], k, F.lit(1)), F.lit("\\E")) for k in range(1, n + 1)]
+            parts = [F.lit("(?s)^(.*?)" if whole else "(?s)^.*?"), letter[0]]
+            for one in letter[1:]:
+                parts += [F.lit("(.*?)"), one]
+            match = F.concat(*parts, F.lit("(.*)$" if whole else ".*$"))
+            groups = iter(range(1, n + 2))
+            kept = (f"${next(groups)}" if whole else "") + "".join(seat + (f"${next(groups)}" if k < n - 1 or whole else "") for k, seat in enumerate(seats))
+            out = F.when((F.length(v["r"]) == n) & F.regexp_like(v["t"], match), F.regexp_replace(v["t"], match, F.lit(kept))).otherwise(out)
+        return out
+
+    return let(F.struct(strip_marks(text).alias("t"), root.alias("r")), over)
+
+
+def _seated_fold(text: Column, root: Column, whole: bool) -> Column:
+    """The same for a root of any length, letter by letter; seats beyond the third letter are empty."""
     start = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
 
     def over(v: Column) -> Column:
-        r, seats = v["r"], v["seats"]
+        r = v["r"]
 
         def step(acc: Column, ch: Column) -> Column:
             hit = (ch != "") & (ch == F.substring(r, acc["k"] + 1, F.lit(1)))
-            return F.struct(F.when(hit, acc["k"] + 1).otherwise(acc["k"]).alias("k"), F.concat(acc["out"], F.when(hit, F.substring(seats, acc["k"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
+            kept = F.lit(True) if whole else (acc["k"] > 0) & (acc["k"] < F.length(r))
+            seat = F.concat(acc["out"], F.substring(F.lit(_SEATS[3]), acc["k"] + 1, F.lit(1)))
+            return F.struct(F.when(hit, acc["k"] + 1).otherwise(acc["k"]).alias("k"), F.when(hit, seat).when(kept, F.concat(acc["out"], ch)).otherwise(acc["out"]).alias("out"))
 
         done = F.aggregate(F.split(strip_marks(v["t"]), ""), start, step)
         return let(done, lambda d: F.when((v["t"] != "") & (r != "") & (d["k"] == F.length(r)), d["out"]))
 
-    return let(F.struct(text.alias("t"), root.alias("r"), F.when(F.length(root) == 4, F.lit("فعلل")).otherwise(F.lit("فعل")).alias("seats")), over)
+    return let(F.struct(text.alias("t"), root.alias("r")), over)
 
 
-def stem_span(text: Column, root: Column) -> Column:
-    """The pattern of the shortest greedy stretch of text from the first to the last root letter."""
-    start = F.struct(F.lit(0).alias("k"), F.lit("").alias("out"))
-
-    def over(v: Column) -> Column:
-        r, seats = v["r"], v["seats"]
-
-        def step(acc: Column, ch: Column) -> Column:
-            hit = (ch != "") & (ch == F.substring(r, acc["k"] + 1, F.lit(1)))
-            inside = (acc["k"] > 0) & (acc["k"] < F.length(r))
-            return F.struct(
-                F.when(hit, acc["k"] + 1).otherwise(acc["k"]).alias("k"),
-                F.when(hit, F.concat(acc["out"], F.substring(seats, acc["k"] + 1, F.lit(1)))).when(inside, F.concat(acc["out"], ch)).otherwise(acc["out"]).alias("out"),
-            )
+def pattern(text: Column, root: Column) -> Column:
+    """text with the root's letters replaced, in order, by the pattern letters; null if they are not all there."""
+    return F.when(F.length(root).isin(3, 4), _seated(text, root, True)).otherwise(_seated_fold(text, root, True))
 
-        done = F.aggregate(F.split(strip_marks(v["t"]), ""), start, step)
-        return let(done, lambda d: F.when((r != "") & (d["k"] == F.length(r)), d["out"]))
 
-    return let(F.struct(text.alias("t"), root.alias("r"), F.when(F.length(root) == 4, F.lit("فعلل")).otherwise(F.lit("فعل")).alias("seats")), over)
+def stem_span(text: Column, root: Column) -> Column:
+    """The pattern of the shortest greedy stretch of text from the first to the last root letter."""
+    return F.when(F.length(root).isin(3, 4), _seated(text, root, False)).otherwise(_seated_fold(text, root, False))
 
 
 def fill_pattern(pat: Column, root: Column) -> Column:
@@ -157,13 +170,63 @@ def normalize_pattern(pat: Column, proclitics: list[str], enclitic: str | None)
     return strip_enclitic(pat, enclitic) if enclitic else pat
 
 
+def strip_clitics(word: Column, proclitics: list[str], enclitics: list[str]) -> Column:
+    """A surface without its clitics: proclitics from the outermost in, then enclitics, each only if it is there."""
+    for c in proclitics:
+        word = strip_proclitic(word, c)
+    for c in enclitics:
+        word = strip_enclitic(word, c)
+    return word
+
+
 def accepted(root: Column, pat: Column) -> Column:
     """The root of an analysis that counts: without separators, three letters or more, not the no-root mark; else null."""
     bare = F.regexp_replace(root, "[_.#]", "")
-    return F.when((F.coalesce(pat, F.lit("")) != "") & (F.length(bare) >= 3) & (bare != "NTWS"), bare)
+    pat = F.coalesce(pat, F.lit(""))
+    return F.when((pat != "") & ~F.contains(pat, F.lit("NTWS")) & (F.length(bare) >= 3) & (bare != "NTWS"), bare)
 
 
 def first_accepted(candidates: Column) -> Column:
     """The first acceptable one of an array of (root, pattern) structs, with its root cleaned."""
     good = F.filter(candidates, lambda c: accepted(c["root"], c["pattern"]).isNotNull())
     return F.transform(F.slice(good, 1, 1), lambda c: F.struct(accepted(c["root"], c["pattern"]).alias("root"), c["pattern"].alias("pattern")))[0]
+
+
+def accepted_analysis(root: Column, pat: Column, tags: list[Column], stem: Column) -> Column:
+    """A backend's analysis as it counts, or null: root, pattern without clitics, clitic surfaces, and the stem.
+
+    tags: four proclitic tags from the outermost in, and the enclitic's.  A
+    missing stem is the pattern filled with the root's letters.
+    """
+    surfaces = [clitic_surface(t) for t in tags]
+    bare = pat
+    for c in surfaces[:-1]:
+        bare = F.when(c.isNotNull(), _without(bare, c, True)).otherwise(bare)
+    bare = F.when(surfaces[-1].isNotNull(), _without(bare, surfaces[-1], False)).otherwise(bare)
+    good = accepted(root, pat)
+    filled = F.coalesce(F.nullif(stem, F.lit("")), fill_pattern(bare, good))
+    fields = [good.alias("root"), bare.alias("pattern"), F.filter(F.array(*surfaces[:-1]), lambda c: c.isNotNull()).alias("proclitics"), surfaces[-1].alias("enclitic"), filled.alias("stem")]
+    return F.when(good.isNotNull(), F.struct(*fields))
+
+
+def _without(text: Column, clitic: Column, start: bool) -> Column:
+    """A clitic that is a column, taken off the start or end, through marks between its letters and around it."""
+    marks = f"[{MARKS}]*"
+    letters = F.array_join(F.filter(F.split(clitic, ""), lambda ch: ch != ""), marks)
+    match = F.concat(F.lit(("^" if start else "") + marks), letters, F.lit(marks + ("" if start else "$")))
+    return F.regexp_replace(text, match, F.lit(""))
+
+
+def reconstruct(lookup: Column, generated: Column, pat: Column, root: Column) -> Column:
+    """A stem's surface: the one seen in the corpus, else the generator's, else the pattern filled, else the root; marks go."""
+    kept = lambda c: F.nullif(strip_marks(c), F.lit(""))
+    return F.coalesce(F.nullif(lookup, F.lit("")), kept(generated), kept(fill_pattern(pat, root)), root)
+
+
+def generated_surface(filled: Column, candidates: Column) -> Column:
+    """A generator's answer: the stem of the analysis of the filled pattern that has its root and pattern, else the filled pattern.
+
+    candidates: array of (root, pattern, stem, wanted), `wanted` whether root and pattern are those that were asked for.
+    """
+    hits = F.filter(candidates, lambda c: c["wanted"] & (F.coalesce(c["stem"], F.lit("")) != ""))
+    return F.coalesce(F.try_element_at(F.transform(hits, lambda c: c["stem"]), F.lit(1)), filled)

@@ -130,3 +130,24 @@ def continuation_ll(log_probs: Column, full: Column, start: Column) -> Column:
     places = F.sequence(start, F.size(full) - 1)
     total = F.aggregate(places, F.lit(0.0), lambda s, i: s + F.get(F.get(log_probs, i - 1), F.get(full, i)))
     return F.when(start < F.size(full), total).otherwise(F.lit(-1e9))
+
+
+def pooled_mask(mask: Column, rate: int) -> Column:
+    """The mask of a sequence pooled by `rate`, ceil(length / rate) long: 1 where any place of a window is 1."""
+    windows = F.filter(F.sequence(F.lit(0), F.ceil(F.size(mask) / rate).cast("int")), lambda k: k * rate < F.size(mask))
+    return F.transform(windows, lambda k: F.array_max(F.slice(mask, k * rate + 1, F.lit(rate))).cast("long"))
+
+
+def block_mix(x: Column, largest: int, score: float = 1.0) -> Column:
+    """For each place the means of its blocks of 1 to `largest` places, mixed by the softmax of `score` times these means.
+
+    Blocks begin at multiples of their size; the last one is filled up with zeros.
+    """
+
+    def at(k: Column) -> Column:
+        means = F.array(*[F.aggregate(F.slice(x, k - k % b + 1, F.lit(b)), F.lit(0.0), lambda a, v: a + v) / b for b in range(1, largest + 1)])
+        mixed = lambda m: F.aggregate(F.zip_with(m, F.transform(m, lambda v: F.exp(score * v)), lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v) / F.aggregate(m, F.lit(0.0), lambda a, v: a + F.exp(score * v))
+        return let(means, mixed)
+
+    places = F.filter(F.sequence(F.lit(0), F.size(x)), lambda k: k < F.size(x))
+    return F.transform(places, at)

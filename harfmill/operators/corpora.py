@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from harfmill.functions.arabic import arabize, nfkc, normalize, words
+from harfmill.functions.morphology import segment
 
 # The columns looked for, in this order.
 TEXT_COLUMNS = ["text", "content", "sentence", "document", "passage"]
@@ -45,6 +46,17 @@ def arabized(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "lang", "source", arabize(F.col("text")).alias("text"))
 
 
+def segmented(frame: DataFrame, column: str = "text") -> DataFrame:
+    """Texts with a space between the morphemes of each word."""
+    parts = F.flatten(F.transform(words(F.col(column)), lambda w: F.coalesce(segment(w), F.array(w))))
+    return frame.withColumn(column, F.array_join(parts, " "))
+
+
+def occurrence(doc: str = "doc_id", pos: str = "pos") -> Column:
+    """Where a word stands, as one number that orders like (document, position): unlike a struct, its minimum is hash-aggregated."""
+    return F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col(pos).cast("decimal(10,0)")
+
+
 def word_rows(frame: DataFrame, *keep: str, column: str = "text") -> DataFrame:
     """(kept columns, pos, word), a row for each word."""
     return frame.select(*keep, F.posexplode(words(F.col(column))).alias("pos", "word"))

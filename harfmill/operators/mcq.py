@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.functions.arabic import has_latin
+from harfmill.functions.arabic import LATIN, has_latin
 from harfmill.functions.scoring import char_score, first_argmax, pmi_score
 
 # Prompt parts, answer letters and labels.
@@ -96,8 +96,12 @@ def continuations(choices: Column, by_word: Column) -> Column:
 
 
 def score(requests: DataFrame, mode: str = "char") -> DataFrame:
-    """requests: ex_id, choice_idx, continuation, ll, unconditioned, gold, source_config.  Per example the scores, predictions and margins."""
-    scored = requests.withColumn("s", char_score(F.col("ll"), F.col("continuation")))
+    """requests: ex_id, choice_idx, continuation, ll, unconditioned, gold, source_config.  Per example the scores, predictions and margins.
+
+    mode: char, pmi, char+pmi (priors decide), or raw: log-likelihoods as they are.
+    """
+    by_length = F.col("ll") if mode == "raw" else char_score(F.col("ll"), F.col("continuation"))
+    scored = requests.withColumn("s", by_length)
     scored = scored.withColumn("p", pmi_score(F.col("ll"), F.col("unconditioned")) if "pmi" in mode else F.lit(None).cast("double"))
     rows = scored.groupBy("ex_id", "source_config", "gold").agg(F.array_sort(F.collect_list(F.struct("choice_idx", "ll", "s", "p"))).alias("x"))
     pick = lambda f: F.transform("x", lambda v: v[f])
@@ -106,10 +110,11 @@ def score(requests: DataFrame, mode: str = "char") -> DataFrame:
     return out.withColumn("pred", F.col("pred_pmi") if "pmi" in mode else F.col("pred_char"))
 
 
-def accuracy(scored: DataFrame) -> DataFrame:
-    """In total (source_config null) and by sub-config, in one pass."""
+def accuracy(scored: DataFrame, totals: bool = False) -> DataFrame:
+    """In total (source_config null) and by sub-config, in one pass; with `totals` a column says which row is the total."""
     hit = lambda c: F.round(F.avg((F.col(c) == F.col("gold")).cast("double")), 4)
-    return scored.groupingSets([["source_config"], []], "source_config").agg(F.count(F.lit(1)).alias("num_samples"), hit("pred_char").alias("accuracy_char"), hit("pred_pmi").alias("accuracy_pmi"))
+    mark = [(F.grouping("source_config") == 1).alias("is_total")] if totals else []
+    return scored.groupingSets([["source_config"], []], "source_config").agg(F.count(F.lit(1)).alias("num_samples"), hit("pred_char").alias("accuracy_char"), hit("pred_pmi").alias("accuracy_pmi"), *mark)
 
 
 def failures(scored: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,35 @@ def best_gap(frame: DataFrame, task: str, family: str, score: str, rival: str) -
     return own.join(best, task).select(task, "own", "best", F.round(F.col("best") - F.col("own"), 6).alias("gap"))
 
 
+#: Tokenizers whose root conservation is extreme by their nature.
+MECHANICAL = {"word": "RPS ceiling: the word is a token", "root_pattern": "RPS ceiling: roots are tokens", "char": "RPS floor: a letter holds no root", "byte": "RPS floor: a byte holds no letter"}
+#: Tasks whose labels are known to be noisy.
+NOISY = {"acva": "generated questions: some labels are wrong, and some rows occur with both labels"}
+
+
+def summary(frame: DataFrame, by: str, columns: dict[str, str], first_by: str, rank_by: str) -> DataFrame:
+    """Per configuration the first value or the mean of each column, and its rank by one of them, best first."""
+    take = {"first": lambda c: F.min_by(c, first_by), "mean": lambda c: F.round(F.avg(c), 4)}
+    out = frame.groupBy(by).agg(*[take[how](c).alias(c) for c, how in columns.items()])
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(rank_by), by)).cast("long"))  # a row a configuration
+
+
+def first_per(frame: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row a key, the first by an order: a deterministic dropDuplicates."""
+    rest = [c for c in frame.columns if c not in keys]
+    return frame.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("row")).select(*keys, "row.*")
+
+
+def place(column: str, order: list[str]) -> Column:
+    """A value's place in a fixed order, 0 if it is not there: what categories are sorted by."""
+    return F.array_position(F.array(*[F.lit(x) for x in order]), F.col(column)).cast("long")
+
+
+def grid(kinds: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The cells of a sweep: every kind with every size.  Both are a configuration's few rows."""
+    return kinds.crossJoin(F.broadcast(sizes))
+
+
 def resume(cells: DataFrame, done: DataFrame, key: str = "cell") -> DataFrame:
     """Cells of a sweep that have no result yet."""
     return cells.join(done.select(key), key, "left_anti")

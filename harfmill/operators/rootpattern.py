@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from harfmill.functions.arabic import LETTERS, MARKS, PUNCTUATION, alpha_chunks, root_of_skeleton, strip_marks
 from harfmill.functions.morphology import ENCLITICS, PROCLITICS, SEGMENTS, stem_span
 from harfmill.functions.scoring import let
+from harfmill.operators.corpora import occurrence
 from harfmill.operators.vocabulary import counted, reconstruction
 
 SPECIALS = ["<pad>", "<s>", "</s>", "<unk>", "[LIT_BEGIN]", "[LIT_END]"]
@@ -25,14 +26,25 @@ PAD, BOS, EOS, UNK, LIT_BEGIN, LIT_END = range(6)
 _ALPHA = re.compile(f"[{LETTERS}{MARKS}]+|[0-9٠-٩]+|[{re.escape(PUNCTUATION)}]+|[^{LETTERS}{MARKS}0-9٠-٩{re.escape(PUNCTUATION)}]+")
 
 
+_CUT = "\u0001"
+
+
 def analyse(chunks: DataFrame, *keep: str) -> DataFrame:
-    """chunks: word.  word, root, pattern (of the stem, null where not analysable), proclitics, stem, enclitic."""
-    part = lambda v, k: F.regexp_extract(v, SEGMENTS, k)
-    cut = let(strip_marks(F.col("word")), lambda v: F.struct(v.alias("bare"), *[part(v, k).alias(f"p{k}") for k in range(1, 6)]))
+    """chunks: word, distinct.  word, root, pattern (of the stem, null where not analysable), proclitics, stem, enclitic.
+
+    A column that is kept ties the analysis to the grouping that made the words
+    distinct, so that a filter on a root is not moved below it, to every
+    occurrence of every word.
+    """
+    word = F.when(F.col(keep[0]).isNotNull(), F.col("word")) if keep else F.col("word")
+    cut = let(strip_marks(word), lambda v: F.struct(v.alias("bare"), F.split(F.regexp_replace(v, SEGMENTS, _CUT.join(f"${k}" for k in range(1, 6))), _CUT, -1).alias("p")))
 
     def rooted(v: Column) -> Column:
-        stem = F.when(v["p4"] == "", v["bare"]).otherwise(v["p4"])
-        return let(stem, lambda s: F.struct(s.alias("stem"), root_of_skeleton(s).alias("root"), F.filter(F.array(v["p1"], v["p2"], v["p3"]), lambda p: p != "").alias("proclitics"), F.nullif(v["p5"], F.lit("")).alias("enclitic")))
+        whole = F.size(v["p"]) != 5  # no stem of three signs
+        stem = F.when(whole, v["bare"]).otherwise(F.get(v["p"], F.lit(3)))
+        proclitics = F.when(whole, F.array().cast("array<string>")).otherwise(F.filter(F.slice(v["p"], 1, 3), lambda p: p != ""))
+        enclitic = F.nullif(F.get(v["p"], F.lit(4)), F.lit(""))
+        return let(stem, lambda s: F.struct(s.alias("stem"), root_of_skeleton(s).alias("root"), proclitics.alias("proclitics"), enclitic.alias("enclitic")))
 
     out = chunks.withColumn("a", let(cut, rooted)).select("word", *keep, "a.*")
     pattern = F.when(F.col("root").isNotNull(), stem_span(F.col("stem"), F.col("root")))
@@ -42,7 +54,7 @@ def analyse(chunks: DataFrame, *keep: str) -> DataFrame:
 def analysis_table(frame: DataFrame, column: str = "text") -> DataFrame:
     """Analyses of all distinct alpha chunks of a corpus, with where each first occurs."""
     chunks = frame.select("doc_id", F.posexplode(alpha_chunks(F.col(column))).alias("pos", "word"))
-    firsts = chunks.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    firsts = chunks.groupBy("word").agg(F.min(occurrence()).alias("first"))
     return analyse(firsts, "first")
 
 
@@ -60,7 +72,7 @@ class RootPattern:
         """Collects the capped vocabulary and the surfaces of pairs within it."""
         roots = [r[0] for r in counted(analyses.select(F.col("root").alias("token")), max_roots, min_count).orderBy("id").select("token").collect()]
         patterns = [r[0] for r in counted(analyses.select(F.col("pattern").alias("token")), max_patterns, min_count).orderBy("id").select("token").collect()]
-        entries = analyses.where("root is not null and pattern is not null").select("root", "pattern", F.col("stem").alias("surface"), (F.col("first.doc_id") * 1_000_000 + F.col("first.pos")).alias("pos"))
+        entries = analyses.where("root is not null and pattern is not null").select("root", "pattern", F.col("stem").alias("surface"), F.col("first").alias("pos"))
         known = entries.where(F.col("root").isin(roots) & F.col("pattern").isin(patterns)) if len(roots) + len(patterns) < 2000 else entries.join(
             F.broadcast(entries.sparkSession.createDataFrame([(r,) for r in roots], "root string")), "root", "left_semi"
         ).where(F.col("pattern").isin(patterns))
@@ -142,23 +154,31 @@ class RootPattern:
                 out += ch
         return out
 
-    def encode_frame(self, frame: DataFrame, column: str = "text") -> DataFrame:
-        """frame with ids; the analyses that a text needs travel with it, one entry a distinct chunk."""
-        chunks = frame.select("doc_id", F.explode(F.array_distinct(alpha_chunks(F.col(column)))).alias("word"))
-        table = analyse(chunks.select("word").distinct())
+    def encode_frame(self, frame: DataFrame, column: str = "text", as_tokens: bool = False) -> DataFrame:
+        """frame with ids (or the token strings of what lies between bos and eos).
+
+        Each distinct chunk is analysed once; the analyses that a text needs come
+        to it by a hash of the text, so ids of rows play no part.
+        """
+        key = "hm_text_key"
+        keyed = frame.withColumn(key, F.md5(F.col(column).cast("binary")))
+        chunks = keyed.select(key, F.explode(F.array_distinct(alpha_chunks(F.col(column)))).alias("word")).distinct()
+        table = analyse(chunks.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "n").where("root is not null and pattern is not null")
         entry = F.struct("word", "root", "pattern", "proclitics", "enclitic")
-        known = chunks.join(table, "word").groupBy("doc_id").agg(F.collect_list(entry).alias("known"))
+        known = chunks.join(table, "word").groupBy(key).agg(F.collect_list(entry).alias("hm_known"))
         model = self
 
-        @F.pandas_udf("array<int>")
+        @F.pandas_udf("array<string>" if as_tokens else "array<int>")
         def run(texts: pd.Series, known: pd.Series) -> pd.Series:
             out = []
             for text, entries in zip(texts, known, strict=True):
-                table = {e["word"]: (e["root"], e["pattern"], list(e["proclitics"]), e["enclitic"]) for e in (entries if entries is not None else []) if e["root"] and e["pattern"]}
-                out.append(model.encode(text or "", table))
+                table = {e["word"]: (e["root"], e["pattern"], list(e["proclitics"]), e["enclitic"]) for e in (entries if entries is not None else [])}
+                ids = model.encode(text or "", table)
+                out.append([model.tokens[k] for k in ids[1:-1]] if as_tokens else ids)
             return pd.Series(out)
 
-        return frame.join(known, "doc_id", "left").withColumn("ids", run(F.col(column), F.col("known"))).drop("known")
+        name = "tokens" if as_tokens else "ids"
+        return keyed.join(known, key, "left").withColumn(name, run(F.col(column), F.col("hm_known"))).drop("hm_known", key)
 
     def decode_column(self, ids: Column) -> Column:
         model = self

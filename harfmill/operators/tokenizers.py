@@ -1,10 +1,15 @@
-"""Character, word-character and byte tokenizers as Columns and joins: no Python on the executors."""
+"""Character, word-character and byte tokenizers: Columns and joins; word look-up by Arrow's hash table."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harfmill.functions.arabic import words
+
 # Reserved ids.
 PAD, BOS, EOS, UNK, SPACE = 0, 1, 2, 3, 4
 CHAR_RESERVED = {"pad": 0, "bow": 1, "eow": 2, "unk": 3, "bos": 4, "eos": 5, "unk_word": 6}
@@ -33,7 +38,7 @@ def encode_char(frame: DataFrame, vocab: DataFrame, column: str = "text") -> Dat
     """ids: bos, a character each (space 4, unknown 3), eos."""
     codes = code_table(vocab)
     one = lambda ch: F.when(ch == " ", F.lit(SPACE).cast("long")).otherwise(F.coalesce(F.try_element_at(F.col("codes"), F.ascii(ch) + 1), F.lit(UNK).cast("long")))
-    body = F.transform(F.filter(F.split(column, ""), lambda ch: ch != ""), one)
+    body = F.transform(F.filter(F.split(F.coalesce(column, F.lit("")), ""), lambda ch: ch != ""), one)
     return frame.crossJoin(F.broadcast(codes)).withColumn("ids", F.concat(F.array(F.lit(BOS).cast("long")), body, F.array(F.lit(EOS).cast("long")))).drop("codes")
 
 
@@ -55,15 +60,44 @@ def decode_bytes(ids: Column) -> Column:
     return F.make_valid_utf8(F.unhex(F.array_join(hexes, "")).cast("string"))
 
 
-def encode_words(rows: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
-    """rows: key, pos, word.  Per key the word ids between bos and eos, unknown 3.
+def encode_words(frame: DataFrame, vocab: DataFrame, column: str = "text", limit: int = 1_000_000) -> DataFrame:
+    """frame with ids: bos, a word each (unknown 3), eos.  A narrow map: no word leaves its row.
 
-    The vocabulary is capped, so a broadcast join is left to the optimizer's size check.
+    Words are split by Spark and looked up by Arrow's hash table, all words of a
+    batch at once.  The vocabulary is capped where it is made; one of more than
+    `limit` words is refused, as every worker holds it.
     """
-    found = rows.join(vocab.select(F.col("token").alias("word"), "id"), "word", "left").select(key, "pos", F.coalesce("id", F.lit(UNK).cast("long")).alias("id"))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
-    one = lambda k: F.array(F.lit(k).cast("long"))
-    return found.groupBy(key).agg(F.concat(one(BOS), ids, one(EOS)).alias("ids"))
+    table = vocab.select("token", "id").limit(limit + 1).toArrow()
+    if table.num_rows > limit:
+        raise ValueError(f"a vocabulary of more than {limit} words")
+    known = frame.sparkSession.sparkContext.broadcast((table.column("token").combine_chunks(), table.column("id").to_numpy().astype(np.int64)))
+
+    @F.arrow_udf("array<bigint>")
+    def look_up(lists: pa.Array) -> pa.Array:
+        tokens, ids = known.value
+        flat, edge = flattened(lists)
+        at = pc.index_in(flat, value_set=tokens).fill_null(len(ids)).to_numpy(zero_copy_only=False)
+        return framed(np.append(ids, UNK)[at], edge)
+
+    return frame.withColumn("ids", look_up(words(F.col(column))))
+
+
+def flattened(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All elements of a list column, and the bounds of its rows (null: empty)."""
+    size = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+
+
+def framed(ids: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Lists of ids with bos before and eos behind each."""
+    size = np.diff(edge) + 2
+    ends = np.cumsum(size)
+    out = np.full(int(ends[-1]) if len(ends) else 0, EOS, np.int64)
+    inside = np.ones(len(out), bool)
+    inside[ends - size] = inside[ends - 1] = False
+    out[ends - size] = BOS
+    out[inside] = ids
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out, pa.int64()))
 
 
 def word_char_ids(word: Column, codes: Column, max_chars: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from harfmill.operators.corpora import word_rows
+from harfmill.operators.corpora import occurrence, word_rows
 
 
 def ranked(counts: DataFrame, order: list, cap: int, first_id: int) -> DataFrame:
@@ -28,12 +28,17 @@ def char_vocab(frame: DataFrame, column: str = "text") -> DataFrame:
 def word_counts(frame: DataFrame) -> DataFrame:
     """word, cnt, and where it first occurs."""
     rows = word_rows(frame, "doc_id")
-    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min(F.struct("doc_id", "pos")).alias("first"))
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.min(occurrence()).alias("first"))
+
+
+def top_words(counts: DataFrame, cap: int) -> DataFrame:
+    """counts: word, cnt, first.  Words by falling count, ties by first occurrence, from id 4."""
+    return ranked(counts, [F.desc("cnt"), F.col("first")], cap, 4).select(F.col("word").alias("token"), "cnt", "id")
 
 
 def word_vocab(frame: DataFrame, cap: int = 50_000) -> DataFrame:
-    """Words by falling count, ties by first occurrence, from id 4."""
-    return ranked(word_counts(frame), [F.desc("cnt"), F.col("first.doc_id"), F.col("first.pos")], cap, 4).select(F.col("word").alias("token"), "cnt", "id")
+    """The vocabulary of a frame's words."""
+    return top_words(word_counts(frame), cap)
 
 
 def counted(tokens: DataFrame, cap: int, min_count: int, first_id: int = 0) -> DataFrame:

@@ -6,14 +6,30 @@ from pyspark.sql import functions as F
 
 from harfmill.functions import scoring
 from harfmill.operators import corpora, mcq, metrics, reports, training
-from harfmill.plans.base import joined_md5, query, values_sql
+from harfmill.plans.base import joined_md5, query
 from harfmill.plans.tokens import _BASE, _BASE_50K, _FAMILY, _family_sql, size_metrics_by_lang
 
-# Parsers, on inline rows.
-_GENERIC = [("س1", "أ", "ب", "ج", "د", None, "B"), ("س2", "أ", "ب", None, None, None, "1"), ("س3", "أ", "", " ", None, None, "E"), (" ", "أ", "ب", None, None, None, "A"), ("س5", "أ", "ب", None, None, None, None), ("س6", "أ", "ب", "ج", "د", "هـ", "e"), ("س7", "أ", "ب", None, None, None, "x")]
-_ACVA = [("q1", "صح"), ("q2", "خطأ"), ("q3", "maybe"), ("", "صح"), (None, "صح"), ("q6", " صح ")]
-_ALGHAFA = [("q", "a", "b", "c", "d", None, "0"), ("q", "a", "b", "c", "d", None, "3"), ("q", "a", "b", "c", "d", "e", "4"), ("q", "a", "b", None, None, None, "2"), ("q", "a", "b", None, None, None, None), ("q", "a", "b", None, None, None, "abc"), ("", "a", "b", None, None, None, "1"), ("q", "a", "b", "c", " ", None, "2")]
-_EXAM = [("q", "ctx", "a", "b", "c", "d", None, "B", None), ("q", None, "a", "b", "c", "d", None, "a", 0), ("q", "nan", "a", "b", "c", "d", "e", "E", 0), ("q", "", "a", "b", "c", "d", None, "E", 0), ("q", "x", "a", "b", "nan", "NaN", None, "C", 0), ("q", "x", "a", "b", "c", "d", None, "A", 1), ("", "x", "a", "b", "c", "d", None, "A", 0), ("q", "x", None, None, None, None, None, "A", 0), ("q", "x", "a", "b", "c", "d", None, "Z", 0)]
+# Parsers, on rows that every turn of a conversation gives: columns that both dialects compute in the same words.
+_TURN = "conv_id * 100 + turn AS n"
+_GENERIC = {
+    "q": "CASE WHEN (conv_id * 100 + turn) % 11 = 0 THEN ' ' ELSE substr(text, 1, 40) END", "A": "substr(text, 1, 4)", "B": "CASE WHEN turn % 5 = 0 THEN '' ELSE substr(text, 5, 6) END",
+    "C": "CASE WHEN conv_id % 3 <> 0 THEN substr(text, 11, 5) END", "D": "CASE WHEN conv_id % 4 = 1 THEN ' ' ELSE substr(text, 16, 5) END", "E": "CASE WHEN conv_id % 6 = 0 THEN substr(text, 2, 3) END",
+    "ans": "CASE (conv_id * 100 + turn) % 8 WHEN 0 THEN 'B' WHEN 1 THEN ' c ' WHEN 2 THEN '1' WHEN 3 THEN 'e' WHEN 5 THEN 'x' WHEN 6 THEN '9' WHEN 7 THEN 'A' END",
+}
+_ACVA = {"q": _GENERIC["q"], "ans": "CASE (conv_id * 100 + turn) % 5 WHEN 0 THEN 'صح' WHEN 1 THEN 'خطأ' WHEN 2 THEN ' صح ' WHEN 3 THEN 'maybe' END"}
+_ALGHAFA = {"q": _GENERIC["q"]} | {f"s{k}": _GENERIC[c] for k, c in enumerate("ABCDE", 1)} | {"label": "CASE (conv_id * 100 + turn) % 7 WHEN 0 THEN '0' WHEN 1 THEN ' 3' WHEN 2 THEN '4' WHEN 3 THEN 'abc' WHEN 4 THEN '2' WHEN 5 THEN '-1' END"}
+_EXAM = {"q": _GENERIC["q"], "ctx": "CASE conv_id % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN substr(text, 1, 9) WHEN 2 THEN '' END"} | {f"o{k}": f"CASE WHEN (conv_id + {k}) % 6 = 0 THEN 'nan' ELSE {_GENERIC[c]} END" for k, c in enumerate("ABCDE", 1)}
+_EXAM |= {"k": "CASE (conv_id * 100 + turn) % 5 WHEN 0 THEN 'B' WHEN 1 THEN 'a' WHEN 2 THEN 'E' WHEN 3 THEN 'Z' WHEN 4 THEN ' c ' END", "few": "CASE conv_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 END"}
+
+
+def _raw(columns):
+    return [_TURN, *[f"{e} AS {c}" for c, e in columns.items()]]
+
+
+def _raw_sql(columns):
+    return f"(SELECT {', '.join(_raw(columns))} FROM conversations)"
+
+
 _FULL = "nullif(trim({}), '')"
 
 
@@ -22,10 +38,6 @@ def _example_sql(question, choices, index, source, context="NULL", where="TRUE")
     SELECT n, question, array_to_string(ch, '/') AS choices, CAST(answer AS INTEGER) AS answer, context FROM p WHERE question IS NOT NULL AND len(ch) > 0 AND answer >= 0 AND answer < len(ch)"""
 
 
-def _numbered(rows):
-    return [(k, *r) for k, r in enumerate(rows)]
-
-
 def _example(frame, parsed, context=False):
     out = frame.withColumn("e", parsed).where("e is not null")
     return out.select("n", "e.question", F.array_join("e.choices", "/").alias("choices"), "e.answer", F.col("e.context") if context else F.lit(None).cast("string").alias("context"))
@@ -38,29 +50,29 @@ def _list(*columns):
 _LETTER = "nullif(instr('ABCDE', upper(trim({}))), 0) - 1"
 
 
-@query("parse_generic", _example_sql(_FULL.format("q"), _list(*[_FULL.format(c) for c in "abcde"]), f"CASE WHEN regexp_full_match(upper(trim(ans)), '[A-E]') THEN {_LETTER.format('ans')} ELSE TRY_CAST(trim(ans) AS INTEGER) END", values_sql("n, q, a, b, c, d, e, ans", _numbered(_GENERIC)), "CAST(NULL AS VARCHAR)"))
+@query("parse_generic", _example_sql(_FULL.format("q"), _list(*[_FULL.format(c) for c in "ABCDE"]), f"CASE WHEN regexp_full_match(upper(trim(ans)), '[A-E]') THEN {_LETTER.format('ans')} ELSE TRY_CAST(trim(ans) AS INTEGER) END", _raw_sql(_GENERIC), "CAST(NULL AS VARCHAR)"))
 def _(t):
-    frame = t.values("n int, q string, A string, B string, C string, D string, E string, ans string", _numbered(_GENERIC))
+    frame = t.conversations.selectExpr(*_raw(_GENERIC))
     return _example(frame, mcq.parse_generic(["q"], ["ans"]))
 
 
-@query("parse_acva", _example_sql(_FULL.format("q"), "['صح', 'خطأ']", "CASE trim(ans) WHEN 'صح' THEN 0 WHEN 'خطأ' THEN 1 END", values_sql("n, q, ans", _numbered(_ACVA)), "CAST(NULL AS VARCHAR)"))
+@query("parse_acva", _example_sql(_FULL.format("q"), "['صح', 'خطأ']", "CASE trim(ans) WHEN 'صح' THEN 0 WHEN 'خطأ' THEN 1 END", _raw_sql(_ACVA), "CAST(NULL AS VARCHAR)"))
 def _(t):
-    return _example(t.values("n int, q string, ans string", _numbered(_ACVA)), mcq.parse_true_false(F.col("q"), F.col("ans")))
+    return _example(t.conversations.selectExpr(*_raw(_ACVA)), mcq.parse_true_false(F.col("q"), F.col("ans")))
 
 
-@query("parse_alghafa", _example_sql(_FULL.format("q"), _list(*[_FULL.format(f"s{k}") for k in range(1, 6)]), "TRY_CAST(trim(label) AS INTEGER)", values_sql("n, q, s1, s2, s3, s4, s5, label", _numbered(_ALGHAFA)), "CAST(NULL AS VARCHAR)"))
+@query("parse_alghafa", _example_sql(_FULL.format("q"), _list(*[_FULL.format(f"s{k}") for k in range(1, 6)]), "TRY_CAST(trim(label) AS INTEGER)", _raw_sql(_ALGHAFA), "CAST(NULL AS VARCHAR)"))
 def _(t):
-    frame = t.values("n int, q string, s1 string, s2 string, s3 string, s4 string, s5 string, label string", _numbered(_ALGHAFA))
+    frame = t.conversations.selectExpr(*_raw(_ALGHAFA))
     return _example(frame, mcq.parse_solutions(F.col("q"), [F.col(f"s{k}") for k in range(1, 6)], F.col("label")))
 
 
 _REAL = "CASE WHEN lower(trim({0})) <> 'nan' THEN nullif(trim({0}), '') END"
 
 
-@query("parse_exam", _example_sql(_FULL.format("q"), _list(*[_REAL.format(f"o{k}") for k in range(1, 6)]), _LETTER.format("k"), values_sql("n, q, ctx, o1, o2, o3, o4, o5, k, few", _numbered(_EXAM)), f"coalesce({_REAL.format('ctx')}, '')", "coalesce(few, 0) = 0"))
+@query("parse_exam", _example_sql(_FULL.format("q"), _list(*[_REAL.format(f"o{k}") for k in range(1, 6)]), _LETTER.format("k"), _raw_sql(_EXAM), f"coalesce({_REAL.format('ctx')}, '')", "coalesce(few, 0) = 0"))
 def _(t):
-    frame = t.values("n int, q string, ctx string, o1 string, o2 string, o3 string, o4 string, o5 string, k string, few int", _numbered(_EXAM))
+    frame = t.conversations.selectExpr(*_raw(_EXAM))
     return _example(frame, mcq.parse_exam(F.col("q"), [F.col(f"o{k}") for k in range(1, 6)], F.col("k"), F.col("ctx"), F.col("few")), True)
 
 
@@ -130,7 +142,9 @@ def _(t):
 @query("uncond_cache_distinct", f"WITH {_LOGITS} SELECT choice_idx, round(u, 6) AS prior, (SELECT count(*) FROM rq) AS requests FROM un")
 def _(t):
     rows = _requests(t)
-    return rows.groupBy("choice_idx").agg(F.round(F.first("unconditioned"), 6).alias("prior"), F.count(F.lit(1)).alias("n")).select(F.col("choice_idx").cast("long").alias("choice_idx"), "prior", (F.col("n") * 10).alias("requests"))
+    total = rows.agg(F.count(F.lit(1)).alias("requests"))  # one row
+    priors = rows.groupBy("choice_idx").agg(F.round(F.first("unconditioned"), 6).alias("prior"))
+    return priors.crossJoin(F.broadcast(total)).select(F.col("choice_idx").cast("long").alias("choice_idx"), "prior", "requests")
 
 
 @query("mcq_failures", f"WITH {_LOGITS} SELECT ex_id, gold, pred_pmi AS pred, round(lls[pred_pmi + 1] - lls[gold + 1], 6) AS margin_ll, round(ss[pred_pmi + 1] - ss[gold + 1], 6) AS margin_char, round(ps[pred_pmi + 1] - ps[gold + 1], 6) AS margin_pmi FROM pr WHERE pred_pmi <> gold")
@@ -154,28 +168,39 @@ def _(t):
     return corpora.conversation_pairs(t.conversations).select("conv_id", "turn", F.md5(F.concat_ws("|", "question", "answer", "context").cast("binary")).alias("pair_md5"))
 
 
-def qa_prompt(question, context, answer=None):
-    text = F.concat(F.lit(f"{mcq.CONTEXT} "), context, F.lit(f"\n{mcq.QUESTION} "), question, F.lit(f"\n{mcq.ANSWER}"))
-    return text if answer is None else F.concat(text, F.lit(" "), answer)
-
-
 _QA_TEXT = f"'{mcq.CONTEXT} ' || context || chr(10) || '{mcq.QUESTION} ' || question || chr(10) || '{mcq.ANSWER}'"
 
 
 @query("qa_prompt", f"WITH {_PAIRS} SELECT conv_id, turn, md5({_QA_TEXT}) AS prompt_md5, md5({_QA_TEXT} || ' ' || answer) AS full_md5 FROM qa")
 def _(t):
     q = corpora.conversation_pairs(t.conversations)
-    prompt, full = qa_prompt(F.col("question"), F.col("context")), qa_prompt(F.col("question"), F.col("context"), F.col("answer"))
+    prompt, full = training.qa_prompt(F.col("question"), F.col("context")), training.qa_prompt(F.col("question"), F.col("context"), F.col("answer"))
     return q.select("conv_id", "turn", F.md5(prompt.cast("binary")).alias("prompt_md5"), F.md5(full.cast("binary")).alias("full_md5"))
 
 
-_MASKS = [(0, [1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 100, 101, 102], "-100,-100,-100,-100,-100,100,101,102"), (1, [1, 2, 3, 999], [1, 2, 3, 100, 101], "-100,-100,-100,100,101"), (2, [1, 2, 3, 4, 5], [1, 2, 3], None), (3, [1, 2, 3], [1, 2, 3], None), (4, [9], [1, 2], "1,2")]
+# Byte ids of a question, and of question and answer cut to 256: where the answer does not fit, nothing is left to learn.
+_IDS = "list_concat(list_concat([1], list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: CAST('0x' || h AS BIGINT) + 4)), [2])"
+_ENCODED = f"{_PAIRS}, ids AS (SELECT conv_id, turn, {_IDS.format('question')} AS p, list_slice({_IDS.format(chr(39).join(['question || ', ' ', ' || answer']))}, 1, 256) AS f FROM qa)"
+_LCP = "(coalesce(list_position(list_transform(range(1, least(len(p), len(f)) + 1), lambda k: p[k] = f[k]), FALSE), 0))"
+_COMMON = f"(CASE WHEN {_LCP} = 0 THEN least(len(p), len(f)) ELSE {_LCP} - 1 END)"
+
+
+def _encoded_pairs(t):
+    from harfmill.operators.tokenizers import encode_bytes
+
+    q = corpora.conversation_pairs(t.conversations)
+    return q.select("conv_id", "turn", encode_bytes(F.col("question")).alias("p"), F.slice(encode_bytes(F.concat("question", F.lit(" "), "answer")), 1, 256).alias("f"))
+
+
+@query("lcp_mask", f"WITH {_ENCODED}, c AS (SELECT *, {_COMMON} AS n FROM ids) SELECT conv_id, turn, CASE WHEN n < len(f) THEN md5(array_to_string(list_concat(list_transform(range(0, n), lambda k: CAST(-100 AS BIGINT)), list_slice(f, n + 1, len(f))), ',')) END AS labels_md5 FROM c")
+def _(t):
+    return _encoded_pairs(t).select("conv_id", "turn", joined_md5(scoring.answer_labels(F.col("p"), F.col("f"))).alias("labels_md5"))
 
 
-@query("lcp_mask", f"SELECT n, want AS labels FROM {values_sql('n, want', [(m[0], m[3]) for m in _MASKS])}")
+@query("loglik_span", f"WITH {_ENCODED} SELECT conv_id, turn, CAST({_COMMON} AS INTEGER) AS lcp, CAST(len(p) AS INTEGER) AS plain FROM ids")
 def _(t):
-    labels = scoring.answer_labels(F.col("p"), F.col("f"))
-    return t.values("n int, p array<int>, f array<int>, want string", _MASKS).select("n", F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
+    p, f = F.col("p"), F.col("f")
+    return _encoded_pairs(t).select("conv_id", "turn", scoring.continuation_start(p, f).alias("lcp"), scoring.continuation_start(p, f, "length").alias("plain"))
 
 
 _BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: CAST('0x' || h AS BIGINT) + 4)"
@@ -249,12 +274,10 @@ def _(t):
     return training.loss_tail(_losses(t), 5).select("run", "step", "loss")
 
 
-_NAMES = [("model.embed_tokens.weight",), ("model.layers.0.self_attn.q_proj.weight",), ("lm_head.weight",), ("model.norm.weight",), ("char_cnn.conv.0.bias",)]
-
-
-@query("trainable_filter", f"SELECT name, name LIKE '%embed_tokens%' OR name LIKE '%lm\\_head%' ESCAPE '\\' AS trains FROM {values_sql('name', _NAMES)}")
+@query("trainable_filter", "SELECT DISTINCT lang || '.' || source || '.weight' AS name, contains(lang || '.' || source || '.weight', 'en.') OR contains(lang || '.' || source || '.weight', 'src1') AS trains FROM documents")
 def _(t):
-    return t.values("name string", _NAMES).select("name", training.trainable(F.col("name"), ["embed_tokens", "lm_head"]).alias("trains"))
+    names = t.documents.select(F.concat("lang", F.lit("."), "source", F.lit(".weight")).alias("name")).distinct()
+    return names.select("name", training.trainable(F.col("name"), ["en.", "src1"]).alias("trains"))
 
 
 @query("answer_token_stats", f"WITH {_PAIRS} SELECT count(*) FILTER (length(trim(answer)) > 0) AS kept, count(*) FILTER (length(trim(answer)) = 0) AS dropped, round(avg(octet_length(encode(' ' || answer))) FILTER (length(trim(answer)) > 0), 4) AS mean_completion FROM qa")
@@ -281,22 +304,30 @@ def _(t):
     return _losses(t).groupBy("run").agg(F.round(scoring.perplexity(F.avg("loss") / 100), 6).alias("perplexity"))
 
 
-_MEI = [(1, True, 0.5, 0.8, 3.0, 2.0, 1), (2, True, 0.5, 0.8, 3.0, 10.0, 200), (3, True, None, 0.8, 3.0, 2.0, 1), (4, True, 0.5, None, 3.0, 2.0, 1), (5, True, 0.5, 0.8, None, 2.0, 1), (6, True, 0.5, 0.8, 3.0, None, 1), (7, True, 0.5, 0.8, 3.0, 2.0, None), (8, True, 0.5, 0.8, 3.0, 0.0, 0), (9, True, 0.5, 0.8, 3.0, -1.0, 5), (10, True, 0.5, 0.8, 3.0, 2.0, 0), (11, False, None, 0.8, 3.0, 2.0, 1), (12, True, 0.0, 0.8, 3.0, 2.0, 1)]
+# A run's intrinsic figures (a row a user) meet its evaluations (a row an event): 1:N.
+_INTRINSIC = "SELECT user_id, CASE WHEN user_id % 7 <> 3 THEN round(avg(value) / 100, 6) END AS r, CASE WHEN user_id % 11 <> 4 THEN round(max(value) / 10, 6) END AS c FROM events GROUP BY user_id"
+_DOWN = {
+    "k": "event_id", "user_id": "user_id", "mcq": "event_id % 13 <> 0", "a": "CASE WHEN event_id % 5 <> 1 THEN value / 100 END",
+    "s": "CASE event_id % 9 WHEN 0 THEN 0.0 WHEN 1 THEN -1.0 WHEN 2 THEN NULL ELSE value END", "n": "CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE event_id % 50 + 1 END",
+}
 _MEI_SQL = "CASE WHEN NOT mcq THEN 'task_not_mcq' WHEN a IS NULL THEN 'missing_accuracy' WHEN r IS NULL THEN 'missing_rps' WHEN c IS NULL THEN 'missing_compression' WHEN s IS NULL THEN 'missing_time' WHEN n IS NULL THEN 'missing_num_eval_rows' WHEN s <= 0 THEN 'zero_time' WHEN n <= 0 THEN 'zero_rows' ELSE 'ok' END"
-_MEI_COLUMNS = "k int, mcq boolean, a double, r double, c double, s double, n int"
+_CELLS_SQL = f"i AS ({_INTRINSIC}), d AS (SELECT {', '.join(f'{e} AS {c}' for c, e in _DOWN.items())} FROM events), m AS (SELECT d.*, r, c, {_MEI_SQL} AS status FROM d JOIN i USING (user_id))"
 
 
 def _mei(t):
+    i = t.events.groupBy("user_id").agg(F.round(F.avg("value") / 100, 6).alias("r"), F.round(F.max("value") / 10, 6).alias("c"))
+    i = i.select("user_id", F.when(F.col("user_id") % 7 != 3, F.col("r")).alias("r"), F.when(F.col("user_id") % 11 != 4, F.col("c")).alias("c"))
+    d = t.events.selectExpr(*[f"{e} AS {c}" for c, e in _DOWN.items()]).select("k", "user_id", "mcq", "a", F.col("s").cast("double").alias("s"), "n")
     args = [F.col(x) for x in ("mcq", "a", "r", "c", "s", "n")]
-    return t.values(_MEI_COLUMNS, _MEI).select("k", scoring.efficiency_status(*args).alias("status"), scoring.efficiency_index(*args).alias("mei"))
+    return d.join(i, "user_id").select("k", scoring.efficiency_status(*args).alias("status"), scoring.efficiency_index(*args).alias("mei"))
 
 
-@query("mei_status", f"WITH m AS (SELECT *, {_MEI_SQL} AS status FROM {values_sql('k, mcq, a, r, c, s, n', _MEI)}) SELECT k, status, CASE WHEN status = 'ok' THEN round(CAST(a AS DOUBLE) * CAST(r AS DOUBLE) * CAST(c AS DOUBLE) / (CAST(s AS DOUBLE) / n), 6) END AS mei FROM m")
+@query("mei_status", f"WITH {_CELLS_SQL} SELECT k, status, CASE WHEN status = 'ok' THEN round(a * r * c / (s / n), 6) END AS mei FROM m")
 def _(t):
     return _mei(t)
 
 
-@query("status_tally", f"SELECT status, count(*) AS n FROM (SELECT {_MEI_SQL} AS status FROM {values_sql('k, mcq, a, r, c, s, n', _MEI)}) GROUP BY status")
+@query("status_tally", f"WITH {_CELLS_SQL} SELECT status, count(*) AS n FROM m GROUP BY status")
 def _(t):
     return _mei(t).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -366,21 +397,42 @@ def _(t):
     return wide.withColumn("delta", F.round(F.col("byte") - F.col("char"), 4))
 
 
-_CELLS = [(f"{k}_{v}", k, v) for k in ("bpe", "wordpiece", "char") for v in (16, 32, 50)]
-_DONE = [("bpe_16",), ("char_50",), ("other_1",)]
+@query("sweep_resume_anti", "WITH c AS (SELECT DISTINCT lang AS kind FROM documents), s AS (SELECT DISTINCT source AS size FROM documents) SELECT kind || '_' || size AS cell, kind, size FROM c, s WHERE kind || '_' || size NOT IN (SELECT lang || '_' || source FROM documents WHERE doc_id % 3 = 0 AND lang IS NOT NULL AND source IS NOT NULL)")
+def _(t):
+    """The grid of kinds and sizes (a few of each) without the cells that have results."""
+    kinds, sizes = t.documents.select(F.col("lang").alias("kind")).distinct(), t.documents.select(F.col("source").alias("size")).distinct()
+    cells = reports.grid(kinds, sizes).withColumn("cell", F.concat_ws("_", "kind", "size"))
+    done = t.documents.where("doc_id % 3 = 0").select(F.concat_ws("_", "lang", "source").alias("cell")).distinct()
+    return reports.resume(cells, done).select("cell", "kind", "size")
+
+
+@query("mechanical_flags", f"WITH {_SWEEP} SELECT tokenizer, lang, CASE tokenizer WHEN 'char' THEN 'floor' WHEN 'byte' THEN 'floor' WHEN 'word' THEN 'ceiling' END AS flag FROM grid")
+def _(t):
+    flags = t.values("tokenizer string, flag string", [(k, v.split()[1].rstrip(":")) for k, v in reports.MECHANICAL.items()])
+    return size_metrics_by_lang(t).select("tokenizer", "lang").join(F.broadcast(flags), "tokenizer", "left")
 
 
-@query("sweep_resume_anti", f"SELECT cell, kind, size FROM {values_sql('cell, kind, size', _CELLS)} WHERE cell NOT IN ('bpe_16', 'char_50')")
+@query("config_summary", f"WITH {_SWEEP} SELECT tokenizer, first(n_texts ORDER BY lang) AS n_texts, round(avg(fertility), 4) AS fertility, round(avg(compression_ratio), 4) AS compression_ratio, row_number() OVER (ORDER BY round(avg(compression_ratio), 4) DESC, tokenizer) AS rank FROM grid GROUP BY tokenizer")
 def _(t):
-    return reports.resume(t.values("cell string, kind string, size int", _CELLS), t.values("cell string", _DONE))
+    return reports.summary(size_metrics_by_lang(t), "tokenizer", {"n_texts": "first", "fertility": "mean", "compression_ratio": "mean"}, "lang", "compression_ratio")
 
 
-_FLAGS = [("char_jaber", "every root letter is a token"), ("charformer", "bytes clean to nothing"), ("root_pattern", "roots are tokens by design"), ("character_bert", "the word is a token")]
+@query("efficiency_by_group", "SELECT event_type, round(avg(value), 4) AS mean_loss, round(avg(event_id % 97), 4) AS mean_time, round(avg(value / (event_id % 97 + 1)), 6) AS per_second FROM events GROUP BY event_type")
+def _(t):
+    e = t.events.select("event_type", "value", (F.col("event_id") % 97).alias("time"))
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 4).alias("mean_loss"), F.round(F.avg("time"), 4).alias("mean_time"), F.round(F.avg(F.col("value") / (F.col("time") + 1)), 6).alias("per_second"))
+
+
+@query("first_per_config", "SELECT source, lang, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
+def _(t):
+    """One row a (source, lang): the first by id, not whichever comes first."""
+    return reports.first_per(t.documents, ["source", "lang"], "doc_id").select("source", "lang", "doc_id")
 
 
-@query("mechanical_flags", f"SELECT c.kind, f.note FROM (SELECT 'char_jaber' AS kind UNION ALL SELECT 'bpe' UNION ALL SELECT 'charformer') c LEFT JOIN (SELECT * FROM {values_sql('kind, note', _FLAGS)}) f ON c.kind = f.kind")
+@query("ordered_runs", f"WITH {_SWEEP} SELECT tokenizer, lang, list_position(['word', 'byte', 'char'], tokenizer) AS place FROM grid")
 def _(t):
-    return t.values("kind string", [("char_jaber",), ("bpe",), ("charformer",)]).join(t.values("kind string, note string", _FLAGS), "kind", "left")
+    """The order of tokenizers in reports."""
+    return size_metrics_by_lang(t).select("tokenizer", "lang", reports.place("tokenizer", ["word", "byte", "char"]).alias("place"))
 
 
 @query("windowed_loss", "SELECT user_id AS run, time_bucket(INTERVAL 1 DAY, ts) AS start, round(avg(value), 4) AS mean_loss, count(*) AS n FROM events GROUP BY ALL")

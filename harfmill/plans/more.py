@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from harfmill.functions import morphology, scoring
+from harfmill.functions.arabic import MARKS
 from harfmill.operators import corpora, tokenizers, vocabulary
-from harfmill.plans.base import WORD_ROWS, joined_md5, query, values_sql
+from harfmill.plans.base import WORD_ROWS, joined_md5, query
+from harfmill.plans.morphology import _PAIRS, _rooted, _words
 
 
 @query(
@@ -46,15 +48,6 @@ def _(t):
     return _vectors(t, 50)
 
 
-_SPANS = [(1, [1, 5, 6, 2], [1, 5, 6, 7, 8, 2], 3, 4), (2, [1, 5], [1, 5, 9], 2, 2), (3, [1, 5, 2], [1, 5, 2], 3, 3), (4, [1, 9], [1, 5, 6], 1, 2)]
-
-
-@query("loglik_span", f"SELECT n, lcp, plain FROM {values_sql('n, lcp, plain', [(s[0], s[3], s[4]) for s in _SPANS])}")
-def _(t):
-    frame = t.values("n int, c array<int>, f array<int>, a int, b int", _SPANS)
-    return frame.select("n", scoring.continuation_start(F.col("c"), F.col("f")).alias("lcp"), scoring.continuation_start(F.col("c"), F.col("f"), "length").alias("plain"))
-
-
 @query("block_means", "SELECT vec_id, round(list_avg(list_slice(CAST(embedding AS DOUBLE[]), 1, 4)), 6) AS first_block, round(list_avg(list_slice(CAST(embedding AS DOUBLE[]), 61, 64)), 6) AS last_block, CAST(ceil(len(embedding) / 4.0) AS INTEGER) AS blocks FROM embeddings")
 def _(t):
     x = F.col("embedding").cast("array<double>")
@@ -72,20 +65,58 @@ def _(t):
     return t.embeddings.select("vec_id", F.transform(blocks, mean).alias("means"))
 
 
-_ANALYSES = [(1, "ك.ت.ب", "1ا2ي3", "كتب"), (2, "ك_ت#ب", "123", "كتب"), (3, "NTWS", "123", None), (4, "كت", "123", None), (5, "كتب", None, None), (6, None, "123", None), (7, "كتب", "", None)]
+# Analyses as a backend writes them, from all distinct words: separators in roots, loanword marks, missing patterns, clitics with marks.
+_ROOT = "CASE length(word) % 5 WHEN 0 THEN 'NTWS' WHEN 1 THEN substr(root, 1, 1) || '.' || substr(root, 2, 1) || '_' || substr(root, 3, 1) WHEN 2 THEN substr(root, 1, 2) || '#' ELSE root END"
+_PATTERN = "CASE length(word) % 7 WHEN 0 THEN '' WHEN 2 THEN 'NTWS' WHEN 3 THEN NULL ELSE '1ا2ي3' END"
+_CLITIC = "CASE length(word) % 3 WHEN 0 THEN 'وَ' WHEN 1 THEN 'و' ELSE '' END || CASE length(word) % 2 WHEN 0 THEN 'اَل' ELSE '' END || '1ا2' || CASE length(word) % 5 WHEN 0 THEN 'هَا' WHEN 1 THEN 'ها' ELSE '' END"
+_ANALYSED = f"{_PAIRS}, an AS (SELECT word, {_ROOT} AS raw, {_PATTERN} AS pat, {_CLITIC} AS whole FROM r WHERE root IS NOT NULL)"
+_GOOD = "CASE WHEN coalesce(pat, '') <> '' AND NOT contains(pat, 'NTWS') AND length(regexp_replace(raw, '[_.#]', '', 'g')) >= 3 AND raw <> 'NTWS' THEN regexp_replace(raw, '[_.#]', '', 'g') END"
 
 
-@query("accepted_root", f"SELECT n, want AS root FROM {values_sql('n, want', [(a[0], a[3]) for a in _ANALYSES])}")
+def _analysed(t):
+    return _rooted(t).where("root is not null").selectExpr("word", f"{_ROOT} AS raw", f"{_PATTERN} AS pat", f"{_CLITIC} AS whole")
+
+
+@query("accepted_root", f"WITH {_ANALYSED} SELECT word, {_GOOD} AS root FROM an")
 def _(t):
-    return t.values("n int, root string, pattern string, want string", _ANALYSES).select("n", morphology.accepted(F.col("root"), F.col("pattern")).alias("root"))
+    return _analysed(t).select("word", morphology.accepted(F.col("raw"), F.col("pat")).alias("root"))
 
 
-_PATTERNS = [(1, "وَال1ا2ي3ها", "1ا2ي3"), (2, "1ا2ي3", "1ا2ي3"), (3, "و1َ2َ3َ", "1َ2َ3َ")]
+@query("pattern_without_clitics", f"WITH {_ANALYSED} SELECT word, regexp_replace(regexp_replace(regexp_replace(whole, '^[{MARKS}]*و[{MARKS}]*', ''), '^[{MARKS}]*ا[{MARKS}]*ل[{MARKS}]*', ''), '[{MARKS}]*ه[{MARKS}]*ا[{MARKS}]*$', '') AS pattern FROM an")
+def _(t):
+    return _analysed(t).select("word", morphology.normalize_pattern(F.col("whole"), ["و", "ال"], "ها").alias("pattern"))
+
+
+@query("analysis_record", f"WITH {_ANALYSED}, g AS (SELECT word, {_GOOD} AS root, regexp_replace(regexp_replace(whole, '^[{MARKS}]*و[{MARKS}]*', ''), '[{MARKS}]*ه[{MARKS}]*ا[{MARKS}]*$', '') AS pattern FROM an) SELECT word, root, pattern, replace(replace(replace(replace(pattern, '1', substr(root, 1, 1)), '2', substr(root, 2, 1)), '3', substr(root, 3, 1)), '4', substr(root, 4, 1)) AS stem FROM g WHERE root IS NOT NULL")
+def _(t):
+    """Accepted analyses: the pattern without its clitics, and where the backend names no stem, the filled pattern."""
+    tags = [F.lit("wa_conj"), F.lit("0"), F.lit("na"), F.lit(None).cast("string"), F.lit("3fs_poss")]
+    pat = F.coalesce("pat", F.lit(""))
+    usable = F.when((pat != "") & ~F.contains(pat, F.lit("NTWS")), F.col("whole"))
+    found = morphology.accepted_analysis(F.col("raw"), usable, tags, F.lit(None).cast("string"))
+    return _analysed(t).select("word", found.alias("f")).where("f is not null").select("word", "f.root", "f.pattern", "f.stem")
+
+
+@query("strip_all_clitics", f"WITH {_PAIRS} SELECT word, regexp_replace(regexp_replace(regexp_replace(word, '^و', ''), '^ال', ''), 'ها$', '') AS bare FROM w")
+def _(t):
+    return _words(t).select("word", morphology.strip_clitics(F.col("word"), ["و", "ال"], ["ها"]).alias("bare"))
+
+
+@query("downsampled_mask", "SELECT vec_id, list_transform(range(0, CAST(ceil(len(embedding) / 3.0) AS BIGINT)), lambda k: CAST(len(list_filter(list_slice(embedding, 3 * k + 1, 3 * k + 3), lambda x: x > 0)) > 0 AS BIGINT)) AS mask FROM embeddings WHERE embedding IS NOT NULL")
+def _(t):
+    """The mask of a sequence that is pooled by threes: a place counts if any in its window does."""
+    return t.embeddings.where("embedding is not null").select("vec_id", scoring.pooled_mask(F.transform("embedding", lambda x: (x > 0).cast("long")), 3).alias("mask"))
 
 
-@query("pattern_without_clitics", f"SELECT n, want AS pattern FROM {values_sql('n, want', [(p[0], p[2]) for p in _PATTERNS])}")
+@query("block_mix", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL),
+    b AS (SELECT vec_id, x, list_transform(range(0, len(x)), lambda k: list_transform([1, 2, 3], lambda b: list_sum(list_slice(x, k - k % b + 1, least(k - k % b + b, len(x)))) / b)) AS c FROM e),
+    m AS (SELECT vec_id, list_transform(c, lambda v: list_sum(list_transform(v, lambda w: w * exp(w))) / list_sum(list_transform(v, lambda w: exp(w)))) AS y FROM b)
+    SELECT vec_id, round(list_sum(y), 5) AS total, round(y[1], 6) AS first, round(y[len(y)], 6) AS last FROM m""")
 def _(t):
-    return t.values("n int, p string, want string", _PATTERNS).select("n", morphology.normalize_pattern(F.col("p"), ["و", "ال"], "ها").alias("pattern"))
+    """Blocks of one to three places, averaged (the last one filled up with zeros) and mixed by the softmax of their own values."""
+    y = scoring.block_mix(F.col("embedding").cast("array<double>"), 3)
+    mixed = t.embeddings.where("embedding is not null").select("vec_id", y.alias("y"))
+    return mixed.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), F.round(F.get("y", F.lit(0)), 6).alias("first"), F.round(F.element_at("y", -1), 6).alias("last"))
 
 
 @query("subconfig_section", "SELECT source AS config, printf('%.4f (n=%d)', avg(CAST(lang = 'en' AS DOUBLE)), count(*)) AS cell FROM documents GROUP BY source")

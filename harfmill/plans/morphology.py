@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from harfmill.functions import arabic, morphology
 from harfmill.operators import corpora, metrics
-from harfmill.plans.base import ARAB, ARAB_WORDS, SAMPLE, pattern_sql, query, root_sql, segment_sql, skeleton_sql, span_sql, subsequence_sql, values_sql
+from harfmill.plans.base import ARAB, ARAB_WORDS, MARKS_SQL, SAMPLE, pattern_sql, query, root_sql, segment_sql, skeleton_sql, span_sql, subsequence_sql, values_sql
 
 _PAIRS = f"arab AS ({ARAB}), arab_words AS ({ARAB_WORDS}), w AS (SELECT DISTINCT word FROM arab_words), r AS (SELECT word, {root_sql('word')} AS root FROM w)"
 
@@ -65,13 +65,13 @@ _LEFT = f"coalesce(nullif(list_position(list_transform(list_slice(m, 1, len(m) -
 _RIGHT = f"coalesce(nullif(list_position(list_transform(list_reverse(list_slice(m, 2, len(m))), lambda x: x IN ({_ENC})), FALSE), 0) - 1, len(m) - 1)"
 _OFFSET = "CAST(list_sum(list_transform(list_slice(m, 1, k), lambda x: length(x))) AS BIGINT)"
 _CLITICS = f"list_sort(list_distinct(list_concat(list_transform(range(1, {_LEFT} + 1), lambda k: {_OFFSET}), list_transform(range(len(m) - {_RIGHT}, len(m)), lambda k: {_OFFSET}))))"
-_MORPHEMES = [(["كتاب"],), (["و", "كتاب"],), (["ال", "كتاب"],), (["و", "ال", "كتاب"],), (["كتاب", "ها"],), (["كتاب", "كم"],), (["و", "ال", "كتاب", "ها"],), (["ل", "كتاب", "ك"],), (["ك", "كتاب"],), (["كتاب", "ون"],), (["كتاب", "و", "ها"],)]
+_SEGMENTED = f"{_PAIRS}, sg AS (SELECT word, {segment_sql('word')} AS m FROM w)"
 
 
-@query("clitic_boundaries", f"SELECT array_to_string(m, '+') AS word, array_to_string({_CLITICS}, ',') AS bounds FROM {values_sql('m', _MORPHEMES)}")
+@query("clitic_boundaries", f"WITH {_SEGMENTED} SELECT word, array_to_string(CASE WHEN len(m) >= 2 THEN {_CLITICS} ELSE [] END, ',') AS bounds FROM sg WHERE m IS NOT NULL")
 def _(t):
     b = morphology.clitic_boundaries(F.col("m"))
-    return t.values("m array<string>", _MORPHEMES).select(F.array_join("m", "+").alias("word"), F.array_join(F.transform(b, lambda x: x.cast("string")), ",").alias("bounds"))
+    return _words(t).withColumn("m", morphology.segment(F.col("word"))).where("m is not null").select("word", F.array_join(F.transform(b, lambda x: x.cast("string")), ",").alias("bounds"))
 
 
 _FAMILIES = f"""{SAMPLE}, s AS (SELECT word, {root_sql('word')} AS root, coalesce({segment_sql('word')}, [word]) AS m FROM sample), f AS (SELECT * FROM s WHERE root IS NOT NULL),
@@ -93,12 +93,12 @@ def _(t):
 
 @query("root_conservation", f"WITH {_FAMILIES} SELECT family, round(avg(CASE WHEN len(list_filter(content, lambda x: {subsequence_sql('x', 'root')})) > 0 THEN 1.0 ELSE 0.0 END), 4) AS root_conservation_rate, count(root) AS morph_sample_size FROM tab GROUP BY family")
 def _(t):
-    return metrics.morphological_metrics(_table(t)).select("family", "root_conservation_rate", "morph_sample_size")
+    return metrics.morphological_metrics(_table(t), metrics.FAMILIES).select("family", "root_conservation_rate", "morph_sample_size")
 
 
 @query("pattern_conservation", f"WITH {_FAMILIES} SELECT family, round(avg(CASE WHEN {span_sql('word', 'root')} IS NOT NULL THEN CASE WHEN len(list_filter(content, lambda x: coalesce({span_sql('x', 'root')} = {span_sql('word', 'root')}, FALSE))) > 0 THEN 1.0 ELSE 0.0 END END), 4) AS pattern_conservation_rate FROM tab GROUP BY family")
 def _(t):
-    return metrics.morphological_metrics(_table(t)).select("family", "pattern_conservation_rate")
+    return metrics.morphological_metrics(_table(t), metrics.FAMILIES).select("family", "pattern_conservation_rate")
 
 
 @query(
@@ -107,28 +107,28 @@ def _(t):
     round(sum(CASE WHEN te IS NOT NULL THEN {_RESPECTED.format('cb')} END) / nullif(sum(CASE WHEN te IS NOT NULL THEN len(cb) END), 0), 4) AS clitic_separation_accuracy, round(sum(len(tokens)) / nullif(sum(len(m)), 0), 4) AS semantic_fragmentation_ratio FROM rec GROUP BY family""",
 )
 def _(t):
-    return metrics.morphological_metrics(_table(t)).select("family", "morpheme_integrity_rate", "clitic_separation_accuracy", "semantic_fragmentation_ratio")
+    return metrics.morphological_metrics(_table(t), metrics.FAMILIES).select("family", "morpheme_integrity_rate", "clitic_separation_accuracy", "semantic_fragmentation_ratio")
 
 
 _BEARING = f"{_FAMILIES}, roots AS (SELECT DISTINCT root FROM f), pats AS (SELECT DISTINCT {span_sql('word', 'root')} AS p FROM f), ct AS (SELECT family, token, count(*) AS n FROM (SELECT family, unnest(content) AS token FROM tab) GROUP BY ALL)"
 
 
-@query("root_bearing_pct", f"WITH {_BEARING} SELECT family, round(100 * sum(CASE WHEN EXISTS (SELECT 1 FROM roots WHERE {subsequence_sql('token', 'roots.root')}) THEN n ELSE 0 END) / sum(n), 2) AS root_bearing_token_pct FROM ct GROUP BY family")
+@query("root_bearing_pct", f"WITH {_BEARING}, b AS (SELECT family, round(100 * sum(CASE WHEN EXISTS (SELECT 1 FROM roots WHERE {subsequence_sql('token', 'roots.root')}) THEN n ELSE 0 END) / sum(n), 2) AS root_bearing_token_pct FROM ct GROUP BY family) SELECT family, coalesce(root_bearing_token_pct, 0.0) AS root_bearing_token_pct FROM (SELECT DISTINCT family FROM tab) LEFT JOIN b USING (family)")
 def _(t):
-    return metrics.bearing_tokens(_table(t)).select("family", "root_bearing_token_pct")
+    return metrics.bearing_tokens(_table(t), metrics.FAMILIES).select("family", "root_bearing_token_pct")
 
 
-@query("pattern_bearing_pct", f"WITH {_BEARING} SELECT family, round(100 * sum(CASE WHEN EXISTS (SELECT 1 FROM roots, pats WHERE {span_sql('token', 'roots.root')} = pats.p) THEN n ELSE 0 END) / sum(n), 2) AS pattern_bearing_token_pct FROM ct GROUP BY family")
+@query("pattern_bearing_pct", f"WITH {_BEARING}, b AS (SELECT family, round(100 * sum(CASE WHEN EXISTS (SELECT 1 FROM roots, pats WHERE {span_sql('token', 'roots.root')} = pats.p) THEN n ELSE 0 END) / sum(n), 2) AS pattern_bearing_token_pct FROM ct GROUP BY family) SELECT family, coalesce(pattern_bearing_token_pct, 0.0) AS pattern_bearing_token_pct FROM (SELECT DISTINCT family FROM tab) LEFT JOIN b USING (family)")
 def _(t):
-    return metrics.bearing_tokens(_table(t)).select("family", "pattern_bearing_token_pct")
+    return metrics.bearing_tokens(_table(t), metrics.FAMILIES).select("family", "pattern_bearing_token_pct")
 
 
-_FILLS = [("1ا2ي3", "كتب"), ("م12و3", "درس"), ("1234", "كتب"), ("1234", "ترجم"), ("", "كتب"), ("ابج", "كتب"), (None, "كتب")]
+_FILL = "CASE length(word) % 4 WHEN 0 THEN '1ا2ي3' WHEN 1 THEN 'م12و34' WHEN 2 THEN '' END"
 
 
-@query("pattern_fill", f"SELECT p, r, coalesce(translate(p, '1234', r), '') AS surface FROM {values_sql('p, r', _FILLS)}")
+@query("pattern_fill", f"WITH {_PAIRS}, p AS (SELECT word, root, {_FILL} AS p FROM r WHERE root IS NOT NULL) SELECT word, coalesce(replace(replace(replace(replace(p, '1', substr(root, 1, 1)), '2', substr(root, 2, 1)), '3', substr(root, 3, 1)), '4', substr(root, 4, 1)), '') AS surface FROM p")
 def _(t):
-    return t.values("p string, r string", _FILLS).select("p", "r", morphology.fill_pattern(F.col("p"), F.col("r")).alias("surface"))
+    return _rooted(t).where("root is not null").selectExpr("word", "root", f"{_FILL} AS p").select("word", morphology.fill_pattern(F.col("p"), F.col("root")).alias("surface"))
 
 
 _STRIPPED = "SELECT word, regexp_replace(word, '^و', '') AS bare, regexp_replace(word, 'ها$', '') AS bare_end FROM "
@@ -149,9 +149,18 @@ def _(t):
     return _stripped(_words(t))
 
 
-_TAGS = [("wa_conj", "و"), ("3fs_poss", "ها"), ("Al_det", "ال"), ("2d_pron", "كما"), ("xx_new", "xx_new"), ("0", None), ("na", None), ("", None), (None, None)]
+_TABLE = list(morphology.clitic_surfaces().items())
+_TAG_LIST = [tag for tag, _ in _TABLE] + ["xx_new", "0", "na", ""]
+_TAG = "element_at(array({}), CAST(pmod(length(word) * 31 + ascii(word), {}) AS INT) + 1)".format(", ".join(f"'{x}'" for x in _TAG_LIST), len(_TAG_LIST))
 
 
-@query("clitic_tags", f"SELECT tag, surface FROM {values_sql('tag, surface', _TAGS)}")
+@query("clitic_tags", f"WITH {_PAIRS}, s AS (SELECT word, [{', '.join(repr(x) for x in _TAG_LIST)}][(length(word) * 31 + unicode(word)) % {len(_TAG_LIST)} + 1] AS tag FROM w) SELECT word, s.tag, CASE WHEN s.tag IN ('', '0', 'na') THEN NULL ELSE coalesce(v.surface, s.tag) END AS surface FROM s LEFT JOIN {values_sql('tag, surface', _TABLE)} ON s.tag = v.tag")
 def _(t):
-    return t.values("tag string, want string", _TAGS).select("tag", morphology.clitic_surface(F.col("tag")).alias("surface"))
+    return _words(t).selectExpr("word", f"{_TAG} AS tag").select("word", "tag", morphology.clitic_surface(F.col("tag")).alias("surface"))
+
+
+@query("reconstruction_chain", f"WITH {_PAIRS}, p AS (SELECT word, root, {_FILL} AS p, CASE length(word) % 3 WHEN 0 THEN word WHEN 1 THEN '' END AS seen, CASE length(word) % 5 WHEN 0 THEN 'مَ' || root WHEN 1 THEN '' END AS made FROM r WHERE root IS NOT NULL) SELECT word, coalesce(nullif(seen, ''), nullif(translate(made, '{MARKS_SQL}', ''), ''), nullif(coalesce(replace(replace(replace(replace(p, '1', substr(root, 1, 1)), '2', substr(root, 2, 1)), '3', substr(root, 3, 1)), '4', substr(root, 4, 1)), ''), ''), root) AS surface FROM p")
+def _(t):
+    """The surface of a root and pattern: seen in the corpus, generated, filled in, or the root."""
+    rows = _rooted(t).where("root is not null").selectExpr("word", "root", f"{_FILL} AS p", "CASE length(word) % 3 WHEN 0 THEN word WHEN 1 THEN '' END AS seen", "CASE length(word) % 5 WHEN 0 THEN 'مَ' || root WHEN 1 THEN '' END AS made")
+    return rows.select("word", morphology.reconstruct(F.col("seen"), F.col("made"), F.col("p"), F.col("root")).alias("surface"))

@@ -3,12 +3,18 @@
 from pyspark.sql import functions as F
 
 from harfmill.functions import arabic
+from harfmill.functions.arabic import ARABIZE_FROM, ARABIZE_TO
 from harfmill.operators import corpora
-from harfmill.plans.base import ARAB, MARKS_SQL, query, values_sql
+from harfmill.plans.base import ARAB, ARAB_WORDS, MARKS_SQL, WORD_ROWS, query
 
 _NORMAL = r"trim(regexp_replace(replace(translate({}, 'آأإٱ', 'اااا'), 'ـ', ''), '\s+', ' ', 'g'))"
-_STRINGS = [("السلام عليكم",), ("الْكِتَابُ جَمِيلٌ",), ("Привет",), ("日本語",), ("123 ، . ؟",), ("١٢٣ ٤٥٦",), ("",), (None,), ("ما هو IBM؟",), ("Hello world",), ("über",), ("cạnh",), ("آدم أحمد إلى ٱلكتاب",), ("مـــد  ـ  x",)]
-_TOKENS = [("##تاب",), ("▁كتاب",), ("Ġكتاب",), ("وَالْكِتَاب",), ("<s>",), ("abc",), ("على",), ("##▁Ġب",), ("",)]
+_WORDS = f"arab AS ({ARAB}), arab_words AS ({ARAB_WORDS}), w AS (SELECT DISTINCT word FROM arab_words)"
+_RAW_WORDS = f"rows AS ({WORD_ROWS}), w AS (SELECT DISTINCT word FROM rows)"
+
+
+def _words(t, arab=True):
+    docs = corpora.arabized(t.documents) if arab else t.documents
+    return docs.select(F.explode(arabic.words(F.col("text"))).alias("word")).distinct()
 
 
 @query("normalize_arabic_sql", f"WITH arab AS ({ARAB}) SELECT doc_id, CAST(length({_NORMAL.format('text')}) AS BIGINT) AS n_chars, md5({_NORMAL.format('text')}) AS text_md5 FROM arab")
@@ -23,9 +29,11 @@ def _(t):
     return t.documents.select("doc_id", F.length(c).alias("n_chars"))
 
 
-@query("strip_diacritics", f"SELECT s, translate(s, '{MARKS_SQL}', '') AS bare FROM {values_sql('s', _STRINGS)}")
+@query("strip_diacritics", f"WITH {_WORDS}, s AS (SELECT word, regexp_replace(word, '(.)', '\\1َ' || substr('{MARKS_SQL}', CAST(1 + length(word) % 12 AS INTEGER), 1), 'g') AS marked FROM w) SELECT word, translate(marked, '{MARKS_SQL}', '') AS bare FROM s")
 def _(t):
-    return t.values("s string", _STRINGS).select("s", arabic.strip_marks(F.col("s")).alias("bare"))
+    """Every letter gets two marks, and loses them."""
+    marked = F.regexp_replace("word", F.lit("(.)"), F.concat(F.lit("$1َ"), F.substring(F.lit(arabic.MARKS), (1 + F.length("word") % 12).cast("int"), F.lit(1))))
+    return _words(t).select("word", arabic.strip_marks(marked).alias("bare"))
 
 
 @query("min_length_filter", rf"SELECT lang, count(*) AS n FROM documents WHERE length(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) >= 200 GROUP BY lang")
@@ -33,9 +41,10 @@ def _(t):
     return corpora.preprocess(t.documents, min_length=200, compose=False).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("latin_predicate", f"SELECT s, coalesce(regexp_matches(s, '{arabic.LATIN}'), FALSE) AS latin FROM {values_sql('s', _STRINGS)}")
+@query("latin_predicate", f"WITH {_RAW_WORDS}, s AS (SELECT word, translate(word, '{ARABIZE_FROM}', '{ARABIZE_TO}') AS s FROM w) SELECT word, coalesce(regexp_matches(s, '{arabic.LATIN}'), FALSE) AS latin FROM s")
 def _(t):
-    return t.values("s string", _STRINGS).select("s", arabic.has_latin(F.col("s")).alias("latin"))
+    """Words without their small letters of a to z: what is left is Latin by its capitals and accents."""
+    return _words(t, False).select("word", arabic.has_latin(F.translate("word", ARABIZE_FROM, ARABIZE_TO)).alias("latin"))
 
 
 @query(
@@ -75,20 +84,26 @@ def _(t):
     return t.documents.where(~F.col("source").isin("src0", "src3")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "clean_token_string",
-    f"SELECT s, regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(s, '^##', ''), '^▁', ''), '^Ġ', ''), '{MARKS_SQL}', ''), '[^{arabic.LETTERS}]', '', 'g') AS cleaned FROM {values_sql('s', _TOKENS)}",
-)
+@query("clean_token_string", f"WITH {_WORDS} SELECT word, CASE WHEN length(word) % 7 = 6 THEN '' ELSE word END AS cleaned FROM w")
 def _(t):
-    return t.values("s string", _TOKENS).select("s", arabic.clean_token(F.col("s")).alias("cleaned"))
+    """Words as tokens of many kinds, down to byte-level signs: each cleans to the word, a token without Arabic letters to nothing."""
+    kinds = [F.concat(F.lit("##"), "word"), F.concat(F.lit("▁"), "word"), F.concat(F.lit("Ġ"), "word"), arabic.encode_byte_level(F.col("word")), arabic.encode_byte_level(F.concat(F.lit(" "), "word")), F.concat("word", F.lit("َ</w>"))]
+    token = F.lit("<unk>")
+    for k, made in enumerate(kinds):
+        token = F.when(F.length("word") % 7 == k, made).otherwise(token)
+    return _words(t).select("word", arabic.clean_token(token).alias("cleaned"))
 
 
-@query("bytelevel_decode")
+@query("bytelevel_decode", f"WITH {_RAW_WORDS} SELECT word, md5(word) AS text_md5 FROM w")
 def _(t):
-    from harfmill.operators.subword import pre_tokens
+    """There and back through the byte-level alphabet."""
+    return _words(t, False).select("word", F.md5(arabic.decode_byte_level(arabic.encode_byte_level(F.col("word"))).cast("binary")).alias("text_md5"))
+
 
-    rows = [(p,) for s in ("كتاب", " والكتاب", "a b", "é") for p in pre_tokens(s, True)] + [("Ø",), ("كتاب",)]
-    return t.values("token string", rows).select("token", arabic.decode_byte_level(F.col("token")).alias("text"))
+@query("arabic_letters_and_marks", f"WITH {_RAW_WORDS}, s AS (SELECT word, 'كَ' || word || '1ً،' || translate(word, '{ARABIZE_FROM}', '{ARABIZE_TO}') AS s FROM w) SELECT word, regexp_replace(s, '[^{arabic.LETTERS}{MARKS_SQL}]', '', 'g') AS kept FROM s")
+def _(t):
+    mixed = F.concat(F.lit("كَ"), "word", F.lit("1ً،"), F.translate("word", ARABIZE_FROM, ARABIZE_TO))
+    return _words(t, False).select("word", arabic.arabic_only(mixed).alias("kept"))
 
 
 @query("alpha_chunks", f"WITH arab AS ({ARAB}) SELECT lang, CAST(sum(len(c)) AS BIGINT) AS chunks, CAST(max(len(c)) AS BIGINT) AS most FROM (SELECT lang, regexp_extract_all(text, '[{arabic.LETTERS}{MARKS_SQL}]+') AS c FROM arab) GROUP BY lang")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from harfmill.functions.arabic import words
 from harfmill.functions.morphology import ENCLITICS, PROCLITICS
-from harfmill.operators import corpora, metrics, rootpattern, subword, tokenizers, vocabulary
+from harfmill.operators import corpora, metrics, rootpattern, subword, tokenization, tokenizers, vocabulary
 from harfmill.plans.base import ARAB, ARAB_WORDS, WORD_ROWS, joined_md5, query, root_sql, span_sql, words_sql
 
 _CHARS = "SELECT DISTINCT ch FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch <> '' AND ch <> ' '"
@@ -56,7 +56,7 @@ def _(t):
 
 
 def _entries(t):
-    return _analyses(t).where("root is not null and pattern is not null").select("word", "root", "pattern", F.col("stem").alias("surface"), (F.col("first.doc_id") * 1_000_000 + F.col("first.pos")).alias("pos"))
+    return _analyses(t).where("root is not null and pattern is not null").select("word", "root", "pattern", F.col("stem").alias("surface"), F.col("first").alias("pos"))
 
 
 @query(
@@ -97,16 +97,15 @@ def _(t):
     return _encoded_char(t).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined_md5(F.col("ids")).alias("ids_md5"))
 
 
-def _encoded_words(t, cap=50_000):
-    return tokenizers.encode_words(corpora.word_rows(t.documents, "doc_id"), vocabulary.word_vocab(t.documents, cap))
-
-
 @query(
     "encode_word_char",
-    f"WITH {_WORD_VOCAB}, e AS (SELECT doc_id, pos, coalesce(id, 3) AS id FROM rows LEFT JOIN vocab USING (word)) SELECT doc_id, count(*) + 2 AS n_tokens, md5('1,' || string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) || ',2') AS ids_md5 FROM e GROUP BY doc_id",
+    f"""WITH {_WORD_VOCAB}, d AS (SELECT row_number() OVER () AS n, doc_id, {words_sql()} AS ws FROM documents), w AS (SELECT n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM d),
+    e AS (SELECT n, count(*) AS k, string_agg(CAST(coalesce(id, 3) AS VARCHAR) || ',', '' ORDER BY pos) AS ids FROM w LEFT JOIN vocab USING (word) GROUP BY n)
+    SELECT doc_id, coalesce(k, 0) + 2 AS n_tokens, md5('1,' || coalesce(ids, '') || '2') AS ids_md5 FROM d LEFT JOIN e USING (n)""",
 )
 def _(t):
-    return _encoded_words(t).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined_md5(F.col("ids")).alias("ids_md5"))
+    docs = tokenizers.encode_words(t.documents.select("doc_id", "text"), vocabulary.word_vocab(t.documents))
+    return docs.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined_md5(F.col("ids")).alias("ids_md5"))
 
 
 _BYTE_IDS = "list_concat(list_concat([1], list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT) + 4)), [2])"
@@ -146,44 +145,61 @@ def _(t):
     return counted.join(known, "word", "left").groupBy("lang").agg(F.sum("n").alias("n_words"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("n_oov"))
 
 
+def _hashed(frame):
+    return frame.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), joined_md5(F.col("ids")).alias("ids_md5"))
+
+
 @query("encode_bpe")
 def _(t):
     model = subword.Subword.train(t.documents, "bpe", 2000)
-    return t.documents.select("doc_id", F.size(model.encode_column(F.col("text"))).cast("long").alias("n_tokens"))
+    return _hashed(t.documents.select("doc_id", model.encode_column(F.col("text")).alias("ids")))
 
 
 @query("encode_wordpiece")
 def _(t):
     model = subword.Subword.train(t.documents, "wordpiece", 2000)
-    return t.documents.select("doc_id", F.size(model.encode_column(F.col("text"))).cast("long").alias("n_tokens"))
+    return _hashed(t.documents.select("doc_id", model.encode_column(F.col("text")).alias("ids")))
 
 
 @query("encode_morpho_bpe")
 def _(t):
-    from harfmill.functions.morphology import segment
-
-    rows = corpora.arabized(t.documents).select("doc_id", F.array_join(F.flatten(F.transform(words(F.col("text")), lambda w: F.coalesce(segment(w), F.array(w)))), " ").alias("text"))
+    rows = corpora.segmented(corpora.arabized(t.documents))
     model = subword.Subword.train(rows, "plain_bpe", 1000)
-    return rows.select("doc_id", F.size(model.encode_column(F.col("text"))).cast("long").alias("n_tokens"))
+    return _hashed(rows.select("doc_id", model.encode_column(F.col("text")).alias("ids")))
 
 
 @query("encode_root_pattern")
 def _(t):
     docs = corpora.arabized(t.documents)
     model = rootpattern.RootPattern.train(rootpattern.analysis_table(docs))
-    return model.encode_frame(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"))
+    return _hashed(model.encode_frame(docs))
 
 
-def _sized(t, family, cap=5000):
+def _sums(t, cap=5000):
+    """Per language what the size metrics of all families need: one pass over the texts, one over their words."""
     docs = t.documents
-    if family == "char":
-        return _encoded_char(t).select("doc_id", "lang", "text", F.size("ids").cast("long").alias("n_tokens"), F.size(F.filter("ids", lambda i: i == 3)).cast("long").alias("n_unk"))
-    if family == "byte":
-        return docs.select("doc_id", "lang", "text", (F.octet_length("text") + 2).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("n_unk"))
-    known = vocabulary.word_vocab(docs, cap).select(F.col("token").alias("word"), F.lit(0).cast("long").alias("u"))
-    rows = corpora.word_rows(docs, "doc_id").join(known, "word", "left")
-    per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("u", F.lit(1).cast("long"))).alias("n_unk"))
-    return docs.join(per, "doc_id", "left").select("doc_id", "lang", "text", (F.coalesce("n", F.lit(0)) + 2).cast("long").alias("n_tokens"), F.coalesce("n_unk", F.lit(0)).cast("long").alias("n_unk"))
+    sums = docs.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_texts"),
+        F.coalesce(F.sum(F.size(words(F.col("text")))), F.lit(0)).alias("n_words"),
+        F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"),
+        F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n_bytes"),
+    )
+    counts = corpora.word_rows(docs, "lang", "doc_id").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("cnt"), F.min(corpora.occurrence()).alias("first"))
+    totals = counts.groupBy("word").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first"))
+    known = vocabulary.top_words(totals, cap).select(F.col("token").alias("word"), F.lit(True).alias("known"))
+    unknown = counts.join(known, "word", "left").where("known is null").groupBy(F.col("lang").alias("l")).agg(F.sum("cnt").alias("u"))
+    return sums.join(unknown, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("n_unknown", F.coalesce("u", F.lit(0))).drop("l", "u")
+
+
+def _family_metrics(sums, family, by):
+    """A text's bos and eos are tokens.  The characters' vocabulary is the corpus's, and bytes are all known."""
+    tokens = {"char": F.col("n_chars"), "byte": F.col("n_bytes"), "word": F.col("n_words")}[family] + 2 * F.col("n_texts")
+    return metrics.size_metrics_of_sums(sums, by, tokens, F.col("n_unknown") if family == "word" else F.lit(0))
+
+
+def _sized(t, family, cap=5000):
+    totals = _sums(t, cap).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_texts", "n_words", "n_chars", "n_bytes", "n_unknown")])
+    return _family_metrics(totals, family, [])
 
 
 _RATES = """count(*) AS n_texts, round(sum(n_tokens) / greatest(sum(n_words), 1), 4) AS fertility, round(sum(length(text)) / greatest(sum(n_tokens), 1), 4) AS compression_ratio,
@@ -203,12 +219,12 @@ for _name in _FAMILY:
 
     @query(f"size_metrics_{_name}", f"WITH {_BASE} {_family_sql(_name, '')}")
     def _(t, family=_name):
-        return metrics.size_metrics(_sized(t, family), [])
+        return _sized(t, family)
 
 
 @query("size_metrics_word_50k", f"WITH {_BASE_50K} {_family_sql('word', '')}")
 def _(t):
-    return metrics.size_metrics(_sized(t, "word", 50_000), [])
+    return _sized(t, "word", 50_000)
 
 
 _BY_LANG = " UNION ALL ".join(f"{_family_sql(f, f'{chr(39)}{f}{chr(39)} AS tokenizer, lang, ')} GROUP BY lang" for f in ("char", "byte", "word"))
@@ -217,11 +233,15 @@ _BY_LANG = " UNION ALL ".join(f"{_family_sql(f, f'{chr(39)}{f}{chr(39)} AS token
 @query("size_metrics_by_lang", f"WITH {_BASE} {_BY_LANG}")
 def size_metrics_by_lang(t, cap=5000):
     """The flagship: what each tokenizer family costs per language."""
-    out = None
+    names = ["n_texts", "fertility", "compression_ratio", "unk_rate", "avg_token_count"]
+    sums = _sums(t, cap)
+    # The three families' rows come from one row of sums, so nothing is read again.
+    cells = []
     for family in ("char", "byte", "word"):
-        rows = metrics.size_metrics(_sized(t, family, cap), ["lang"]).select(F.lit(family).alias("tokenizer"), "*")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        tokens = {"char": F.col("n_chars"), "byte": F.col("n_bytes"), "word": F.col("n_words")}[family] + 2 * F.col("n_texts")
+        unknown = F.col("n_unknown") if family == "word" else F.lit(0)
+        cells.append(F.struct(F.lit(family).alias("tokenizer"), *[c.alias(n) for c, n in zip(metrics.size_rates(tokens, unknown), names, strict=True)]))
+    return sums.select("lang", F.inline(F.array(*cells))).select("tokenizer", "lang", *names)
 
 
 @query("size_metrics_by_lang_50k", f"WITH {_BASE_50K} {_BY_LANG}")
@@ -254,9 +274,20 @@ _UNK_RATE = "SELECT lang, round(sum(u) / greatest(sum(n_words + 2), 1), 6) AS un
 
 @query("unk_rate", f"WITH {_BASE} {_UNK_RATE}")
 def _(t):
-    return metrics.size_metrics(_sized(t, "word"), ["lang"]).select("lang", "unk_rate")
+    return _family_metrics(_sums(t), "word", ["lang"]).select("lang", "unk_rate")
 
 
 @query("unk_rate_50k", f"WITH {_BASE_50K} {_UNK_RATE}")
 def _(t):
-    return metrics.size_metrics(_sized(t, "word", 50_000), ["lang"]).select("lang", "unk_rate")
+    return _family_metrics(_sums(t, 50_000), "word", ["lang"]).select("lang", "unk_rate")
+
+
+@query("morph_metrics_tokenizers")
+def _(t):
+    """The morphological metrics of trained tokenizers, on the sample that the built-in families are measured on."""
+    docs = corpora.arabized(t.documents)
+    sizes = {"bpe": 1000, "wordpiece": 1000, "morpho_bpe": 500, "word_char": 5000, "segmented_word_char": 5000, "root_pattern": None}
+    chosen = {kind: tokenization.registry.get(kind)().train(docs, vocab_size=size) for kind, size in sizes.items()}
+    sample = corpora.word_sample(docs)
+    table = metrics.word_table(sample, tokenization.token_table(sample, chosen))
+    return metrics.morphological_metrics(table, list(chosen)).join(metrics.bearing_tokens(table, list(chosen)), "family")

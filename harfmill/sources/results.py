@@ -61,10 +61,9 @@ def load_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 
 def cached_analyses(spark: SparkSession, path: str, needed: DataFrame, analyse) -> DataFrame:
     """Analyses of the needed words: from the cache if it covers them all, else computed and written."""
-    try:
-        cache = spark.read.parquet(path)
-    except Exception:  # no cache yet
-        cache = None
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    cache = spark.read.parquet(path) if there else None  # a cache that cannot be read raises, and stays
     if cache is not None and needed.join(cache.select("word"), "word", "left_anti").isEmpty():
         return cache.join(needed.select("word").distinct(), "word", "left_semi")
     fresh = analyse(needed.select("word").distinct())

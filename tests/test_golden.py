@@ -17,26 +17,29 @@ def one(spark, schema, row, column):
 @pytest.mark.parametrize(
     ("morphemes", "want"),
     [
-        ([], []), (["كتاب"], []), (["و", "كتاب"], [1]), (["ال", "كتاب"], [2]), (["و", "ال", "كتاب"], [1, 3]), (["كتاب", "ها"], [4]), (["كتاب", "كم"], [4]),
-        (["و", "ال", "كتاب", "ها"], [1, 3, 7]), (["ل", "كتاب", "ك"], [1, 5]), (["ك", "كتاب"], [1]), (["كتاب", "ون"], []), (["وَ", "الْ", "كِتَاب"], [1, 3]), (["كتاب", "و", "ها"], [5]),
+        ([], []), (["قلم"], []), (["ف", "قلم"], [1]), (["ف", "ال", "بيت"], [1, 3]), (["بيت", "هما"], [3]), (["س", "يلعب", "ون"], [1]),
+        (["ب", "بيت", "نا"], [1, 4]), (["فَ", "بَيْت"], [1]), (["لا", "عب"], [2]), (["قلم", "هم", "نا"], [3, 5]), (["بيت", "ال", "كن"], [5]),
     ],
 )
 def test_clitic_boundaries(spark, morphemes, want):
     assert one(spark, "m array<string>", (morphemes,), morphology.clitic_boundaries(F.col("m"))) == want
 
 
+def shown(text):
+    return "".join({b: c for c, b in arabic.byte_alphabet().items()}[b] for b in text.encode())
+
+
 @pytest.mark.parametrize(
     ("word", "morphemes", "tokens", "want"),
     [
-        ("كتاب", None, ["كتاب"], None),
-        ("كتاب", ["كتاب"], ["كتاب"], (None, None, None, 1, 1)),
-        ("والكتاب", ["و", "ال", "كتاب"], ["و", "ال", "كتاب"], (1.0, 2, 2, 3, 3)),
-        ("والكتاب", ["و", "ال", "كتاب"], ["والكتاب"], (0.0, 0, 2, 3, 1)),
-        ("والكتاب", ["و", "ال", "كتاب"], ["XYZGARBAGE"], (None, None, None, 3, 1)),
-        ("كتابون", ["كتاب", "ون"], ["كتاب", "ون"], (1.0, None, None, 2, 2)),
-        ("كتاب", ["كتاب"], ["<s>", "كتاب", "</s>"], (None, None, None, 1, 1)),
-        ("والكتاب", ["و", "ال", "كتاب"], ["X"] * 14, (None, None, None, 3, 14)),
-        ("وكتاب", ["و", "كت", "اب"], ["و", "كتاب"], (0.5, 1, 1, 3, 2)),
+        ("قلم", None, ["قلم"], None),
+        ("قلم", ["قلم"], ["ق", "لم"], (None, None, None, 1, 2)),
+        ("فالبيت", ["ف", "ال", "بيت"], ["فال", "بيت"], (0.5, 1, 2, 3, 2)),
+        ("بيتنا", ["بيت", "نا"], ["<s>", "بيت", "##نا"], (1.0, 1, 1, 2, 2)),
+        ("بيتنا", ["بيت", "نا"], ["صخر"], (None, None, None, 2, 1)),
+        ("بيتنا", ["بيت", "نا"], [shown("بيت"), shown("نا")], (1.0, 1, 1, 2, 2)),
+        ("يلعبون", ["يلعب", "ون"], ["يل", "عبون"], (0.0, None, None, 2, 2)),
+        ("فَبيت", ["ف", "بيت"], ["فَب", "يت"], (0.0, 0, 1, 2, 2)),
     ],
 )
 def test_word_record(spark, word, morphemes, tokens, want):
@@ -46,19 +49,32 @@ def test_word_record(spark, word, morphemes, tokens, want):
 
 def test_patterns(spark):
     p = lambda f, t, r: one(spark, "t string, r string", (t, r), f(F.col("t"), F.col("r")))
-    assert p(morphology.pattern, "كاتب", "كتب") == "فاعل"
-    assert p(morphology.stem_span, "والكتاب", "كتب") == "فعال"
-    assert p(morphology.pattern, "كاب", "كتب") is None and p(morphology.stem_span, "كاب", "كتب") is None
-    assert p(morphology.pattern, "", "كتب") is None
-    assert p(morphology.has_subsequence, "مكتوب", "كتب") and not p(morphology.has_subsequence, "تكب", "كتب") and p(morphology.has_subsequence, "x", "")
-    assert p(morphology.fill_pattern, "م12و3", "كتب") == "مكتوب" and p(morphology.fill_pattern, "1234", "كتب") == "كتب"
-    assert one(spark, "w string", ("وَالكتاب",), morphology.strip_proclitic(F.col("w"), "و")) == "الكتاب"
-    assert one(spark, "w string", ("كتاب",), morphology.strip_proclitic(F.col("w"), "و")) == "كتاب"
+    assert p(morphology.pattern, "دَارس", "درس") == "فاعل" and p(morphology.pattern, "زلزال", "زلزل") == "فعلال"
+    assert p(morphology.stem_span, "بالدروس", "درس") == "فعول" and p(morphology.stem_span, "متزلزلة", "زلزل") == "فعلل"
+    assert p(morphology.pattern, "دار", "درس") is None and p(morphology.stem_span, "دار", "درس") is None
+    assert p(morphology.pattern, "", "درس") is None and p(morphology.pattern, "درس", "") is None
+    assert p(morphology.pattern, "سفرجلي", "سفرجل") == "فعلي" and p(morphology.stem_span, "xدر", "در") == "فع"
+    assert p(morphology.has_subsequence, "مدروس", "درس") and not p(morphology.has_subsequence, "سرد", "درس") and p(morphology.has_subsequence, "x", "")
+    assert p(morphology.fill_pattern, "م12و3", "درس") == "مدروس" and p(morphology.fill_pattern, "1234", "درس") == "درس"
+    assert one(spark, "w string", ("فَالدرس",), morphology.strip_proclitic(F.col("w"), "ف")) == "الدرس"
+    assert one(spark, "w string", ("درس",), morphology.strip_clitics(F.col("w"), ["ف", "ال"], ["هم"])) == "درس"
+    assert one(spark, "w string", ("فَالْدرسهم",), morphology.strip_clitics(F.col("w"), ["ف", "ال"], ["هم"])) == "درس"
+
+
+def test_patterns_by_fold(spark):
+    """One match and the fold agree wherever both apply."""
+    letters = "ابدرسمل"
+    rows = [("".join(letters[(k * 7 + j * j * (k % 5 + 1)) % 7] for j in range(k % 9 + 1)), "".join(letters[(k * 3 + j * 2) % 7] for j in range(3 + k % 2))) for k in range(300)]
+    frame = spark.createDataFrame(rows, "t string, r string")
+    t, r = F.col("t"), F.col("r")
+    three = F.length("r") == 3  # the fold knows the seats of three letters
+    got = frame.where(three).select(*[f(t, r, w).alias(f"{n}{w}") for w in (True, False) for n, f in (("a", morphology._seated), ("b", morphology._seated_fold))]).collect()
+    assert all(x.aTrue == x.bTrue and x.aFalse == x.bFalse for x in got) and sum(x.aTrue is not None for x in got) > 5
 
 
 def test_latin(spark):
-    no = ["السلام عليكم", "الْكِتَابُ جَمِيلٌ", "Привет", "Καλημέρα", "日本語", "123 ، . ؟", "١٢٣ ٤٥٦", "", None]
-    yes = ["ما هو IBM؟", "Hello world", "über", "cạnh"]
+    no = ["قرأت الكتاب", "صَبَاحُ الخَيْرِ", "Москва", "Ελλάδα", "東京", "7 ؛ !", "٩٨", "", None]
+    yes = ["لغة C", "Paris", "naïve", "Łódź"]
     got = [r.x for r in spark.createDataFrame([(k, s) for k, s in enumerate(no + yes)], "k int, s string").orderBy("k").select(arabic.has_latin(F.col("s")).alias("x")).collect()]
     assert got == [False] * len(no) + [True] * len(yes)
 
@@ -66,9 +82,13 @@ def test_latin(spark):
 def test_cleaning(spark):
     assert one(spark, "s string", ("  آدم  أَحْمَد\n إلى ـــ ",), arabic.normalize(F.col("s"), marks=True)) == "ادم احمد الى"
     assert one(spark, "s string", ("ﬁ ２",), arabic.nfkc(F.col("s"))) == "fi 2"
-    raw = "".join(dict((b, c) for c, b in arabic.byte_alphabet().items())[b] for b in "كتاب".encode())
-    assert one(spark, "s string", (raw,), arabic.decode_byte_level(F.col("s"))) == "كتاب"
-    assert one(spark, "s string", ("كتاب",), arabic.decode_byte_level(F.col("s"))) == "كتاب"
+    for text in ("قلم", " قلم", "a\x00b", "é\n"):
+        assert one(spark, "s string", (shown(text),), arabic.decode_byte_level(F.col("s"))) == text
+        assert one(spark, "s string", (text,), arabic.encode_byte_level(F.col("s"))) == shown(text)
+    for text in ("قلم", "Ø", ""):  # no byte-level form: as it is
+        assert one(spark, "s string", (text,), arabic.decode_byte_level(F.col("s"))) == text
+    assert one(spark, "s string", (shown(" قَلم"),), arabic.clean_token(F.col("s"))) == "قلم"
+    assert one(spark, "s string", ("aقَلx١",), arabic.arabic_only(F.col("s"))) == "قَل"
     assert len(arabic.byte_alphabet()) == 256
 
 
@@ -83,7 +103,7 @@ def test_scores(spark):
     assert got == pytest.approx(want)
 
 
-@pytest.mark.parametrize(("p", "f", "want"), [([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 100, 101, 102], [-100] * 5 + [100, 101, 102]), ([1, 2, 3, 999], [1, 2, 3, 100, 101], [-100] * 3 + [100, 101]), ([1, 2, 3, 4, 5], [1, 2, 3], None), ([1, 2, 3], [1, 2, 3], None), ([], [1], [1])])
+@pytest.mark.parametrize(("p", "f", "want"), [([7, 8], [7, 8, 30, 31], [-100, -100, 30, 31]), ([7, 9], [7, 8, 30], [-100, 8, 30]), ([4, 4, 4], [4, 4], None), ([6], [6], None), ([], [2, 3], [2, 3])])
 def test_answer_labels(spark, p, f, want):
     assert one(spark, "p array<int>, f array<int>", (p, f), scoring.answer_labels(F.col("p"), F.col("f"))) == want
 
@@ -98,11 +118,55 @@ def test_grouped_accuracy(spark):
 
 def test_empty_sample_is_null_not_zero(spark):
     table = metrics.word_table(spark.createDataFrame([], "word string"))
-    assert metrics.morphological_metrics(table).count() == 0
+    rows = metrics.morphological_metrics(table, ["bpe"]).collect() + metrics.bearing_tokens(table, ["bpe"]).collect()
+    values = {k: v for r in rows for k, v in r.asDict().items()}
+    assert len(rows) == 2 and values.pop("family") == "bpe" and values.pop("morph_sample_size") == 0
+    assert set(values.values()) == {None} and len(values) == 7
     assert one(spark, "a int, b int", (0, 0), scoring.safe_rate(F.col("a"), F.col("b"))) is None
     assert one(spark, "a int, b int", (0, 0), scoring.size_rate(F.col("a"), F.col("b"))) == 0
 
 
+def test_bytes_bear_no_root(spark):
+    words = spark.createDataFrame([("مدرسة",), ("دارس",)], "word string")
+    got = {r.family: r for r in metrics.bearing_tokens(metrics.word_table(words), metrics.FAMILIES).collect()}
+    assert got["byte"].root_bearing_token_pct == 0.0 and got["byte"].pattern_bearing_token_pct == 0.0 and got["word"].root_bearing_token_pct == 100.0
+
+
+def test_token_f1_by_definition(spark):
+    from collections import Counter
+
+    rows = [("a b b c", "b b b d a"), ("x", "x"), ("", ""), ("", "y"), ("q r", "s t"), ("a a a", "a"), ("B  b", "b")]
+    for p, r in rows:
+        x, y = p.lower().split(), r.lower().split()
+        common = sum((Counter(x) & Counter(y)).values())
+        want = 1.0 if not x and not y else 0.0 if not common else 2 * common / (len(x) + len(y))
+        assert one(spark, "p string, r string", (p, r), metrics.token_f1(F.col("p"), F.col("r"))) == pytest.approx(want)
+
+
+def test_pooling(spark):
+    assert one(spark, "m array<long>", ([0, 0, 1, 0, 0, 0, 1],), scoring.pooled_mask(F.col("m"), 3)) == [1, 0, 1]
+    assert one(spark, "m array<long>", ([],), scoring.pooled_mask(F.col("m"), 3)) == []
+    x = [1.0, 3.0, -2.0]
+    blocks = [[1.0, 2.0], [3.0, 2.0], [-2.0, -1.0]]
+    want = [sum(v * math.exp(v) for v in b) / sum(math.exp(v) for v in b) for b in blocks]
+    assert one(spark, "x array<double>", (x,), scoring.block_mix(F.col("x"), 2)) == pytest.approx(want)
+
+
+def test_accepted_analysis(spark):
+    tags = [F.lit("wa_conj"), F.lit("0"), F.lit(None).cast("string"), F.lit("Al_det"), F.lit("3fs_poss")]
+    f = lambda root, pat, stem=None: one(spark, "r string, p string, s string", (root, pat, stem), morphology.accepted_analysis(F.col("r"), F.col("p"), tags, F.col("s")))
+    got = f("د.ر#س", "وَال1َ2ْ3هَا")
+    assert (got.root, got.pattern, got.proclitics, got.enclitic, got.stem) == ("درس", "1َ2ْ3", ["و", "ال"], "ها", "دَرْس")
+    assert f("درس", "1ا23", "دارس").stem == "دارس"
+    assert [f(*x) for x in (("NTWS", "123"), ("درس", ""), ("درس", None), ("در", "12"), ("درس", "NTWS"), (None, "123"))] == [None] * 6
+
+
+def test_generated_surface(spark):
+    kind = "f string, c array<struct<root: string, pattern: string, stem: string, wanted: boolean>>"
+    g = lambda c: one(spark, kind, ("naive", c), morphology.generated_surface(F.col("f"), F.col("c")))
+    assert g([("a", "p", "no", False), ("b", "q", "stem", True)]) == "stem" and g([("b", "q", "", True)]) == "naive" and g([]) == "naive"
+
+
 def test_integrity_one_means_clitics_one(spark):
     words = spark.createDataFrame([(w,) for w in ("والكتاب", "كتابهم", "والكاتب", "كتاب", "مدرسة", "والمدرسة", "يدرس")], "word string")
     got = {r.family: r for r in metrics.morphological_metrics(metrics.word_table(words)).collect()}

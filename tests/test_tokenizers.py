@@ -1,5 +1,6 @@
 """Tokenizers: ids, round trips, training."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from harfmill.operators import corpora, rootpattern, subword, tokenizers, vocabulary
@@ -39,8 +40,14 @@ def test_pad_truncate(spark):
 def test_words_and_char_vectors(spark):
     vocab = vocabulary.word_vocab(docs(spark), 3)
     assert [r.id for r in vocab.orderBy("id").collect()] == [4, 5, 6] and vocab.orderBy("id").first().token in ("كتب", "والكتاب")
-    ids = {r.doc_id: r.ids for r in tokenizers.encode_words(corpora.word_rows(docs(spark), "doc_id"), vocab).collect()}
+    ids = {r.doc_id: r.ids for r in tokenizers.encode_words(docs(spark), vocab).collect()}
     assert all(i[0] == 1 and i[-1] == 2 for i in ids.values()) and len(ids[0]) == 5
+    odd = spark.createDataFrame([(7, "كتب x"), (7, "كتب"), (None, ""), (8, None)], "doc_id long, text string")
+    table = {r.token: r.id for r in vocab.collect()}
+    got = [(r.doc_id, r.ids) for r in tokenizers.encode_words(odd, vocab).collect()]
+    assert sorted(got, key=str) == sorted([(7, [1, table.get("كتب", 3), 3, 2]), (7, [1, table.get("كتب", 3), 2]), (None, [1, 2]), (8, [1, 2])], key=str)
+    with pytest.raises(ValueError, match="more than"):
+        tokenizers.encode_words(odd, vocab, limit=2)
     codes = F.transform(F.sequence(F.lit(0), F.lit(200)), lambda k: k.cast("long") + 7)
     v = spark.createDataFrame([("abcdef",)], "w string").select(tokenizers.word_char_ids(F.col("w"), codes, 6).alias("x")).first().x
     assert v == [1, 104, 105, 106, 107, 2]
@@ -102,15 +109,42 @@ def test_plain_bpe_has_no_marker(spark):
     assert model.encode("abzab ba") == [1, 9, 3, 9, 6, 5, 2] and model.decode([1, 9, 6, 2]) == "ab b"
 
 
-def test_morpho_bpe_encodes_by_merges(spark, monkeypatch):
-    from harfmill import plans
+SIGNS = ["foo _bar", "a² 10½ Ⅷ①", "it's we'll  x\n\n y ", "كَتَبَ الطالبُ، 2024_v", "日本　x ", "a\u200db é\u0301", "", " ", "\t-\x1c?", "x" * 300]
+
+
+def test_pre_tokens_equal_library(spark):
+    from tokenizers import pre_tokenizers as library
+
+    made = {True: library.ByteLevel(add_prefix_space=False), False: library.Whitespace()}
+    frame = spark.createDataFrame([(t,) for t in SIGNS], "text string")
+    for level, other in made.items():
+        want = {t: [p for p, _ in other.pre_tokenize_str(t)] for t in SIGNS}
+        assert all(subword.pre_tokens(t, level) == want[t] for t in SIGNS)
+        assert all(r.p == want[r.text] for r in frame.select("text", subword.pre_token_column(F.col("text"), level).alias("p")).collect())
+
 
-    kinds = []
-    train = subword.Subword.train.__func__
-    monkeypatch.setattr(subword.Subword, "train", classmethod(lambda cls, frame, kind, size: kinds.append(kind) or train(cls, frame, kind, size)))
-    frame = spark.createDataFrame([(1, "the parts of a word", "en", "s")], "doc_id long, text string, lang string, source string")
-    monkeypatch.setattr("harfmill.plans.base.Tables.__getattr__", lambda self, name: frame)
-    assert plans.QUERIES["encode_morpho_bpe"](spark, "").count() == 1 and kinds == ["plain_bpe"]
+def test_ids_equal_library(spark):
+    """The library's own encoding with our vocabulary and merges."""
+    from tokenizers import Tokenizer, models
+    from tokenizers import pre_tokenizers as library
+
+    frame = docs(spark).unionByName(docs(spark)).unionByName(spark.createDataFrame([(k, t) for k, t in enumerate(SIGNS * 2)], "doc_id long, text string"))
+    for kind in ("bpe", "wordpiece", "plain_bpe"):
+        ours = subword.Subword.train(frame, kind, 260 if kind != "bpe" else 400)
+        if kind == "wordpiece":
+            theirs = Tokenizer(models.WordPiece(ours.vocab, unk_token="<unk>", max_input_chars_per_word=10_000))
+        else:
+            theirs = Tokenizer(models.BPE(ours.vocab, ours.merges, unk_token="<unk>"))
+        theirs.pre_tokenizer = library.ByteLevel(add_prefix_space=False) if kind == "bpe" else library.Whitespace()
+        for r in frame.select("text", ours.encode_column(F.col("text")).alias("ids"), ours.pieces_column(F.col("text")).alias("pieces")).collect():
+            want = theirs.encode(r.text)
+            assert r.ids == [1, *want.ids, 2] == ours.encode(r.text), (kind, r.text)
+            assert r.pieces == [ours.tokens[i] for i in want.ids]
+
+
+def test_morpho_bpe_segments_first(spark):
+    frame = spark.createDataFrame([("والكتاب كتابهم في",)], "text string")
+    assert corpora.segmented(frame).first().text == "و ال كتاب كتاب هم في"
 
 
 def test_root_pattern(spark):
@@ -126,3 +160,14 @@ def test_root_pattern(spark):
     literal = strict.encode_frame(frame).select("text", strict.decode_column(F.col("ids")).alias("back")).collect()
     assert all(r.back.replace(" ", "") == r.text.replace(" ", "") for r in literal)
     assert strict.decode(strict.encode("hello", {})) == "?"
+    same = spark.createDataFrame([(None, TEXTS[0]), (3, TEXTS[1]), (3, TEXTS[0]), (None, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.text): r.ids for r in model.encode_frame(same).collect()}
+    assert len(got) == 4 and got[None, TEXTS[0]] == got[3, TEXTS[0]] != got[3, TEXTS[1]] and got[None, None] == [1, 2]
+
+
+def test_analyses_are_made_once_a_word(spark):
+    """No part of the analysis stands below the grouping into distinct words."""
+    table = rootpattern.analysis_table(docs(spark)).where("root is not null and pattern is not null")
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    above, _, below = plan.partition("Aggregate [word")
+    assert "regexp_replace" in above and below and "regexp_replace" not in below and "regexp_like" not in below.lower()
