@@ -3,8 +3,8 @@
 Large-star and small-star steps in turn (Kiveris et al., 2014): each replaces
 edges by edges to smaller neighbours until every component is a star around its
 smallest node.  A node's smallest neighbour is found by an aggregate with
-map-side combination and joined back, so a hub with millions of edges is a
-skewed join at most, which adaptive execution splits.
+map-side combination, stored, and joined back, so that a hub with millions of
+edges is a skewed join of two plain tables, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
     near = _both_ways(edges)
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = space.save(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
     return near.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(space: Workspace, edges: DataFrame, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = space.save(down.groupBy("u").agg(F.min("v").alias("m")), name)
     moved = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
@@ -44,7 +44,8 @@ def components(space: Workspace, edges: DataFrame, name: str = "cc") -> DataFram
         if seen == mark or not seen[0]:
             break
         mark, k = seen, k + 1
-        now = space.save(_small_star(_large_star(now)), f"{name}_{k}")
-        space.drop(f"{name}_{k - 1}")
+        large = space.save(_large_star(space, now, f"{name}_l{k}"), f"{name}_large{k}")
+        now = space.save(_small_star(space, large, f"{name}_s{k}"), f"{name}_{k}")
+        space.drop(f"{name}_{k - 1}", f"{name}_large{k}", f"{name}_l{k}", f"{name}_s{k}")
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
