@@ -18,9 +18,10 @@ Steps, none of which collects anything or emits the pairs of a group:
    shingle, one multiplier per sample.
 3. Documents with the same word sequence collapse into one member.  In each
    band bucket every member is verified against the smallest one; linked
-   members join its component.  Members that are left in another component
-   are then verified against all members of the bucket outside their own
-   component, in blocks.  So every pair that shares a bucket is either in one
+   members join its component.  Of what is left outside, the smallest is
+   verified against all others.  Members that are then left in another
+   component are verified against all members of the bucket outside their
+   own, in blocks.  So every pair that shares a bucket is either in one
    component already or verified: there is no cap on bucket sizes.
 4. Verification is exact: the shingle weights of the documents concerned are
    recomputed from the stored texts and dealt to the comparing groups.
@@ -337,7 +338,7 @@ class NearDuplicates:
     """Classes of near-duplicate documents; `classes` has row, class_row and what the store carries."""
 
     def __init__(
-        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 8 << 20, block: int = 128, block_shingles: int = 1 << 20, carry: tuple[str, ...] = ()
+        self, documents: DataFrame, threshold: float = 0.8, bands: int = 8, rows: int = 3, batch_bytes: int = 8 << 20, block: int = 256, block_shingles: int = 1 << 20, carry: tuple[str, ...] = ()
     ) -> None:
         spark = documents.sparkSession
         self.space = space = Workspace(spark, "icws")
@@ -361,6 +362,8 @@ class NearDuplicates:
         self.members = keyed
         links = self._first_links()
         parts = components(space, links, "first")
+        links = links.unionByName(self._second_links(parts))
+        parts = components(space, links, "second")
         links = links.unionByName(self._other_links(parts))
         parts = components(space, links, "all")
         release(spark)
@@ -387,19 +390,35 @@ class NearDuplicates:
         """Into how many blocks a group is cut, so that none holds more than `block` rows or about `block_shingles` shingles."""
         return F.ceil(F.greatest(rows / self.block, shingles / self.block_shingles, F.lit(1))).cast("int")
 
+    def _led(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Links of rows to the lead that each is paired with; pairs: lead, own (the lead's component), row, size, component."""
+        pairs = self.space.save(pairs.distinct(), f"pairs_{name}")
+        salts = self.space.save(pairs.groupBy("lead", "own").agg(self._blocks(F.count(F.lit(1)), F.sum("size")).alias("salts")), f"salts_{name}")
+        slot = F.pmod(F.xxhash64("row"), F.col("salts")).cast("long")
+        followers = pairs.join(salts.drop("own"), "lead").select(F.col("lead").alias("g1"), slot.alias("g2"), F.lit(1).alias("side"), "row", "component")
+        leads = salts.select(F.col("lead").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("g2"), F.lit(0).alias("side"), F.col("lead").alias("row"), F.col("own").alias("component"))
+        return self._ask(followers.unionByName(leads), f"links_{name}")
+
     def _first_links(self) -> DataFrame:
         """Each member of a band bucket against the bucket's smallest."""
         least = self.members.groupBy("band", "key").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "key", "lead")
-        pairs = self.space.save(self.members.join(least, ["band", "key"]).where("row <> lead").select("lead", "row", "size").distinct(), "pairs")
-        salts = self.space.save(pairs.groupBy("lead").agg(self._blocks(F.count(F.lit(1)), F.sum("size")).alias("salts")), "salts")
-        slot = F.pmod(F.xxhash64("row"), F.col("salts")).cast("long")
-        followers = pairs.join(salts, "lead").select(F.col("lead").alias("g1"), slot.alias("g2"), F.lit(1).alias("side"), "row", F.col("row").alias("component"))
-        leads = salts.select(F.col("lead").alias("g1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("g2"), F.lit(0).alias("side"), F.col("lead").alias("row"), F.col("lead").alias("component"))
-        return self._ask(followers.unionByName(leads), "links_first")
+        return self._led(self.members.join(least, ["band", "key"]).where("row <> lead").select("lead", F.col("lead").alias("own"), "row", "size", F.col("row").alias("component")), "first")
+
+    def _placed(self, parts: DataFrame) -> DataFrame:
+        return self.members.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+
+    def _second_links(self, parts: DataFrame) -> DataFrame:
+        """In buckets that still hold several components: the smallest member outside the smallest member's component against all others'."""
+        placed = self.space.save(self._placed(parts), "placed")
+        main = placed.groupBy("band", "key").agg(F.min(F.struct("row", "component")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key", F.col("m.component").alias("main"))
+        main = self.space.save(main, "main")
+        second = placed.join(main, ["band", "key"]).where("component <> main").groupBy("band", "key").agg(F.min(F.struct("row", "component")).alias("s"))
+        second = self.space.save(second.select("band", "key", F.col("s.row").alias("lead"), F.col("s.component").alias("own")), "second_leads")
+        return self._led(placed.join(second, ["band", "key"]).where("component <> own").select("lead", "own", "row", "size", "component"), "second")
 
     def _other_links(self, parts: DataFrame) -> DataFrame:
         """In buckets that still hold several components: the members outside the smallest member's component against all."""
-        placed = self.members.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+        placed = self._placed(parts)
         # Buckets with the same components in the same order are compared once: a key over what they hold.
         held = placed.groupBy("band", "key").agg(
             F.min(F.struct("row", "component")).alias("lead"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("content")
