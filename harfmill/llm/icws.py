@@ -18,10 +18,10 @@ Steps, none of which collects anything or emits the pairs of a group:
    shingle, one multiplier per sample.
 3. Documents with the same word sequence collapse into one member.  In each
    band bucket every member is verified against the smallest one; linked
-   members join its component.  Of what is left outside, the smallest is
-   verified against all others.  Members that are then left in another
-   component are verified against all members of the bucket outside their
-   own, in blocks.  So every pair that shares a bucket is either in one
+   members join its component.  Where more than a block of them is left
+   outside, the smallest of these is verified against all others.  Members
+   that are then left in another component are verified against all members
+   of the bucket outside their own, in blocks.  So every pair that shares a bucket is either in one
    component already or verified: there is no cap on bucket sizes.
 4. Verification is exact: the shingle weights of the documents concerned are
    recomputed from the stored texts and dealt to the comparing groups.
@@ -408,12 +408,14 @@ class NearDuplicates:
         return self.members.join(parts.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
 
     def _second_links(self, parts: DataFrame) -> DataFrame:
-        """In buckets that still hold several components: the smallest member outside the smallest member's component against all others'."""
+        """In buckets with more than a block's members outside the smallest member's component: the smallest of these against all others."""
         placed = self.space.save(self._placed(parts), "placed")
         main = placed.groupBy("band", "key").agg(F.min(F.struct("row", "component")).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key", F.col("m.component").alias("main"))
-        main = self.space.save(main, "main")
-        second = placed.join(main, ["band", "key"]).where("component <> main").groupBy("band", "key").agg(F.min(F.struct("row", "component")).alias("s"))
+        outside = placed.join(self.space.save(main, "main"), ["band", "key"]).where("component <> main")
+        second = outside.groupBy("band", "key").agg(F.min(F.struct("row", "component")).alias("s"), F.count(F.lit(1)).alias("c")).where(F.col("c") > self.block)
         second = self.space.save(second.select("band", "key", F.col("s.row").alias("lead"), F.col("s.component").alias("own")), "second_leads")
+        if second.isEmpty():
+            return self.space.spark.createDataFrame([], "a long, b long")
         return self._led(placed.join(second, ["band", "key"]).where("component <> own").select("lead", "own", "row", "size", "component"), "second")
 
     def _other_links(self, parts: DataFrame) -> DataFrame:

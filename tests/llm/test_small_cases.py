@@ -749,7 +749,7 @@ def test_near_duplicates(spark, size):
         for b in range(a):
             if jaccard(weights[a], weights[b]) >= 0.8:
                 root[find(a)] = find(b)
-    found = icws.NearDuplicates(frame(spark, rows), batch_bytes=size, block=4)
+    found = icws.NearDuplicates(frame(spark, rows), batch_bytes=size, block=1 if size < 4000 else 4)
     by_text = {}
     got = found.with_documents("text").collect()
     for r in got:
