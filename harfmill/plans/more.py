@@ -51,7 +51,7 @@ def _(t):
 @query("block_means", "SELECT vec_id, round(list_avg(list_slice(CAST(embedding AS DOUBLE[]), 1, 4)), 6) AS first_block, round(list_avg(list_slice(CAST(embedding AS DOUBLE[]), 61, 64)), 6) AS last_block, CAST(ceil(len(embedding) / 4.0) AS INTEGER) AS blocks FROM embeddings")
 def _(t):
     x = F.col("embedding").cast("array<double>")
-    mean = lambda k: F.round(F.aggregate(F.slice(x, F.lit(1) + 4 * k, F.lit(4)), F.lit(0.0), lambda a, v: a + v) / 4, 6)
+    mean = lambda k: scoring.rounded(scoring.mean(F.slice(x, F.lit(1) + 4 * k, F.lit(4))), 6)
     return t.embeddings.select("vec_id", mean(0).alias("first_block"), mean(15).alias("last_block"), F.ceil(F.size("embedding") / 4).cast("int").alias("blocks"))
 
 
@@ -59,8 +59,7 @@ def _(t):
 def _(t):
     """The mean of every block of 4; the last one can be shorter."""
     x = F.col("embedding").cast("array<double>")
-    block = lambda k: F.slice(x, 4 * k + 1, F.lit(4))
-    mean = lambda k: F.round(F.aggregate(block(k), F.lit(0.0), lambda a, v: a + v) / F.size(block(k)), 6)
+    mean = lambda k: scoring.rounded(scoring.mean(F.slice(x, 4 * k + 1, F.lit(4))), 6)
     blocks = F.filter(F.sequence(F.lit(0), F.ceil(F.size(x) / 4).cast("int")), lambda k: 4 * k < F.size(x))
     return t.embeddings.select("vec_id", F.transform(blocks, mean).alias("means"))
 
@@ -116,7 +115,7 @@ def _(t):
     """Blocks of one to three places, averaged (the last one filled up with zeros) and mixed by the softmax of their own values."""
     y = scoring.block_mix(F.col("embedding").cast("array<double>"), 3)
     mixed = t.embeddings.where("embedding is not null").select("vec_id", y.alias("y"))
-    return mixed.select("vec_id", F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), F.round(F.get("y", F.lit(0)), 6).alias("first"), F.round(F.element_at("y", -1), 6).alias("last"))
+    return mixed.select("vec_id", scoring.rounded(F.aggregate("y", F.lit(0.0), lambda a, v: a + v), 5).alias("total"), scoring.rounded(F.get("y", F.lit(0)), 6).alias("first"), scoring.rounded(F.element_at("y", -1), 6).alias("last"))
 
 
 @query("subconfig_section", "SELECT source AS config, printf('%.4f (n=%d)', avg(CAST(lang = 'en' AS DOUBLE)), count(*)) AS cell FROM documents GROUP BY source")

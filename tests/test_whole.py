@@ -1,5 +1,6 @@
 """Queries that cover all rows, whole texts and the reference's sizes."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from harfmill import plans
@@ -50,3 +51,16 @@ def test_every_block_and_run(spark, monkeypatch):
     docs = documents(spark, "a b").unionByName(documents(spark, "c").withColumn("lang", F.lit("fr")))
     got = run(spark, monkeypatch, "comparison_all", documents=docs)
     assert sorted(got[0].asDict()) == sorted(["metric", *[f"{f}_{lang}" for f in ("char", "byte", "word") for lang in ("en", "fr")]]) and len(got) == 3
+
+
+def test_block_means_like_sql(spark, monkeypatch, tmp_path):
+    rows = [(1, [-1e-7] * 4 + [1e-7] * 4), (2, [1.0, None, 3.0, None, None]), (3, [float("nan")] * 4 + [float("inf"), 1.0]), (4, None), (5, []), (6, [2.5e-6, 0.0, 0.0, 0.0, -0.5]), (7, [-2e-7] * 64)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors.write.parquet(str(tmp_path / "v"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/v/*.parquet'")
+    for name in ("block_means_all", "block_means"):
+        want = {r[0]: repr(r[1:]) for r in con.execute(base.ORACLES[name]).fetchall()}
+        got = {r[0]: repr(tuple(r)[1:]) for r in run(spark, monkeypatch, name, embeddings=vectors)}
+        assert got == want
+    assert "-0.0" in want[7]
