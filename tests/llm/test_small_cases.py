@@ -541,6 +541,34 @@ def test_top_k_ties_and_clashing_columns(spark):
         assert [v for _, v in sorted(best)] == others[:5]
 
 
+def test_block_top_repeated_ids():
+    """The stored index against all pairs: entries that the query's own id shares with others, repeated rows, zero vectors."""
+    r = np.random.default_rng(5)
+    c = r.integers(-40, 40, (1500, 8)).astype(np.int32)
+    c[7] = 0
+    ids = [[(int(i), int(n)) for i, n in zip(sorted(r.choice(60, 1 + k % 3, replace=False)), r.integers(1, 4, 3))] for k in range(1500)]
+    table = pa.table({"dim": pa.array([8] * 1500, pa.int32()), "cb": pa.array([0] * 1500, pa.int32()), "vec": pa.array(c.tolist(), pa.list_(pa.int32())), "ids": pa.array([[{"id": i, "n": n} for i, n in x] for x in ids], pa.list_(pa.struct([("id", pa.int64()), ("n", pa.int32())])))})
+    q = r.integers(-40, 40, (60, 8)).astype(np.int32)
+    asked = impact_topk._packed(pa.table({"dim": pa.array([8] * 60, pa.int32()), "qb": pa.array([0] * 60, pa.int32()), "id": pa.array(range(60), pa.int64()), "vec": pa.array(q.tolist(), pa.list_(pa.int32()))}))
+    got = impact_topk._search(impact_topk._index(table), asked, 4).to_pylist()
+    score = q.astype(np.int64) @ c.T
+    for k in range(60):
+        rows = sorted((-int(score[k, e]), i) for e, x in enumerate(ids) for i, n in x for _ in range(n) if i != k)[:4]
+        assert [(-x["score"], x["vec_id"]) for x in got if x["query_id"] == k] == rows
+
+
+def test_top_k_equal_vectors_are_one_entry(spark, monkeypatch):
+    """Copies are indexed once: 20,000 rows with four vectors make one block of four entries."""
+    seen = spark.sparkContext.accumulator(0)
+    index = impact_topk._index
+    monkeypatch.setattr(impact_topk, "_index", lambda t: (seen.add(t.num_rows), index(t))[1])
+    vectors = spark.range(20000).selectExpr("id AS vec_id", "array(cast(id % 4 as float), 1.0f) AS embedding")
+    got = impact_topk.top_k(vectors, F.col("id") % 5000 == 0).collect()
+    want = [(q, k + 1, i) for q in range(0, 20000, 5000) for k, i in enumerate([i for i in range(6) if i != q][:5])]
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == want
+    assert seen.value == 4
+
+
 # op6
 
 
