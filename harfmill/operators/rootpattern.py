@@ -11,11 +11,15 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harfmill.functions.arabic import LETTERS, MARKS, PUNCTUATION, alpha_chunks, root_of_skeleton, strip_marks
+from harfmill.functions.arabic import LETTERS, LONG_VOWELS, MARKS, PUNCTUATION, alpha_chunks, root_of_skeleton, strip_marks
 from harfmill.functions.morphology import ENCLITICS, PROCLITICS, SEGMENTS, stem_span
 from harfmill.functions.scoring import let
 from harfmill.operators.corpora import occurrence
@@ -26,6 +30,10 @@ PAD, BOS, EOS, UNK, LIT_BEGIN, LIT_END = range(6)
 _ALPHA = re.compile(f"[{LETTERS}{MARKS}]+|[0-9٠-٩]+|[{re.escape(PUNCTUATION)}]+|[^{LETTERS}{MARKS}0-9٠-٩{re.escape(PUNCTUATION)}]+")
 
 
+_LETTER, _CHUNK = re.compile(f"[{LETTERS}{MARKS}]"), re.compile(f"[{LETTERS}{MARKS}]+")
+_SEGMENTS, _NO_MARKS = re.compile(SEGMENTS), str.maketrans("", "", MARKS)
+_CONSONANTS = re.compile(f"[^{LETTERS}]|[{LONG_VOWELS}]")
+
 _CUT = "\u0001"
 
 
@@ -51,6 +59,26 @@ def analyse(chunks: DataFrame, *keep: str) -> DataFrame:
     return out.select("word", "root", pattern.alias("pattern"), "proclitics", "stem", "enclitic", *keep)
 
 
+def analysis_of(chunk: str) -> tuple[str, str, list[str], str | None] | None:
+    """Root, pattern, proclitics and enclitic of a chunk of letters and marks as `analyse` gives them; None where it has no root or pattern."""
+    bare = chunk.translate(_NO_MARKS)
+    cut = _SEGMENTS.match(bare)
+    stem = cut[4] if cut else bare
+    root = _CONSONANTS.sub("", stem)
+    if len(root) > 4:
+        root = root[:3]
+    if len(root) < 3:
+        return None
+    pattern, at = "", -1
+    for seat, letter in zip("فعلل", root):
+        to = stem.find(letter, at + 1)
+        if to < 0:
+            return None
+        pattern += (stem[at + 1 : to] if at >= 0 else "") + seat
+        at = to
+    return root, pattern, [c for c in cut.groups()[:3] if c] if cut else [], cut[5] if cut else None
+
+
 def analysis_table(frame: DataFrame, column: str = "text") -> DataFrame:
     """Analyses of all distinct alpha chunks of a corpus, with where each first occurs."""
     chunks = frame.select("doc_id", F.posexplode(alpha_chunks(F.col(column))).alias("pos", "word"))
@@ -66,10 +94,19 @@ class RootPattern:
         self.tokens = SPECIALS + tokens + [f"[ROOT_{r}]" for r in roots] + [f"[PAT_{p}]" for p in patterns]
         self.vocab = {t: k for k, t in enumerate(self.tokens)}
         self.surfaces = surfaces
+        self._seen: dict[str, list[int]] = {}
 
     @classmethod
     def train(cls, analyses: DataFrame, max_roots: int = 10_000, max_patterns: int = 500, min_count: int = 2) -> RootPattern:
-        """Collects the capped vocabulary and the surfaces of pairs within it."""
+        """Collects the capped vocabulary and the surfaces of pairs within it; the analyses are made once and kept meanwhile."""
+        analyses = analyses.select("root", "pattern", "stem", "first").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return cls._trained(analyses, max_roots, max_patterns, min_count)
+        finally:
+            analyses.unpersist()
+
+    @classmethod
+    def _trained(cls, analyses: DataFrame, max_roots: int, max_patterns: int, min_count: int) -> RootPattern:
         roots = [r[0] for r in counted(analyses.select(F.col("root").alias("token")), max_roots, min_count).orderBy("id").select("token").collect()]
         patterns = [r[0] for r in counted(analyses.select(F.col("pattern").alias("token")), max_patterns, min_count).orderBy("id").select("token").collect()]
         entries = analyses.where("root is not null and pattern is not null").select("root", "pattern", F.col("stem").alias("surface"), F.col("first").alias("pos"))
@@ -86,17 +123,33 @@ class RootPattern:
                 return [*(self.vocab[f"[P_{c}]"] for c in proclitics), r, p, *([self.vocab[f"[E_{enclitic}]"]] if enclitic else [])]
         return [LIT_BEGIN, *(self.vocab.get(f"[C_{ch}]", UNK) for ch in chunk), LIT_END]
 
+    def _word(self, word: str, analyses: dict[str, tuple]) -> list[int]:
+        out = []
+        for run in _ALPHA.findall(word):
+            if _LETTER.match(run):
+                out += self._alpha(run, analyses.get(run))
+            elif run[0].isdecimal() or run[0] in PUNCTUATION:
+                kind = "D" if run[0].isdecimal() else "X"
+                out += [self.vocab.get(f"[{kind}_{ch}]", UNK) for ch in run]
+            else:
+                out.append(UNK)
+        return out
+
     def encode(self, text: str, analyses: dict[str, tuple]) -> list[int]:
+        return [BOS, *(k for word in unicodedata.normalize("NFKC", text).split() for k in self._word(word, analyses)), EOS]
+
+    def encode_by_rule(self, text: str) -> list[int]:
+        """`encode` with the rule's analyses of the chunks of the text as it stands; a word is analysed once and remembered."""
+        if not unicodedata.is_normalized("NFKC", text):
+            return self.encode(text, {c: a for c in _CHUNK.findall(text) if (a := analysis_of(c))})
         out = [BOS]
-        for word in unicodedata.normalize("NFKC", text).split():
-            for run in _ALPHA.findall(word):
-                if re.match(f"[{LETTERS}{MARKS}]", run):
-                    out += self._alpha(run, analyses.get(run))
-                elif run[0].isdecimal() or run[0] in PUNCTUATION:
-                    kind = "D" if run[0].isdecimal() else "X"
-                    out += [self.vocab.get(f"[{kind}_{ch}]", UNK) for ch in run]
-                else:
-                    out.append(UNK)
+        for word in text.split():
+            ids = self._seen.get(word)
+            if ids is None:
+                if len(self._seen) > 500_000:
+                    self._seen.clear()
+                ids = self._seen[word] = self._word(word, {c: a for c in _CHUNK.findall(word) if (a := analysis_of(c))})
+            out += ids
         return [*out, EOS]
 
     def decode(self, ids: list[int]) -> str:
@@ -155,30 +208,22 @@ class RootPattern:
         return out
 
     def encode_frame(self, frame: DataFrame, column: str = "text", as_tokens: bool = False) -> DataFrame:
-        """frame with ids (or the token strings of what lies between bos and eos).
-
-        Each distinct chunk is analysed once; the analyses that a text needs come
-        to it by a hash of the text, so ids of rows play no part.
-        """
-        key = "hm_text_key"
-        keyed = frame.withColumn(key, F.md5(F.col(column).cast("binary")))
-        chunks = keyed.select(key, F.explode(F.array_distinct(alpha_chunks(F.col(column)))).alias("word")).distinct()
-        table = analyse(chunks.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "n").where("root is not null and pattern is not null")
-        entry = F.struct("word", "root", "pattern", "proclitics", "enclitic")
-        known = chunks.join(table, "word").groupBy(key).agg(F.collect_list(entry).alias("hm_known"))
-        model = self
-
-        @F.pandas_udf("array<string>" if as_tokens else "array<int>")
-        def run(texts: pd.Series, known: pd.Series) -> pd.Series:
-            out = []
-            for text, entries in zip(texts, known, strict=True):
-                table = {e["word"]: (e["root"], e["pattern"], list(e["proclitics"]), e["enclitic"]) for e in (entries if entries is not None else [])}
-                ids = model.encode(text or "", table)
-                out.append([model.tokens[k] for k in ids[1:-1]] if as_tokens else ids)
-            return pd.Series(out)
-
-        name = "tokens" if as_tokens else "ids"
-        return keyed.join(known, key, "left").withColumn(name, run(F.col(column), F.col("hm_known"))).drop("hm_known", key)
+        """frame with ids (or the token strings of what lies between bos and eos): a narrow map, each distinct word of a worker analysed once."""
+        model = RootPattern.__new__(RootPattern)  # without what earlier calls have remembered
+        model.tokens, model.vocab, model.surfaces, model._seen = self.tokens, self.vocab, {}, {}
+
+        @F.arrow_udf("array<string>" if as_tokens else "array<int>")
+        def run(texts: pa.Array) -> pa.Array:
+            flat, size = [], []
+            for text in texts.to_pylist():
+                ids = model.encode_by_rule(text or "")
+                flat += ids[1:-1] if as_tokens else ids
+                size.append(len(ids) - 2 if as_tokens else len(ids))
+            values = pa.array(flat, pa.int32())
+            edge = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            return pa.ListArray.from_arrays(edge, pc.take(pa.array(model.tokens, pa.string()), values) if as_tokens else values)
+
+        return frame.withColumn("tokens" if as_tokens else "ids", run(F.col(column)))
 
     def decode_column(self, ids: Column) -> Column:
         model = self

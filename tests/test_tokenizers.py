@@ -1,5 +1,7 @@
 """Tokenizers: ids, round trips, training."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,15 @@ def test_analyses_are_made_once_a_word(spark):
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     above, _, below = plan.partition("Aggregate [word")
     assert "regexp_replace" in above and below and "regexp_replace" not in below and "regexp_like" not in below.lower()
+
+
+def test_chunks_are_analysed_alike_and_texts_are_not_shuffled(spark):
+    """A worker's analyses equal Spark's, and encoding is a narrow map."""
+    r = random.Random(6)
+    found = ["".join(r.choice("اويبكلسفهنمتعدَُّ") for _ in range(r.randint(1, 12))) for _ in range(3000)] + ["والكتابهما", "فبالبيتها", "ووو", "ّ"]
+    table = rootpattern.analyse(spark.createDataFrame([(w,) for w in found], "word string"))
+    for x in table.collect():
+        want = (x.root, x.pattern, list(x.proclitics), x.enclitic) if x.root is not None and x.pattern is not None else None
+        assert rootpattern.analysis_of(x.word) == want
+    plan = rootpattern.RootPattern(["كتب"], ["فعل"], {}).encode_frame(docs(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
