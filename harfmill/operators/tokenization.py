@@ -159,6 +159,10 @@ class MorphoBpe(_Subword):
 
     name, kind = "morpho_bpe", "plain_bpe"
 
+    def train(self, frame: DataFrame, column: str = "text", vocab_size: int | None = None) -> Tokenizer:
+        self.model = subword.Subword.learn(subword.count_segmented(frame, column), self.kind, vocab_size or 32_000)
+        return self
+
     def _texts(self, frame: DataFrame, column: str) -> DataFrame:
         return corpora.segmented(frame, column)
 

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,20 @@ def test_chunks_are_analysed_alike_and_texts_are_not_shuffled(spark):
         assert rootpattern.analysis_of(x.word) == want
     plan = rootpattern.RootPattern(["كتب"], ["فعل"], {}).encode_frame(docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_packed_training_is_the_same(monkeypatch):
+    """Merges in strings equal merges in lists, also where signs repeat and counts tie."""
+    r = random.Random(9)
+    for marker in ("", "##"):
+        counts = {"".join(r.choice("abاب") for _ in range(r.randint(0, 9))): r.randint(1, 9) for _ in range(2500)}
+        found = subword.learn_bpe_packed(list(counts), np.fromiter(counts.values(), np.int64), 150, 2, marker, part=300)
+        assert found == subword.learn_bpe(counts, 150, 2, marker)
+
+
+def test_segmented_counts_come_from_distinct_words(spark):
+    frame = spark.createDataFrame([("والمدرسة درسهم في",), ("درسهم x² والمدرسة، درسهم",), (None,), ("",)], "text string")
+    want = {r.word: r.cnt for r in subword.count_words(corpora.segmented(frame), "text", False).collect()}
+    assert {r.word: r.cnt for r in subword.count_segmented(frame).collect()} == want
+    below = subword.count_segmented(frame)._jdf.queryExecution().optimizedPlan().toString().rpartition("Aggregate [word")[2]
+    assert "regexp_extract(" not in below
