@@ -29,13 +29,13 @@ import zlib
 import numpy as np
 
 BLOCK = 1024
-LANES = 3072
+LANES = 4096
 #: Places in a block at which order 0 counts what has come so far.
 EPOCHS = (0, 64, 192, 512)
-_SLOTS1, _SLOTS2, _STATES = 512, 1024, 16
+_SLOTS1, _SLOTS2, _STATES = 512, 512, 16
 _BITS0, _BITS = 20, 28
 _EMPTY, _LEAST = 0xFFFF, 64
-U64 = np.uint64
+_EDGE, _LAST, _WHOLE = 1 << 32, (1 << 28) - 1, 1 << 28
 LARGEST_ID = 0xFFFE
 
 
@@ -44,7 +44,7 @@ def prior(symbols: int) -> np.ndarray:
     weight = (1 << 30) // (np.arange(symbols, dtype=np.int64) + 128)
     freq = 1 + weight * ((1 << _BITS0) - symbols) // int(weight.sum())
     freq[0] += (1 << _BITS0) - int(freq.sum())
-    return np.concatenate([[0], np.cumsum(freq)]).astype(U64)
+    return np.concatenate([[0], np.cumsum(freq)])
 
 
 def check_ids(ids: np.ndarray) -> np.ndarray:
@@ -65,42 +65,62 @@ class _Contexts:
         lane = np.arange(lanes, dtype=np.int64)
         self.base1, self.base2 = lane * _SLOTS1, lanes * _SLOTS1 + lane * _SLOTS2
         self.states = np.arange(2 * lanes, dtype=np.int64).reshape(2, -1) * _STATES
-        self.one, self.two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.one, self.two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.slot = np.full(lanes * (_SLOTS1 + _SLOTS2), _EMPTY, np.uint32)
         start = np.minimum(30000 + 2500 * np.arange(_STATES), 62000).astype(np.int32)
         start[0] = _LEAST
         self.hold = np.tile(start, 2 * lanes)
         self.at = np.empty((2, lanes), np.int64)
+        self.cell = np.empty((2, lanes), np.int64)
 
     def predict(self) -> None:
         """Guesses, and where the interval of order 2's and that of either's guess ends (order 2's comes first)."""
-        np.add(self.one * 40503 >> 6 & (_SLOTS1 - 1), self.base1, out=self.at[0])
-        np.add(self.one * 2654435761 + self.two * 2246822519 >> 9 & (_SLOTS2 - 1), self.base2, out=self.at[1])
+        np.add(self.one * np.uint32(40503) >> np.uint32(6) & np.uint32(_SLOTS1 - 1), self.base1, out=self.at[0])
+        two = self.one * np.uint32(2654435761)
+        two += self.two * np.uint32(2246822519)
+        two >>= np.uint32(9)
+        np.add(two & np.uint32(_SLOTS2 - 1), self.base2, out=self.at[1])
         held = self.slot.take(self.at, mode="clip")
         self.guess, self.state = held & np.uint32(0xFFFF), held >> np.uint32(16)
-        self.cell = self.states + self.state
+        np.add(self.states, self.state, out=self.cell)
         self.p = self.hold.take(self.cell, mode="clip")
         p1, p2 = self.p.view(np.uint32)
-        rest = (65536 - p2) * p1 >> 16
-        self.w2 = (p2 + rest * (self.guess[0] == self.guess[1])) * 3840
-        self.w12 = (p2 + rest) * 3840
+        rest = np.uint32(65536) - p2
+        rest *= p1
+        rest >>= np.uint32(16)
+        self.w2 = rest * (self.guess[0] == self.guess[1])
+        self.w2 += p2
+        self.w2 *= np.uint32(3840)
+        rest += p2
+        rest *= np.uint32(3840)
+        self.w12 = rest.astype(np.int64)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
         """ids as uint32; hit: where each order was right."""
-        p = self.p
-        p += (hit * np.int32(62000) - p) >> 4
+        p, gain = self.p, hit * np.int32(62000)
+        gain -= p
+        gain >>= 4
+        p += gain
         np.maximum(p, _LEAST, out=p)  # no prediction's interval may vanish
         self.hold[self.cell] = p
-        self.state *= hit
-        self.state += 1
-        np.minimum(self.state, _STATES - 1, out=self.state)
-        self.slot[self.at] = self.state << np.uint32(16) | ids
-        self.two, self.one = self.one, ids.astype(np.int64)
+        state = self.state
+        state *= hit
+        state += np.uint32(1)
+        np.minimum(state, np.uint32(_STATES - 1), out=state)
+        state <<= np.uint32(16)
+        state |= ids
+        self.slot[self.at] = state
+        self.two, self.one = self.one, ids
 
 
 def _share(steps: int, distinct: np.ndarray) -> np.ndarray:
     """Of 2**16 parts of what order 0 gets, those for each id met, with so many distinct ids among `steps`."""
-    return (np.minimum((steps << 16) // (steps + distinct), 61440) // steps).astype(U64)
+    return np.minimum((steps << 16) // (steps + distinct.astype(np.int64)), 61440) // steps
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b by doubles, which is faster: exact while a is below 2**49, as then a quotient below an integer is further from it than rounding goes."""
+    return np.floor(a / b).astype(np.int64)
 
 
 class _Counts:
@@ -110,48 +130,59 @@ class _Counts:
         self.steps = len(past)
         if not self.steps:
             return
-        rows = np.array(past.T, np.uint16, order="C")
+        rows = np.array(past.T, np.uint32, order="C")
         rows.sort(axis=1)
         first = np.ones(rows.shape, bool)
         np.not_equal(rows[:, 1:], rows[:, :-1], out=first[:, 1:])
         heads = np.flatnonzero(first)
         size = np.diff(np.append(heads, first.size))
-        self.row, self.last = np.arange(len(rows)) * self.steps, U64(self.steps - 1)
+        self.row, self.last = np.arange(len(rows)) * self.steps, self.steps - 1
         # For each id met its number, how many are smaller and how often it was met: one look-up.
-        self.cells = rows.reshape(-1) | np.repeat((heads % self.steps).astype(U64) << U64(16) | size.astype(U64) << U64(32), size)
+        self.cells = np.repeat(rows.ravel()[heads] | heads % self.steps << 16 | size << 32, size)
         self.share = _share(self.steps, first.sum(1))
 
 
+#: Of each place in a block: in which counts (fields of 10 bits) it takes part, and where the field of the latest before it begins (63: none).
+_PART = sum((np.arange(BLOCK) < e).astype(np.uint32) << np.uint32(10 * k) for k, e in enumerate(EPOCHS[1:]))
+_FIELD = np.select([np.arange(BLOCK) >= e for e in EPOCHS[:0:-1]], [10 * k for k in range(len(EPOCHS) - 2, -1, -1)], 63).astype(np.uint64)
+
+
 class _Ranks:
-    """Order 0 for the encoder: for each step and lane how many of the ids met at the last count are smaller, and how many are equal."""
+    """Order 0 for the encoder: for each step and lane how many of the ids met at the last count are smaller, and above 2**16 how many are equal."""
 
     def __init__(self, grid: np.ndarray) -> None:
         steps, n = grid.shape
-        self.rank, self.size = np.zeros((steps, n), np.uint16), np.zeros((steps, n), np.uint16)
-        epochs = [(lo, hi) for lo, hi in zip(EPOCHS[1:], (*EPOCHS[2:], steps), strict=True) if lo < steps]
-        self.share = {lo: np.empty(n, U64) for lo, _ in epochs}
-        bits = np.uint32(steps.bit_length())
+        self.ranks = np.zeros((steps, n), np.uint32)
+        epochs = [e for e in EPOCHS[1:] if e < steps]
+        self.share = {e: np.empty(n, np.int64) for e in epochs}
         place = np.arange(steps, dtype=np.uint32)
-        for a in range(0, n if epochs else 0, 128):
-            keys = np.ascontiguousarray(grid[:, a : a + 128].T) << bits | place
+        field = np.uint32(1023)
+        for a in range(0, n if epochs else 0, 64):
+            keys = np.ascontiguousarray(grid[:, a : a + 64].T) << np.uint32(10) | place
             keys.sort(axis=1)
-            pos = (keys & np.uint32((1 << int(bits)) - 1)).ravel()
-            keys >>= bits
+            pos = (keys & field).astype(np.int64)
+            keys >>= np.uint32(10)
             first = np.ones(keys.shape, bool)
             np.not_equal(keys[:, 1:], keys[:, :-1], out=first[:, 1:])
             heads = np.flatnonzero(first)
-            of = np.cumsum(first.ravel(), dtype=np.int32) - np.int32(1)
-            target = pos.astype(np.int64) * n + a + np.repeat(np.arange(len(keys)), steps)
-            for lo, hi in epochs:
-                met = (pos < lo).reshape(keys.shape)
-                until = np.cumsum(met, axis=1, dtype=np.uint16).ravel()
-                met = met.ravel()
-                self.share[lo][a : a + 128] = _share(lo, (first.ravel() & met).reshape(keys.shape).sum(1))
-                at = np.flatnonzero((pos >= lo) & (pos < min(hi, steps)))
-                head = heads[of[at]]
-                below = until[head] - met[head]
-                self.rank.reshape(-1)[target[at]] = below
-                self.size.reshape(-1)[target[at]] = until[at] - below
+            part = _PART.take(pos)
+            upto = np.cumsum(part, axis=1, dtype=np.uint32)
+            upto -= part  # in each count, those before this place of the row
+            below = upto.ravel()[heads]
+            met = np.add.reduceat(part.ravel(), heads)
+            both = met.astype(np.uint64) << np.uint64(32) | below
+            length = np.diff(np.append(heads, first.size))
+            lanes = np.searchsorted(heads, np.arange(len(keys)) * steps)
+            for k, e in enumerate(epochs):
+                self.share[e][a : a + 64] = _share(e, np.add.reduceat(met >> np.uint32(10 * k) & field > 0, lanes, dtype=np.int64))
+            found = np.repeat(both, length)
+            found >>= _FIELD.take(pos.ravel())
+            found &= np.uint64(1023 << 32 | 1023)
+            found |= found >> np.uint64(16)
+            pos += np.arange(len(keys))[:, None] * steps
+            out = np.empty(first.size, np.uint32)
+            out[pos.ravel()] = found.astype(np.uint32)
+            self.ranks[:, a : a + 64] = out.reshape(keys.shape).T
 
 
 def _groups(lanes: int) -> list[tuple[int, int]]:
@@ -176,95 +207,105 @@ def encode(ids: np.ndarray, symbols: int) -> tuple[list[bytes], list[int]]:
     return blocks, sums
 
 
-def _spans(steps: int) -> list[tuple[int, int]]:
-    """The steps in spans that lie in one epoch each and are short enough for the processor's cache."""
-    edges = sorted({*range(0, steps, 128), *(e for e in EPOCHS if e < steps), steps})
-    return list(zip(edges[:-1], edges[1:], strict=True))
-
-
-def _intervals(grid: np.ndarray, model: _Contexts, ranks: _Ranks, since: int, lo: int, hi: int, low0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the intervals of the steps from lo to hi begin, and their widths; order 0 has counted at step `since`."""
-    n = grid.shape[1]
-    begin, width, foreseen = np.empty((hi - lo, n), np.uint32), np.empty((hi - lo, n), np.uint32), np.empty((hi - lo, n), bool)
-    for t in range(lo, hi):
-        x = grid[t]
-        model.predict()
-        hit = model.guess == x
-        np.multiply(model.w2, ~hit[1], out=begin[t - lo])
-        np.subtract(np.where(hit[1], model.w2, model.w12), begin[t - lo], out=width[t - lo])
-        np.logical_or(hit[0], hit[1], out=foreseen[t - lo])
-        model.learn(x, hit)
-    # What orders 1 and 2 have not foreseen, for all steps at once.
-    at = np.flatnonzero(~foreseen)
-    ids = grid[lo:hi].reshape(-1)[at]
-    flat_begin, flat_width = begin.reshape(-1), width.reshape(-1)
-    over = (flat_begin[at] + flat_width[at]).astype(U64)
-    rest = U64(1 << _BITS) - over
+def _interval(x: np.ndarray, model: _Contexts, hit: np.ndarray, ranks: np.ndarray, since: int, share: np.ndarray | None, low0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the lanes' intervals for the ids x begin, and their widths; order 0 has counted at step `since`."""
+    w12 = model.w12
+    rest = _WHOLE - w12
     if since:
-        unit = rest * ranks.share[since][at % n] >> U64(16)
-        size = ranks.size[lo:hi].reshape(-1)[at].astype(U64)
-        flat_begin[at] = over + unit * ranks.rank[lo:hi].reshape(-1)[at]
-        flat_width[at] = unit * size
-        new = size == 0
-        seen = unit[new] * U64(since)
-        at, ids, over, rest = at[new], ids[new], over[new] + seen, rest[new] - seen
-    base = low0[ids] * rest >> U64(_BITS0)
-    flat_begin[at] = over + base
-    flat_width[at] = (low0[ids + 1] * rest >> U64(_BITS0)) - base
+        unit = rest * share
+        unit >>= 16
+        begin, width = unit * (ranks & np.uint32(0xFFFF)), unit * (ranks >> np.uint32(16))
+        begin += w12
+        new = np.flatnonzero(ranks < 65536)
+        seen = unit[new] * since
+        over, left, ids = w12[new] + seen, rest[new] - seen, x[new]
+    else:
+        begin, width = np.empty_like(rest), np.empty_like(rest)
+        new, over, left, ids = slice(None), w12, rest, x
+    base = low0.take(ids) * left >> _BITS0
+    begin[new] = over + base
+    width[new] = (low0.take(ids + np.uint32(1)) * left >> _BITS0) - base
+    at = np.flatnonzero(hit[0] | hit[1])
+    w2, two = model.w2[at].astype(np.int64), hit[1][at]
+    start = w2 * ~two
+    begin[at] = start
+    width[at] = np.where(two, w2, w12[at]) - start
     return begin, width
 
 
 def _encode_lanes(grid: np.ndarray, n: int, tail: int, low0: np.ndarray) -> list[bytes]:
     """The last lane ends after `tail` steps; what it codes after that is cut off."""
     model = _Contexts(n)
-    low, span = np.zeros(n, U64), np.full(n, 1 << 48, U64)
+    low, span = np.zeros(n, np.int64), np.full(n, 1 << 48, np.int64)
     steps = BLOCK if n > 1 else tail
     room = 2 * steps + 12
     digits = np.zeros(room * n, np.uint32)
-    used = np.zeros(n, np.int64)
-    top, mask, edge, shift = U64(32), U64(0xFFFFFFFF), U64(1 << 32), U64(_BITS)
+    place = np.arange(n, dtype=np.int64)  # of each lane's next digit: n apart
 
     def emit(at: np.ndarray) -> None:
         x = low[at]
-        digits[used[at] * n + at] = (x >> top).astype(np.uint32)
-        low[at] = (x & mask) << U64(16)
-        span[at] <<= U64(16)
-        used[at] += 1
+        digits[place[at]] = x >> 32
+        low[at] = (x & 0xFFFFFFFF) << 16
+        span[at] <<= 16
+        place[at] += n
 
     def end(lanes: np.ndarray) -> None:
         for _ in range(3):
             emit(lanes)
         low[lanes], span[lanes] = 0, 1 << 48
 
-    ranks, last = _Ranks(grid[:steps]), np.array([n - 1])
-    for lo, hi in _spans(steps):
-        begin, width = _intervals(grid, model, ranks, max(e for e in EPOCHS if e <= lo), lo, hi, low0)
-        for t in range(lo, hi):
-            if t == tail:
-                end(last)
-                length = int(used[-1])
-            unit = span >> shift
-            low += unit * begin[t - lo]
-            np.multiply(unit, width[t - lo], out=span)
-            at = np.flatnonzero(span < edge)
-            while len(at):
-                emit(at)
-                at = at[span[at] < edge]
+    ranks, last, since = _Ranks(grid), np.array([n - 1]), 0
+    for t in range(steps):
+        if t == tail:
+            end(last)
+            length = int(place[-1]) // n
+        if t in EPOCHS:
+            since = t
+        model.predict()
+        hit = model.guess == grid[t]
+        begin, width = _interval(grid[t], model, hit, ranks.ranks[t], since, ranks.share.get(since), low0)
+        model.learn(grid[t], hit)
+        unit = span >> _BITS
+        begin *= unit
+        low += begin
+        np.multiply(unit, width, out=span)
+        # A digit of all lanes at once: where none is due, the next one takes its place.
+        due = span < _EDGE
+        digit = low >> 32
+        digits[place] = digit.astype(np.uint32)
+        digit *= due
+        digit <<= 32
+        low -= digit
+        shift = due * np.int64(16)
+        low <<= shift
+        span <<= shift
+        place += due * np.int64(n)
+        at = np.flatnonzero(span < _EDGE)
+        while len(at):
+            emit(at)
+            at = at[span[at] < _EDGE]
     end(np.arange(n))
+    digits[place] = 0
+    used = place // n
     if tail < steps:
         used[-1] = length
-    out = digits.reshape(room, n)[: int(used.max()) + 1]
-    for p in range(len(out) - 1, 0, -1):
-        out[p - 1] += out[p] >> np.uint32(16)
-    out = np.ascontiguousarray((out & np.uint32(0xFFFF)).astype(">u2").T)
-    return [out[j, : used[j]].tobytes() for j in range(n)]
+    digits = digits[: n * int(used.max())]
+    at = np.flatnonzero(digits > 0xFFFF)
+    digits &= np.uint32(0xFFFF)
+    while len(at):
+        at -= n
+        digits[at] += np.uint32(1)
+        at = at[digits[at] > 0xFFFF]
+        digits[at] = 0
+    out = np.ascontiguousarray(digits.reshape(-1, n).astype(">u2").T)
+    return [out[j, :k].tobytes() for j, k in enumerate(used.tolist())]
 
 
 def decode(blocks: list[bytes], sums: list[int], total: int, symbols: int) -> np.ndarray:
     """The id sequence of coded blocks; raises ValueError where a block's checksum differs."""
     out = np.empty(total, np.uint16)
     low0 = prior(symbols)
-    find = np.repeat(np.arange(symbols, dtype=np.uint32), np.diff(low0).astype(np.int64))
+    find = np.repeat(np.arange(symbols, dtype=np.uint16), np.diff(low0))
     for lo, hi in _groups(len(blocks)) if blocks else []:
         a, b = lo * BLOCK, min(hi * BLOCK, total)
         out[a:b] = _decode_lanes(blocks[lo:hi], b - a - (hi - lo - 1) * BLOCK, low0, find)
@@ -280,56 +321,68 @@ def _decode_lanes(blocks: list[bytes], tail: int, low0: np.ndarray, find: np.nda
     size = np.fromiter(map(len, blocks), np.int64, n) // 2
     flat = np.concatenate([np.frombuffer(b"".join(b[: 2 * s] for b, s in zip(blocks, size.tolist(), strict=True)), ">u2").astype(np.uint16), np.zeros(8, np.uint16)])
     place = np.cumsum(size) - size
-    code = flat[place].astype(U64) << U64(32) | flat[place + 1].astype(U64) << U64(16) | flat[place + 2]
+    code = flat[place].astype(np.int64) << 32 | flat[place + 1].astype(np.int64) << 16 | flat[place + 2]
     place += 3
-    span = np.full(n, 1 << 48, U64)
+    span = np.full(n, 1 << 48, np.int64)
     steps = BLOCK if n > 1 else tail
-    grid = np.zeros((steps, n), np.uint16)
-    edge, shift, shift0, sixteen = U64(1 << 32), U64(_BITS), U64(_BITS0), U64(16)
-    last, whole = U64((1 << _BITS) - 1), U64(1 << _BITS)
+    grid = np.zeros((steps, n), np.uint32)
     counts = _Counts(grid[:0])
     for t in range(steps):
         if t in EPOCHS:
             counts = _Counts(grid[:t])
         model.predict()
-        w2, w12 = model.w2, model.w12
-        unit = span >> shift
-        value = np.minimum(code // unit, last)
-        two, seen = value < w2, value < w12
-        x = np.where(two, model.guess[1], model.guess[0])
-        begin = w2 * ~two
-        width = np.where(two, w2, w12) - begin
-        over = w12.astype(U64)
-        rest, ahead = whole - over, value - over
+        w12, unit = model.w12, span >> _BITS
+        value = np.minimum(_quotient(code, unit), _LAST)
+        rest, ahead = _WHOLE - w12, value - w12
+        seen = np.flatnonzero(ahead < 0)
         if counts.steps:
-            one = rest * counts.share >> sixteen
-            nth = ahead // one
-            cell = counts.cells.take(counts.row + np.minimum(nth, counts.last).view(np.int64))
-            x = np.where(seen, x, cell.astype(np.uint16))
-            begin = np.where(seen, begin, over + one * (cell >> sixteen & U64(0xFFFF)))
-            width = np.where(seen, width, one * (cell >> U64(32)))
-            seen |= nth <= counts.last
-            met = one * U64(counts.steps)
-            over, rest, ahead = over + met, rest - met, ahead - met
+            one = rest * counts.share
+            one >>= 16
+            nth = _quotient(ahead, one)
+            new = np.flatnonzero(nth > counts.last)
+            nth += counts.row
+            cell = counts.cells.take(nth, mode="clip")
+            x = cell.astype(np.uint16).astype(np.uint32)
+            width = cell >> 32
+            width *= one
+            begin = cell >> 16
+            begin &= 0xFFFF
+            begin *= one
+            begin += w12
+            met = one[new] * counts.steps
+            over, rest, ahead = w12[new] + met, rest[new] - met, ahead[new] - met
         else:
-            begin, width = begin.astype(U64), width.astype(U64)
-        at = np.flatnonzero(~seen)
-        if len(at):
-            z_rest = rest[at]
-            y = ((ahead[at] + U64(1) << shift0) - U64(1)) // z_rest
-            z = find.take(y.astype(np.int64), mode="clip")
-            base = low0.take(z) * z_rest >> shift0
-            x[at] = z
-            begin[at] = over[at] + base
-            width[at] = (low0.take(z + 1) * z_rest >> shift0) - base
-        code -= unit * begin
+            x, begin, width = np.empty(n, np.uint32), np.empty(n, np.int64), np.empty(n, np.int64)
+            new = np.flatnonzero(ahead >= 0)
+            over, rest, ahead = w12[new], rest[new], ahead[new]
+        if len(new):
+            z = find.take(_quotient((ahead + 1 << _BITS0) - 1, rest), mode="clip")
+            base = low0.take(z) * rest >> _BITS0
+            x[new] = z
+            begin[new] = over + base
+            width[new] = (low0.take(z + np.uint16(1)) * rest >> _BITS0) - base
+        w2 = model.w2[seen].astype(np.int64)
+        two = value[seen] < w2
+        x[seen] = np.where(two, model.guess[1][seen], model.guess[0][seen])
+        start = w2 * ~two
+        begin[seen] = start
+        width[seen] = np.where(two, w2, w12[seen]) - start
+        begin *= unit
+        code -= begin
         np.multiply(unit, width, out=span)
-        at = np.flatnonzero(span < edge)
+        np.minimum(code, span, out=code)  # a damaged block may be beyond its interval
+        due = span < _EDGE
+        shift = due * np.int64(16)
+        code <<= shift
+        span <<= shift
+        code |= flat.take(place, mode="clip") * due
+        place += due
+        at = np.flatnonzero(span < _EDGE)
         while len(at):
-            code[at] = code[at] << sixteen | flat.take(place[at], mode="clip")
-            span[at] <<= sixteen
+            code[at] = code[at] << 16 | flat.take(place[at], mode="clip")
+            span[at] <<= 16
             place[at] += 1
-            at = at[span[at] < edge]
+            at = at[span[at] < _EDGE]
         grid[t] = x
         model.learn(x, model.guess == x)
     return grid.T.reshape(-1)[: (n - 1) * BLOCK + tail] if n > 1 else grid[:tail, 0]

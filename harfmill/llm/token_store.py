@@ -39,7 +39,7 @@ from harfmill.llm.bytesops import expand, squeeze, string_bytes, trim
 from harfmill.llm.shared import NULL_ID, Workspace
 from harfmill.llm.units import encoder, with_end
 
-MAGIC = b"HMTOKEN2"
+MAGIC = b"HMTOKEN3"
 _HEAD = "<8sQQQ3Q"
 #: Ids after which a shard ends, so that a task holds no more, however long its range is.
 SHARD_IDS = 8 << 20
